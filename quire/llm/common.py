@@ -2,43 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can reach.
-
-    It is the session's ``spark.checkpoint.dir``. Only a session without that
-    setting (a test on one machine) gets a temporary folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+from quire.sources.shared import new_dir, shared_dir, written
 
+__all__ = ["new_dir", "shared_dir", "written"]
 
-def new_dir(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quire-{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a reread, not a recomputation.
-    """
-    path = new_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, langid, token_records
+from . import block_naming, langid, near_dup, token_records
 from .common import documents
 
 
@@ -22,6 +22,10 @@ def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_classes(documents(spark, sf_dir))
+
+
 def op8_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -29,6 +33,7 @@ def op8_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_records": op2_token_records,
     "op3_block_naming": op3_block_naming,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_language_masks": op8_language_masks,
 }
 
