@@ -12,20 +12,45 @@ sees two boundary rows per sort partition.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_text_as_empty, shuffle_partitions, written
+from .common import shuffle_partitions, text_bytes, written
 
-WHITESPACE = " \t\n\x0b\f\r"
-BLOCK_CHARS = 4096
+WHITESPACE = b" \t\n\x0b\f\r"
+BLOCK_BYTES = 4096
 ABSENT = -1
 
+_KEPT = np.ones(256, bool)
+_KEPT[list(WHITESPACE)] = False
+_BLOCKS = pa.schema([("doc_id", pa.int64()), ("_row", pa.int64()), ("n_chars", pa.int64()), ("text_sha256", pa.string()), ("n_blocks", pa.int32()), ("pos", pa.int32()), ("_block", pa.binary())])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Normalised texts in blocks; the first block of a text carries its length and digest."""
+    for batch in batches:
+        for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            data, offsets = text_bytes(part.column(2))
+            kept = _KEPT[data]
+            norm = data[kept].tobytes()
+            cuts = np.concatenate(([0], np.cumsum(kept)))[offsets].tolist()
+            chars = pc.fill_null(pc.utf8_length(part.column(2)), 0).to_pylist()
+            out = []
+            for i, (doc_id, row) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                text = norm[cuts[i] : cuts[i + 1]]
+                n = max(1, -(-len(text) // block_bytes))
+                out.append((doc_id, row, chars[i], hashlib.sha256(text).hexdigest(), n, 0, text[:block_bytes]))
+                out += ((doc_id, row, None, None, n, k, text[k * block_bytes : (k + 1) * block_bytes]) for k in range(1, n))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _BLOCKS, strict=True)], schema=_BLOCKS)
+
 
 def _number_runs(batches: Iterator[pa.RecordBatch], keys: list[str], keep: list[str]) -> Iterator[pa.RecordBatch]:
     """Number the runs of equal keys in one sorted partition; show the keys of its first and last row."""
@@ -65,20 +90,23 @@ def _number_runs(batches: Iterator[pa.RecordBatch], keys: list[str], keep: list[
         yield out(held, True)
 
 
-def name_by_order(df: DataFrame, keys: list[str], ties: list[str], tag: str = "names") -> DataFrame:
+def name_by_order(df: DataFrame, keys: list[str], ties: list[str], tag: str = "names", ranged: list[str] | None = None) -> DataFrame:
     """Replace the ``keys`` of each row by ``name``, their dense rank in the whole table.
 
     Keys must not be null. ``ties`` only order rows of equal keys, so that equal keys may
     span sort partitions. Columns other than the keys are kept. The result is read from a
     written table.
+
+    ``ranged`` are the leading keys that deal rows to partitions, where later keys are long. Rows that agree in these
+    but differ in later keys never share a name; only were such rows dealt to two partitions could equal keys get two.
     """
     spark = df.sparkSession
     keep = [c for c in df.columns if c not in keys]
     order = [*keys, *ties]
-    ranged = df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    dealt = df.repartitionByRange(shuffle_partitions(spark), *(ranged or keys), *ties).sortWithinPartitions(*order)
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_part int, _rank long, _edge int", *(f"`_edge_{k}` {kinds[k]}" for k in keys)])
-    ranked = written(ranged.mapInArrow(lambda it: _number_runs(it, keys, keep), schema), tag)
+    ranked = written(dealt.mapInArrow(lambda it: _number_runs(it, keys, keep), schema), tag)
 
     edges = sorted(
         ((r["_part"], r["_edge"], r["_rank"], tuple(r[f"_edge_{k}"] for k in keys)) for r in ranked.where("_edge > 0").select("_part", "_edge", "_rank", *(f"_edge_{k}" for k in keys)).collect()),
@@ -96,25 +124,17 @@ def name_by_order(df: DataFrame, keys: list[str], ties: list[str], tag: str = "n
     return ranked.join(F.broadcast(table), "_part").select(*keep, (F.col("_rank") + F.col("_base")).alias("name"))
 
 
-def text_identities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def text_identities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: ``doc_id``, ``_row``, ``n_chars`` (code points of the original
     text), ``text_sha256``, and the collision-free identity ``(level, name)`` of its text.
 
     Texts are equal when they are identical without the characters of ``[\\x20\\x09-\\x0D]``.
     Null counts as empty. Rows may repeat ids, ids may be null, other columns are ignored.
     """
-    base = null_text_as_empty(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    norm = F.translate("text", WHITESPACE, "")
-    pieces = F.when(F.length("_norm") <= block_chars, F.array("_norm")).otherwise(F.expr(f"regexp_extract_all(_norm, '(?s).{{1,{block_chars}}}', 0)"))
-    blocks = (
-        base.withColumn("_row", F.monotonically_increasing_id())
-        .select("doc_id", "_row", F.length("text").cast("long").alias("n_chars"), norm.alias("_norm"))
-        .select("doc_id", "_row", "n_chars", F.sha2(F.encode("_norm", "UTF-8"), 256).alias("text_sha256"), pieces.alias("_pieces"))
-        .select("doc_id", "_row", "n_chars", "text_sha256", F.size("_pieces").alias("n_blocks"), F.posexplode("_pieces").alias("pos", "_block"))
-        .withColumn("n_chars", F.when(F.col("pos") == 0, F.col("n_chars")))
-        .withColumn("text_sha256", F.when(F.col("pos") == 0, F.col("text_sha256")))
-    )
-    named = name_by_order(blocks, ["_block"], ["_row", "pos"], "blocks")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("text"))
+    cut = rows.mapInArrow(lambda it: _cut(it, block_bytes), "doc_id long, _row long, n_chars long, text_sha256 string, n_blocks int, pos int, _block binary")
+    blocks = cut.withColumn("_h1", F.xxhash64("_block")).withColumn("_h2", F.xxhash64("_block", F.lit(1)))
+    named = name_by_order(blocks, ["_h1", "_h2", "_block"], ["_row", "pos"], "blocks", ranged=["_h1", "_h2"])
     heads = named.where("pos = 0").select("doc_id", "_row", "n_chars", "text_sha256", "n_blocks", "name")
     done = heads.where("n_blocks = 1").select("doc_id", "_row", "n_chars", "text_sha256", F.lit(0).alias("level"), "name")
 
