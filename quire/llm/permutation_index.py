@@ -1,12 +1,15 @@
 """Nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order of nearness. Each of these pivots
-gets a posting with the vector and that order. A query looks into the posting
-lists of its own nearest pivots, ranks what it finds by footrule distance between the two
-orders, and the best are ranked again by their exact inner product.
-
-Equal vectors share one entry. Lists are dealt out in blocks of bounded size, so
-neither a crowded pivot nor one that many queries share lands in one task.
+A vector is represented by its pivots in order of nearness. Each of its ``prefix`` nearest
+pivots gets a posting, in the pivot's list for the band of ranks that the pivot has there. A query
+walks the lists of its own pivots; what they hold in common gives the footrule
+distance between the two orders (ranks counted in bands), and the nearest by footrule are ranked again by their exact
+inner product.
+
+Rows are dealt into blocks of bounded size, each with the inverted files of its rows as bit rows (pivot and band by
+row), and every block of queries meets every block of rows. A block passes on a fixed share of its rows
+to the exact ranking, so recall does not change with the size of the table. Equal vectors
+share one entry.
 """
 
 from __future__ import annotations
@@ -15,17 +18,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 K = 20
-PREFIX = 10
-CANDIDATES = 200
-PIVOTS_PER_ROOT = 3
-MIN_PIVOTS, MAX_PIVOTS = 24, 16_384
-LIST_BLOCK, QUERY_BLOCK = 8_192, 2_048
+PIVOTS = 384
+BANDS = 3
+PREFIX = 288
+SHARE = 0.04
+LEAST = 64
+LIST_BLOCK, QUERY_BLOCK = 8_192, 4_096
+AT_ONCE = 256
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -49,9 +54,8 @@ def _matrix(column, dim: int, dtype=np.float64) -> np.ndarray:
     return out
 
 
-def _pivots(classes: DataFrame, dim: int, n: int) -> np.ndarray:
-    """Unit vectors of a hash sample of the distinct vectors, at most ``MAX_PIVOTS``."""
-    m = min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(PIVOTS_PER_ROOT * math.sqrt(n))))
+def _pivots(classes: DataFrame, dim: int, m: int) -> np.ndarray:
+    """Unit vectors of a hash sample of ``m`` distinct vectors: the bounded sample that the index is fitted on."""
     rows = classes.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(m).collect()
     p = np.zeros((len(rows), dim))
     for i, r in enumerate(rows):
@@ -59,107 +63,94 @@ def _pivots(classes: DataFrame, dim: int, n: int) -> np.ndarray:
     return (p / np.linalg.norm(p, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _ordered(entries: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
-    """Adds ``near``: the nearest pivots of each vector, nearest first."""
-    prefix = min(prefix, len(pivots))
+def _posted(entries: DataFrame, pivots: np.ndarray, prefix: int, bands: int) -> DataFrame:
+    """Adds ``posted``: for each band of ranks and pivot, one bit that says whether the pivot is that near."""
+    prefix = max(1, min(prefix, len(pivots)))
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                s = -(_matrix(part.column(1), pivots.shape[1], np.float32) @ pivots.T)
-                top = np.argpartition(s, prefix - 1, axis=1)[:, :prefix]
-                order = np.lexsort((top, np.take_along_axis(s, top, 1)), axis=1)
-                near = np.take_along_axis(top, order, 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(near), pa.list_(pa.int32()))], names=["cid", "v", "near"])
-
-    return entries.select("cid", "v").mapInArrow(run, "cid long, v array<float>, near array<int>")
+                s = _matrix(part.column(1), pivots.shape[1], np.float32) @ pivots.T
+                order = np.argsort(-s, axis=1, kind="stable")
+                rank = np.empty_like(order)
+                np.put_along_axis(rank, order, np.arange(len(pivots))[None, :], 1)
+                bits = np.concatenate([rank < prefix * (b + 1) / bands for b in range(bands)], axis=1)
+                packed = [x.tobytes() for x in np.packbits(bits, axis=1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["cid", "v", "posted"])
 
+    return entries.select("cid", "v").mapInArrow(run, "cid long, v array<float>, posted binary")
 
-def _search_cell(dim: int, keep: int, by_footrule: bool):
-    schema = pa.schema([("qid", pa.int64()), ("cid", pa.int64()), ("footrule", pa.int32()), ("score", pa.float64())])
 
-    def run(key, queries: pa.Table, entries: pa.Table) -> pa.Table:
-        if not queries.num_rows or not entries.num_rows:
-            return schema.empty_table()
-        qv, ev = _matrix(queries["qv"], dim), _matrix(entries["v"], dim)
-        cids, qids = entries["cid"].to_numpy(), queries["qid"].to_numpy()
-        width = len(queries["q_near"][0])
-        qn, en = _matrix(queries["q_near"], width, np.int32), _matrix(entries["near"], width, np.int32)
-        places = np.arange(width)
-        out = []
-        for i in range(len(qids)):
-            if by_footrule:
-                same = en[:, :, None] == qn[i][None, None, :]
-                shift = np.abs(places[:, None] - places[None, :]) - width
-                foot = (same * shift).sum((1, 2)) + width * width
-                top = np.lexsort((cids, foot))[:keep] if len(foot) > keep else np.arange(len(foot))
-                score = (ev[top] * qv[i]).sum(1)
-            else:
-                score = (ev * qv[i]).sum(1)
-                top = np.lexsort((cids, -score))[:keep]
-                score, foot = score[top], np.zeros(len(ev), np.int64)
-            out.append((np.full(len(top), qids[i]), cids[top], foot[top].astype(np.int32), score))
-        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+_FOUND = pa.schema([("qid", pa.int64()), ("cid", pa.int64()), ("score", pa.float64())])
 
-    return run, "qid long, cid long, footrule int, score double"
 
+def _bits(column, width: int) -> np.ndarray:
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.unpackbits(packed, axis=1)[:, :width].astype(np.float32)
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """``pivot`` and into how many blocks its rows go. A row for each pivot: ``MAX_PIVOTS`` at most."""
-    return rows.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
 
+def _search_cell(dim: int, width: int, k: int, share: float):
+    """Searches one block of rows for one block of queries: the ``k`` best of each query by exact score."""
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, prefix: int = PREFIX, candidates: int = CANDIDATES) -> DataFrame:
+    def run(key, queries: pa.Table, entries: pa.Table) -> pa.Table:
+        if not queries.num_rows or not entries.num_rows:
+            return _FOUND.empty_table()
+        ev, lists = _matrix(entries["v"], dim), _bits(entries["posted"], width)
+        length, cids = lists.sum(1), entries["cid"].to_numpy()
+        n = max(LEAST, k, math.ceil(share * len(cids)))
+        out = []
+        for i in range(0, queries.num_rows, AT_ONCE):
+            part = queries.slice(i, AT_ONCE)
+            qv, ql, qids = _matrix(part["qv"], dim), _bits(part["q_posted"], width), part["qid"].to_numpy()
+            # a band of a pivot that only one of the two has is one band of rank between them
+            footrule = length[None, :] + ql.sum(1)[:, None] - 2 * (ql @ lists.T)
+            near = np.argpartition(footrule, n - 1, axis=1)[:, :n] if n < len(cids) else np.broadcast_to(np.arange(len(cids)), footrule.shape)
+            for j in range(len(qids)):
+                score = (ev[near[j]] * qv[j]).sum(1)
+                top = np.lexsort((cids[near[j]], -score))[:k]
+                out.append((np.full(len(top), qids[j]), cids[near[j][top]], score[top]))
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=_FOUND)
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, bands: int = BANDS, share: float = SHARE) -> DataFrame:
     """For each row of ``queries`` its ``k`` nearest rows of ``vectors``, by largest inner product.
 
     ``queries`` holds rows of ``vectors`` (a column ``vec_id``). Returns ``query_id``, ``rank`` (from 1), ``vec_id``,
     ``score``. A query's own row is no candidate, copies of its vector are. Equal scores are ordered by ``vec_id``.
     Rows without an id, with a null or zero vector or null or non-finite components take no part; repeated rows with equal id
-    and vector count once; vectors of different lengths are compared as if filled up with zeros. All candidates are returned where there are
-    fewer than ``k``; a query that finds fewer through its lists is compared with every row, in blocks.
+    and vector count once; vectors of different lengths are compared as if filled up with zeros. All candidates are returned
+    where there are fewer than ``k``. An empty table gives an empty result.
     """
-    spark: SparkSession = vectors.sparkSession
     rows = usable(vectors)
     least = Window.partitionBy("v").orderBy("vec_id")
     few = rows.distinct().withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k + 1)
     classes = written(few.groupBy("v").agg(F.min("vec_id").alias("cid"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     size = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not size["n"]:
-        return empty
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").distinct()
     asked = written(asked.join(classes.select("v", "cid"), "v").select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid")), "queries")
-    pivots = _pivots(classes, size["dim"], size["n"])
-    ordered = written(_ordered(classes, pivots, prefix), "permutations")
-
-    postings = ordered.select("cid", "v", "near", F.explode("near").alias("pivot"))
-    q = ordered.join(asked.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi").withColumnRenamed("cid", "qid")
-    q_lists = q.select("qid", "v", "near", F.explode("near").alias("pivot"))
-    lists, asks = _blocks(postings, LIST_BLOCK, "_lists"), _blocks(q_lists, QUERY_BLOCK, "_asks")
-    cells = written(asks.join(lists, "pivot"), "cells")
-    cell = F.concat_ws(".", "pivot", "_a", "_b")
-    dealt = postings.join(F.broadcast(cells), "pivot").withColumn("_b", F.pmod(F.xxhash64("cid"), "_lists")).withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_asks") - 1)))
-    asking = q_lists.join(F.broadcast(cells), "pivot").withColumn("_a", F.pmod(F.xxhash64("qid"), "_asks")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_lists") - 1)))
-    run, schema = _search_cell(size["dim"], candidates, True)
-    found = asking.select(cell.alias("cell"), "qid", F.col("v").alias("qv"), F.col("near").alias("q_near")).groupBy("cell").cogroup(dealt.select(cell.alias("cell"), "cid", "v", "near").groupBy("cell")).applyInArrow(run, schema)
-    best = Window.partitionBy("qid").orderBy("footrule", "cid")
-    scored = written(found.dropDuplicates(["qid", "cid"]).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= candidates).drop("_n"), "candidates")
-
-    members = classes.select("cid", F.size("ids").alias("_size"))
-    got = scored.join(members, "cid").groupBy("qid").agg(F.sum("_size").alias("got"))
-    short = asked.select("qid").distinct().join(got, "qid", "left").where(F.coalesce("got", F.lit(0)) < k + 1).select("qid")
-    short = written(short, "short")
-    if not short.isEmpty():
-        n_blocks = math.ceil(size["n"] / LIST_BLOCK)
-        every = ordered.select(F.pmod(F.xxhash64("cid"), F.lit(n_blocks)).cast("string").alias("cell"), "cid", "v", "near")
-        asks = q.join(short, "qid", "left_semi").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("string")).select("cell", "qid", F.col("v").alias("qv"), F.col("near").alias("q_near"))
-        run, schema = _search_cell(size["dim"], k + 1, False)
-        more = asks.groupBy("cell").cogroup(every.groupBy("cell")).applyInArrow(run, schema)
-        scored = scored.join(short, "qid", "left_anti").unionByName(more)
+    sample = _pivots(classes, size["dim"], pivots)
+    posted = written(_posted(classes, sample, prefix, bands), "posted")
+
+    distinct = asked.select(F.col("qid").alias("cid")).distinct()
+    row_blocks = math.ceil(size["n"] / LIST_BLOCK)
+    query_blocks = max(1, math.ceil(distinct.count() / QUERY_BLOCK))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n)).cast("int")
+    asks = posted.join(distinct, "cid", "left_semi").select(F.col("cid").alias("qid"), F.col("v").alias("qv"), F.col("posted").alias("q_posted"), part(query_blocks).alias("q_block"), spread(row_blocks).alias("row_block"))
+    rows_dealt = posted.select("cid", "v", "posted", part(row_blocks).alias("r_block"), spread(query_blocks).alias("query_block"))
+    cell = lambda r, q: F.col(r) * query_blocks + F.col(q)
+    left = asks.select(cell("row_block", "q_block").alias("cell"), "qid", "qv", "q_posted")
+    right = rows_dealt.select(cell("r_block", "query_block").alias("cell"), "cid", "v", "posted")
+    run = _search_cell(size["dim"], len(sample) * bands, k + 1, share)
+    found = written(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(run, "qid long, cid long, score double"), "found")
 
     # the k + 1 best vectors hold the k + 1 best rows: one of them may be the query's own
     top = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    near = scored.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k + 1)
+    near = found.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k + 1)
     by_row = asked.join(near, "qid").join(classes.select("cid", "ids"), "cid").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return by_row.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import block_naming, langid, near_dup, token_records
+from . import block_naming, chat, langid, mixing, near_dup, permutation_index, token_records
 from .common import documents
 
 
@@ -14,6 +15,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return permutation_index.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_record_digests(documents(spark, sf_dir), tokenizer=tokenizer_path("word_bpe_49k.json"), end_id=1)
 
@@ -22,6 +28,20 @@ def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    both = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    return chat.chat_digests(turns.unionByName(both))
+
+
+def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(documents(spark, sf_dir))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_classes(documents(spark, sf_dir))
 
@@ -31,13 +51,58 @@ def op8_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_permutation_index": op1_permutation_index,
     "op2_token_records": op2_token_records,
     "op3_block_naming": op3_block_naming,
+    "op4_chat_format": op4_chat_format,
+    "op6_pfair_mix": op6_pfair_mix,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_language_masks": op8_language_masks,
 }
 
 ORACLE_SQL = {
+    "op4_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(i)
+        ), c AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+                   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                   CAST(sum(length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24) AS BIGINT) AS formatted_chars,
+                   list(role ORDER BY turn, role, text) AS roles
+            FROM t GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+               regexp_full_match(list_aggregate(roles, 'string_agg', ',') || ',', '(system,)?(user,assistant,)+') AS valid
+        FROM c
+    """,
+    "op6_pfair_mix": r"""
+        WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source FROM documents),
+        counts AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
+        size AS (SELECT count(*) AS k, greatest(500, 2 * count(*)) AS len, sum(sqrt(n)) AS w FROM counts),
+        share AS (SELECT source, sqrt(n) / w * (len - k) AS x, len - k AS spare FROM counts, size),
+        placed AS (SELECT source, x, spare - sum(floor(x)) OVER () AS rest, row_number() OVER (ORDER BY x - floor(x) DESC, source) AS place FROM share),
+        quotas AS (SELECT source, CAST(1 + floor(x) + CASE WHEN place <= rest THEN 1 ELSE 0 END AS BIGINT) AS q FROM placed),
+        lists AS (SELECT list(source ORDER BY source) AS names, list(q ORDER BY source) AS qs, CAST(sum(q) AS BIGINT) AS len FROM quotas),
+        run(t, had, pick) AS (
+            SELECT CAST(-1 AS BIGINT), list_transform(qs, lambda q: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM lists
+            UNION ALL
+            SELECT t + 1, list_transform(had, lambda h, i: h + CASE WHEN i = p THEN 1 ELSE 0 END), p
+            FROM (
+                SELECT t, had, list_position(due, list_min(due)) AS p
+                FROM (
+                    SELECT t, had, list_transform(had, lambda h, i: CASE WHEN h < qs[i] AND h * len // qs[i] <= t + 1 THEN ((h + 1) * len + qs[i] - 1) // qs[i] END) AS due
+                    FROM run, lists WHERE t + 1 < len
+                )
+            )
+        ),
+        sched AS (SELECT names[pick] AS source, qs[pick] AS q, len, t AS slot0, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM run, lists WHERE t >= 0),
+        ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id) - 1 AS i FROM docs)
+        SELECT doc_id, source, i // 16 AS block, CAST(i % 16 AS INTEGER) AS pos,
+               (i // 16) // q * len + slot0 AS slot, (i // 16) * len // q AS release, ((i // 16 + 1) * len + q - 1) // q AS due
+        FROM ranked JOIN sched USING (source) WHERE (i // 16) % q = k
+    """,
     "op3_block_naming": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
