@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, chat, langid, mixing, near_dup, permutation_index, token_records
+from . import block_naming, chat, langid, line_dedup, mixing, near_dup, permutation_index, piece_scan, token_records, warc
 from .common import documents
 
 
@@ -38,6 +38,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(turns.unionByName(both))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir))
 
@@ -50,14 +54,25 @@ def op8_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op9_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_scan.encode_digests(documents(spark, sf_dir), model=tokenizer_path("piece_bpe_32k.model"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_token_records": op2_token_records,
     "op3_block_naming": op3_block_naming,
     "op4_chat_format": op4_chat_format,
+    "op5_warc": op5_warc,
     "op6_pfair_mix": op6_pfair_mix,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_language_masks": op8_language_masks,
+    "op9_piece_scan": op9_piece_scan,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
@@ -77,6 +92,13 @@ ORACLE_SQL = {
                regexp_full_match(list_aggregate(roles, 'string_agg', ',') || ',', '(system,)?(user,assistant,)+') AS valid
         FROM c
     """,
+    "op5_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages)
+        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id < max(page_id) OVER (PARTITION BY html) THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id < max(page_id) OVER (PARTITION BY html) THEN max(page_id) OVER (PARTITION BY html) END AS refers_to
+        FROM p
+    """,
     "op6_pfair_mix": r"""
         WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source FROM documents),
         counts AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
