@@ -3,9 +3,9 @@
 Documents that share rare lines are found through the lines' hashes. Each pair is aligned by
 patience diff, and common blocks of aligned lines go from the later document (larger id).
 
-A line in more than ``rare`` documents does not pair all its holders: each is
-paired with the first document that has the line. So pairs grow with the lines, not with the square of a line's holders,
-and nothing that a frequent line could show is left out: its first holder keeps it.
+A line in more than ``rare`` documents does not pair all its holders: each is paired with the first document that has
+the line, if the lines that would pair the two so are long enough for a block. So pairs grow with the lines, not with the square of a
+line's holders, and a frequent line is still found: its first holder keeps it.
 """
 
 from __future__ import annotations
@@ -44,6 +44,15 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _nth(lines: list) -> list[tuple]:
+    seen: Counter = Counter()
+    out = []
+    for x in lines:
+        out.append((x, seen[x]))
+        seen[x] += 1
+    return out
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned positions of equal lines in ``a`` and ``b``, increasing in both."""
     out: list[tuple[int, int]] = []
@@ -61,6 +70,9 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
         place = {x: i for i, x in enumerate(b[b0:b1], b0) if in_b[x] == 1}
         anchors = _increasing([(i, place[x]) for i, x in enumerate(a[a0:a1], a0) if in_a[x] == 1 and x in place])
+        if not anchors:  # no line is unique in both: the n-th occurrences of a line are taken for each other
+            nth = dict(zip(_nth(b[b0:b1]), range(b0, b1), strict=True))
+            anchors = _increasing([(i, nth[x]) for i, x in enumerate(_nth(a[a0:a1]), a0) if x in nth])
         if not anchors:
             continue
         for (i, j), (k, m) in zip([(a0 - 1, b0 - 1), *anchors], [*anchors, (a1, b1)], strict=True):
@@ -111,8 +123,9 @@ def repeated_lines(docs: DataFrame, *, rare: int = RARE, min_chars: int = MIN_CH
     shared = written(flat.join(holders, "h"), "shared")
     often = shared.where(F.col("df") > rare).where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"), "n")
     few = shared.where(F.col("df") <= rare)
-    seldom = few.select("h", F.col("k").alias("a")).join(few.select("h", F.col("k").alias("b"), "n"), "h").where("a < b").select("a", "b", "n")
-    pairs = seldom.unionByName(often).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= min_chars).select("a", "b")
+    seldom = few.select("h", F.col("k").alias("a")).join(few.select("h", F.col("k").alias("b")), "h").where("a < b").select("a", "b").distinct()
+    first = often.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= min_chars).select("a", "b")
+    pairs = seldom.union(first).distinct()
 
     side = lambda name: table.select(key.alias(name), F.col("h").alias(f"h_{name}"), F.col("n").alias(f"n_{name}"), F.col("at").alias(f"at_{name}")).dropDuplicates([name])
     both = pairs.join(side("b"), "b").join(side("a").select("a", "h_a"), "a")
