@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
+
 # fixed values: the numbers that Hebrew letters stand for
 LETTERS = {
     "א": 1, "ב": 2, "ג": 3, "ד": 4, "ה": 5, "ו": 6, "ז": 7, "ח": 8, "ט": 9,
@@ -29,11 +31,14 @@ def _sum(text: Column) -> Column:
 
 def gematria(c: Column) -> Column:
     """Number that letters stand for, 1 to 50,000; letters before a geresh count thousands. Digits are read as they are."""
-    t = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), "'", GERESH)
-    high, low = F.split(t, GERESH, 2)[0], F.regexp_extract(t, f"^[^{GERESH}]*{GERESH}(.*)$", 1)
-    value = F.when(t == "", None).when(t.rlike(r"^\d+$"), F.try_to_number(t, F.lit("99999999"))).when(F.contains(t, F.lit(GERESH)), _sum(high) * 1000 + F.coalesce(_sum(low), F.lit(0))).otherwise(_sum(t))
-    value = value.cast("int")
-    return F.when(value.between(1, LARGEST), value)
+
+    def value(t: Column) -> Column:
+        high, low = F.split(t, GERESH, 2)[0], F.regexp_extract(t, f"^[^{GERESH}]*{GERESH}(.*)$", 1)
+        digits = t.try_cast("int")
+        return F.when(t == "", None).when(t.rlike(r"^\d+$"), digits).when(F.contains(t, F.lit(GERESH)), _sum(high) * 1000 + F.coalesce(_sum(low), F.lit(0))).otherwise(_sum(t))
+
+    n = let(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), "'", GERESH), value)
+    return let(n, lambda v: F.when(v.between(1, LARGEST), v))
 
 
 def letters(n: Column) -> Column:
@@ -63,8 +68,7 @@ def to_hebrew_year(year: Column) -> Column:
 
 def letters_to_year(c: Column) -> Column:
     """Common-era year of abbreviated Hebrew year letters."""
-    n = gematria(c)
-    return to_common_era(F.when(n.between(1, 999), n + 5_000).otherwise(n))
+    return let(gematria(c), lambda n: to_common_era(F.when(n.between(1, 999), n + 5_000).otherwise(n)))
 
 
 def century_range(century: Column, bce: Column | None = None) -> Column:
@@ -99,7 +103,10 @@ def resolve(c: Column) -> Column:
     centuries, century, range of years, approximate year, open range, uncertain year, single year, Hebrew year letters.
     """
     t = F.trim(F.coalesce(c, F.lit("")))
-    low = F.lower(t)
+    return let(F.struct(t.alias("t"), F.lower(t).alias("low"), letters_to_year(t).alias("year")), lambda x: _by_form(x["t"], x["low"], x["year"]))
+
+
+def _by_form(t: Column, low: Column, letters_year: Column) -> Column:
     hebrew_paren = r"[א-ת].*\((\d{3,4})\)"
     hebrew_century = r"(?:מאה|המאה)\s*(?:ה-?)?\s*(\d{1,2})"
     centuries = r"(\d{1,2})(?:st|nd|rd|th)?\s*[-–]\s*(\d{1,2})(?:st|nd|rd|th)\s+cent"
@@ -112,7 +119,6 @@ def resolve(c: Column) -> Column:
     bce = low.rlike(r"b\.?c\.?e?\.?|לפנה")
     of = lambda n: century_range(n, bce)
     first, last, one, heb = _number(low, centuries), _number(low, centuries, 2), _number(low, century), _number(t, hebrew_century)
-    letters_year = letters_to_year(t)
     return (
         F.when(t.rlike(hebrew_paren), _range(_number(t, hebrew_paren), _number(t, hebrew_paren), False, "hebrew_gregorian"))
         .when(t.rlike(hebrew_century), _range(of(heb)["year_start"], of(heb)["year_end"], True, "hebrew_century"))
@@ -129,10 +135,13 @@ def resolve(c: Column) -> Column:
 
 def person_dates(c: Column) -> Column:
     """Birth, death and active year: equal bounds or a century are a time of activity (a century's middle)."""
-    r = resolve(c)
-    active = r["source_format"].isin("century", "hebrew_century", "century_range") | (r["year_start"] == r["year_end"])
-    middle = F.floor((r["year_start"] + r["year_end"]) / 2).cast("int")
-    return F.struct(F.when(~active, r["year_start"]).alias("birth_year"), F.when(~active, r["year_end"]).alias("death_year"), F.when(active, middle).alias("active_year"))
+
+    def parts(r: Column) -> Column:
+        active = F.coalesce(r["source_format"].isin("century", "hebrew_century", "century_range") | (r["year_start"] == r["year_end"]), F.lit(False))
+        middle = F.floor((r["year_start"] + r["year_end"]) / 2).cast("int")
+        return F.struct(F.when(~active, r["year_start"]).alias("birth_year"), F.when(~active, r["year_end"]).alias("death_year"), F.when(active, middle).alias("active_year"))
+
+    return let(resolve(c), parts)
 
 
 def date_conflict(role: Column, year: Column, birth: Column, death: Column) -> Column:

@@ -80,7 +80,7 @@ def entity_text(c: Column) -> Column:
 def split_slots(c: Column) -> Column:
     """Slots by the first delimiter there is (slot mark, bar, semicolon). Empty slots stay: their place has a meaning."""
     t = F.coalesce(c, F.lit(""))
-    cut = lambda mark: F.transform(F.split(t, mark, -1), F.trim)
+    cut = lambda mark: F.transform(F.split(t, mark, -1), lambda x: F.trim(x))
     return F.when(F.contains(t, F.lit(SLOT_MARK)), cut(SLOT_MARK)).when(F.contains(t, F.lit("|")), cut(r"\|")).when(F.contains(t, F.lit(";")), cut(";")).otherwise(F.array(F.trim(t)))
 
 

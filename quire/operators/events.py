@@ -29,7 +29,7 @@ def states_at(events: DataFrame, rev: int | None = None) -> DataFrame:
     base = upto.where("op <> 'patch'").groupBy("entity_id").agg(F.max("rev").alias("base"))
     tail = upto.join(base, "entity_id").where("rev >= base")
     empty = F.expr("map()").cast("map<string,string>")
-    folded = tail.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("rev", "op", "state", "patch"))).alias("e"), F.max("rev").alias("rev"))
+    folded = tail.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("rev", "op", "state", "patch")), lambda a, b: (a["rev"] - b["rev"]).cast("int")).alias("e"), F.max("rev").alias("rev"))
     step = lambda s, x: F.when(x["op"] == "patch", _fold(s, F.coalesce(x["patch"], empty))).otherwise(F.coalesce(x["state"], empty))
     return folded.select("entity_id", "rev", F.aggregate("e", empty, step).alias("state"))
 

@@ -80,7 +80,8 @@ def pick_homonym(candidates: DataFrame, *, key: str = "query_id") -> DataFrame:
 
     Abstains when the best two are within ``TIE`` points of each other and neither overlaps in dates.
     """
-    a, b = dates.person_dates(F.col("record_dates")), dates.person_dates(F.col("dates"))
+    candidates = candidates.withColumn("_a", dates.person_dates(F.col("record_dates"))).withColumn("_b", dates.person_dates(F.col("dates")))
+    a, b = F.col("_a"), F.col("_b")
     lo = lambda d: F.coalesce(d["birth_year"], d["active_year"])
     hi = lambda d: F.coalesce(d["death_year"], d["active_year"])
     dated = lo(a).isNotNull() | hi(a).isNotNull()

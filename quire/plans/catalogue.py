@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import knowledge, records, relational  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES, Tables
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    """Which works meet in the same manuscripts: co-occurrence of parts in orders."""
+    return knowledge.cooccurrence(Tables(spark, sf_dir))
