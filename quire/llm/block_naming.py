@@ -182,7 +182,7 @@ def exact_groups(docs: DataFrame, **kw) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose text is the one that stays in its group, all columns unchanged.
 
-    ``doc_id`` is the key of ``docs``; rows that share an id and a text stay together.
+    ``doc_id`` is the key of ``docs``: rows that share an id and a text stay together, rows without an id always stay.
     """
     dropped = exact_groups(docs).where("not kept and not (doc_id <=> keep_id)").select(F.col("doc_id").alias("_dropped"))
     return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")

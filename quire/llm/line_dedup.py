@@ -144,12 +144,13 @@ def drop_repeated_lines(docs: DataFrame, *, rare: int = RARE, min_chars: int = M
     the smallest, texts of one id go by their hash). Rows that repeat an id and a text are one document and are
     treated alike. A null text stays null. An empty table gives an empty result.
     """
-    marks = written(repeated_lines(docs, rare=rare, min_chars=min_chars), "repeats").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "drop")
-    text = F.coalesce("text", F.lit(""))
-    joined = docs.withColumn("_h", F.xxhash64(text)).join(marks, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
-    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(left)
-    return joined.select(*(kept.alias("text") if c == "text" else F.col(c) for c in docs.columns), F.coalesce(F.size("drop"), F.lit(0)).alias("_dropped"))
+    marks = written(repeated_lines(docs, rare=rare, min_chars=min_chars), "repeats")
+    text = F.coalesce(docs["text"], F.lit(""))
+    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["doc_id"]) & (F.xxhash64(text) == marks["th"]), "left")
+    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(marks["drop"], i)), "\n")
+    kept = F.when(marks["drop"].isNull(), docs["text"]).otherwise(left)
+    others = [c for c in docs.columns if c != "_dropped"]
+    return joined.select(*(kept.alias("text") if c == "text" else docs[c] for c in others), F.coalesce(F.size(marks["drop"]), F.lit(0)).alias("_dropped"))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:

@@ -104,8 +104,10 @@ def mix_plan(docs: DataFrame, weights: dict[str, float] | None = None, *, block_
     )
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, **kw) -> DataFrame:
-    """All rows of ``docs``, all columns unchanged, in the order of the mix. ``doc_id`` is their key."""
-    plan = mix_plan(docs.dropDuplicates(["doc_id"]) if kw.pop("repeats", False) else docs, weights, **kw).select(F.col("doc_id").alias("_id"), F.col("slot").alias("_slot"), F.col("pos").alias("_pos"))
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
-    return joined.repartitionByRange(shuffle_partitions(docs.sparkSession), "_slot", "_pos").sortWithinPartitions("_slot", "_pos").select(*docs.columns)
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+    """All rows of ``docs``, all columns unchanged, in the order of the mix. ``doc_id`` is their key: rows that share one stand together."""
+    plan = mix_plan(docs, weights, block_docs=block_docs, period=period)
+    place = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("slot", "pos")).alias("_place"))
+    joined = docs.join(place, docs["doc_id"].eqNullSafe(place["_id"]))
+    ordered = joined.repartitionByRange(shuffle_partitions(docs.sparkSession), place["_place"]).sortWithinPartitions(place["_place"])
+    return ordered.select(*(docs[c] for c in docs.columns))

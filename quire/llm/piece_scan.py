@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import null_text_as_empty, written
+from .common import written
 
 SPACE = "▁"
 GIANT = 32_768
@@ -356,31 +357,31 @@ def encode_giants(giants: DataFrame, *, model: str, chunk: int = CHUNK) -> DataF
 def encode(docs: DataFrame, *, model: str, giant: int = GIANT, chunk: int = CHUNK, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of every row with ``ids`` (little-endian unsigned 32-bit) and ``decoded``, the text read back from them.
 
-    The ids are those of the library for the whole text. A null text counts as empty and has no ids. Texts over ``giant``
+    ``keep`` names no column ``ids`` or ``decoded``. The ids are those of the library for the whole text. A null text counts as empty and has no ids. Texts over ``giant``
     characters are cut into chunks of about ``chunk``. Rows may repeat; other columns are ignored. An empty table gives an empty result.
     """
     keep = keep or ["doc_id"]
-    kinds = dict(docs.dtypes)
-    rows = null_text_as_empty(docs.select(*keep, F.col("text").alias("_text")), "_text").withColumn("_length", F.length("_text"))
-    cols = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
+    kept = T.StructType([docs.schema[c] for c in keep])
+    rows = docs.select(F.struct(*keep).alias("kept"), F.coalesce("text", F.lit("")).alias("text"))
+    out = T.StructType([T.StructField("kept", kept), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pieces(model)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids = p.encode_many(part.column(len(keep)).to_pylist())
+                ids = p.encode_many(part.column(1).to_pylist())
                 texts = p.lib.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=[*keep, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["kept", "ids", "decoded"])
 
-    short = rows.where(F.col("_length") <= giant).select(*keep, "_text").mapInArrow(ordinary, f"{cols}, ids binary, decoded string")
-    long = written(rows.where(F.col("_length") > giant).withColumn("doc_row", F.monotonically_increasing_id()), "giants")
+    short = rows.where(F.length("text") <= giant).mapInArrow(ordinary, out)
+    long = written(rows.where(F.length("text") > giant).withColumn("doc_row", F.monotonically_increasing_id()), "giants")
     if long.isEmpty():
-        return short
-    coded = encode_giants(long.select("doc_row", F.col("_text").alias("text")), model=model, chunk=chunk)
+        return short.select("kept.*", "ids", "decoded")
+    coded = encode_giants(long.select("doc_row", "text"), model=model, chunk=chunk)
     read = coded.mapInArrow(lambda it: _decoded(it, model, 1), "doc_row long, chunk int, n_chunks int, ids binary, text string")
     whole = read.groupBy("doc_row").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids", "text"))).alias("c"))
     whole = whole.select("doc_row", F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"), F.array_join(F.transform("c", lambda x: x["text"]), "").alias("decoded"))
-    return short.unionByName(long.join(whole, "doc_row").select(*keep, "ids", "decoded"))
+    return short.unionByName(long.join(whole, "doc_row").select("kept", "ids", "decoded")).select("kept.*", "ids", "decoded")
 
 
 def encode_digests(docs: DataFrame, *, model: str) -> DataFrame:
@@ -390,20 +391,17 @@ def encode_digests(docs: DataFrame, *, model: str) -> DataFrame:
 
 
 def tokens(docs: DataFrame, *, model: str) -> DataFrame:
-    """Every row of ``docs`` with its token ids as an array, and whether decoding them gives the text back."""
+    """Every row of ``docs`` with ``tokens`` (its ids as an array), ``n_tokens`` and ``n_chars`` (length of the decoded text) in place of
+    ``text``. Columns of these names, ``ids`` and ``decoded`` in ``docs`` are left out."""
+    keep = [c for c in docs.columns if c not in ("text", "ids", "decoded", "tokens", "n_tokens", "n_chars")]
+    coded = encode(docs, model=model, keep=keep).select(*keep, "ids", F.length("decoded").cast("long").alias("n_chars"))
+    out = T.StructType([*(coded.schema[c] for c in keep), T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_chars", T.LongType())])
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(batch.num_columns - 2)
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids.to_pylist())]).astype(np.int32)
-            flat = np.frombuffer(b"".join(ids.to_pylist()), "<i4")
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists, batch.column(batch.num_columns - 1)], names=[*batch.schema.names[:-2], "tokens", "n_chars"])
-
-    keep = [c for c in docs.columns if c != "text"]
-    kinds = dict(docs.dtypes)
-    out = encode(docs, model=model, keep=keep)
-    out = out.select(*keep, "ids", F.length("decoded").cast("long").alias("n_chars")) if "n_chars" not in keep else out.select(*(c for c in keep if c != "n_chars"), "ids", F.length("decoded").cast("long").alias("n_chars"))
-    keep = [c for c in keep if c != "n_chars"]
-    cols = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return out.mapInArrow(arrays, f"{cols}, tokens array<int>, n_chars long" if cols else "tokens array<int>, n_chars long").withColumn("n_tokens", F.size("tokens"))
+            ids = batch.column(batch.num_columns - 2).to_pylist()
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists, batch.column(batch.num_columns - 1)], names=out.names)
+
+    return coded.mapInArrow(arrays, out).withColumn("n_tokens", F.size("tokens"))
