@@ -28,6 +28,7 @@ GRAMS_PER_LANG = 6_000
 SLOTS_LOG2 = 17
 PROBES = 2
 MAX_LANGS = 64
+SLICE = 256
 
 _CLASS = np.full(256, 0x20, np.uint8)
 _CLASS[128:] = np.arange(128, 256)
@@ -110,7 +111,7 @@ class LangFilter:
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and language: in how many texts each n-gram occurs, and the texts."""
-    for batch in batches:
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         langs = batch.column(0).to_pylist()
         keys, rows = grams(batch.column(1))
         both = np.unique(rows.astype(np.uint64) << np.uint64(32) | keys.astype(np.uint64))
@@ -161,7 +162,7 @@ def predict(docs: DataFrame, model: LangFilter, *, keep: list[str], text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
                 text, letters = part.column(len(keep)), part.column(len(keep) + 1).to_numpy(zero_copy_only=False)
                 names = np.array([*model.langs, "und"], object)
                 if model.langs:
@@ -204,7 +205,7 @@ def drop_unidentified(docs: DataFrame, *, min_score: float = 0.05) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
                 text = part.column(part.schema.get_field_index("text"))
                 letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 yield part.filter(pa.array(letters & (model.scores(text).max(1) >= min_score)))

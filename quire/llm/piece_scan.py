@@ -30,7 +30,7 @@ SPACE = "▁"
 GIANT = 32_768
 CHUNK = 8_192
 LOOKBACK = 1_024
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 NONE = float("-inf")
 
 
