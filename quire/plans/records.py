@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import dates, text, values
-from quire.operators import paging, rules
+from quire.operators import paging, projection, rules
 from quire.sources import readers, writers
 
 from .registry import Tables, query
@@ -191,3 +191,40 @@ def entity_candidates(t: Tables) -> DataFrame:
     code = lambda c: F.get(F.filter("x.subfields", lambda s: s["code"] == c), F.lit(0))["value"]
     rows = each.select("control_number", F.concat(F.lit("p"), code("a")).alias("entity"), code("e").cast("int").alias("first"))
     return paging.latest(rows.select("control_number", "entity", "first", (-F.col("first")).alias("o")), ["control_number", "entity"], ["o"]).drop("o")
+
+
+@query("""SELECT 'record:' || o_orderkey AS s, 'author' AS p, 'person:' || o_custkey AS o FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+          UNION SELECT 'record:' || l_orderkey, 'contributor', 'person:' || l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+def record_triples(t: Tables) -> DataFrame:
+    g = projection.triples_of(projection.values_of(_records(t)))
+    return g.where("o_kind = 'uri' and p <> 'type'").select("s", "p", "o")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS control_number, CAST(o_custkey AS VARCHAR) AS author, count(DISTINCT l_partkey) AS n_contributors FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")
+def record_documents(t: Tables) -> DataFrame:
+    d = projection.documents_of(projection.values_of(_records(t)))
+    return d.select("control_number", F.get(F.try_element_at("fields", F.lit("author")), F.lit(0)).alias("author"), F.size(F.try_element_at("fields", F.lit("contributor"))).cast("long").alias("n_contributors"))
+
+
+@query("""WITH x AS (SELECT s_suppkey, s_acctbal < 0 AS a, s_nationkey = 3 AS b, s_suppkey % 10 = 0 AS c, CASE WHEN s_suppkey % 2 = 0 THEN 'high' ELSE 'medium' END AS l FROM supplier)
+          SELECT s_suppkey, concat_ws(',', CASE WHEN a THEN 'debt' END, CASE WHEN b THEN 'nation' END, CASE WHEN c THEN 'round' END) AS flags, CASE WHEN b THEN 'low' WHEN a OR c THEN 'medium' ELSE l END AS confidence FROM x""")
+def guard_chain(t: Tables) -> DataFrame:
+    rows = t.supplier.withColumn("confidence", F.when(F.col("s_suppkey") % 2 == 0, "high").otherwise("medium"))
+    out = projection.guard(rows, [("debt", F.col("s_acctbal") < 0, "medium"), ("nation", F.col("s_nationkey") == 3, "low"), ("round", F.col("s_suppkey") % 10 == 0, "medium")])
+    return out.select("s_suppkey", F.array_join("flags", ",").alias("flags"), "confidence")
+
+
+@query("""WITH r AS (SELECT o_custkey AS k, o_orderkey % 3 AS prio, o_orderpriority AS src, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS a, CASE WHEN o_orderstatus = 'O' THEN o_totalprice END AS b FROM orders)
+          SELECT k, min((prio, src, a)) FILTER (a IS NOT NULL)[3] AS a, min((prio, src, b)) FILTER (b IS NOT NULL)[3] AS b, min((prio, src, a)) FILTER (a IS NOT NULL)[2] AS a_source, min((prio, src, b)) FILTER (b IS NOT NULL)[2] AS b_source FROM r GROUP BY 1""")
+def merged_biodata(t: Tables) -> DataFrame:
+    price = lambda s: F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))
+    rows = t.orders.select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 3).alias("prio"), F.col("o_orderpriority").alias("src"), price("F").alias("a"), price("O").alias("b"))
+    return projection.merge_fields(rows, "k", ["a", "b"], "src", "prio")
+
+
+@query("""WITH s AS (SELECT user_id AS record, event_type AS type, props->>'$.k' AS text, event_id AS start FROM events WHERE value >= 5 AND event_id % 11 > 0), f AS (SELECT record, type, text, min(start) AS start FROM s GROUP BY 1, 2, 3)
+          SELECT record, string_agg(type || ':' || text, '|' ORDER BY start) AS entities FROM f GROUP BY 1""")
+def folded_spans(t: Tables) -> DataFrame:
+    spans = t.events.select(F.col("user_id").alias("record"), F.col("event_type").alias("type"), F.get_json_object("props", "$.k").alias("text"), F.col("event_id").alias("start"), F.lit(None).cast("boolean").alias("approved"), (F.col("event_id") % 11 == 0).alias("rejected"), (F.col("value") / 10).alias("confidence"))
+    folded = projection.fold_spans(t.events.select(F.col("user_id").alias("record")).distinct(), spans)
+    return folded.where("entities is not null").select("record", F.array_join("entities", "|").alias("entities"))

@@ -34,13 +34,14 @@ def filter_multi_column_or_and(t: Tables) -> DataFrame:
 
 
 def _user_facts(t: Tables) -> DataFrame:
-    return t.events.select(F.col("user_id").alias("id"), F.col("event_type").alias("property"), F.get_json_object("props", "$.k").alias("value"))
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    return t.events.select(F.col("user_id").alias("id"), F.col("event_type").alias("property"), F.floor(k / 5).cast("string").alias("value"))
 
 
-@query("""SELECT user_id AS id FROM events WHERE (event_type = 'click' AND props->>'$.k' = '9') OR (event_type = 'view' AND props->>'$.k' = '58')
+@query("""SELECT user_id AS id FROM events WHERE (event_type = 'click' AND CAST(props->>'$.k' AS INTEGER) // 5 = 9) OR (event_type = 'view' AND CAST(props->>'$.k' AS INTEGER) // 5 = 11)
           GROUP BY 1 HAVING count(DISTINCT event_type) = 2 ORDER BY 1 LIMIT 500""")
 def filter_fact_conjunction(t: Tables) -> DataFrame:
-    return filters.with_all_facts(_user_facts(t), [("click", "9"), ("view", "58")])
+    return filters.with_all_facts(_user_facts(t), [("click", "9"), ("view", "11")])
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring')")
@@ -97,10 +98,10 @@ def semi_conjunction(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey").join(o.where("o_orderstatus = 'F'"), "c_custkey", "left_semi").join(o.where("o_orderpriority = '1-URGENT'"), "c_custkey", "left_semi")
 
 
-@query("""WITH d AS (SELECT DISTINCT o_orderkey % 997 AS a, o_custkey % 499 AS b FROM orders)
+@query("""WITH d AS (SELECT DISTINCT s_suppkey % 70 AS a, s_nationkey * 10 + s_suppkey % 10 AS b FROM supplier)
           SELECT a, b FROM d WHERE a NOT IN (SELECT a FROM d GROUP BY a HAVING count(*) > 1) AND b NOT IN (SELECT b FROM d GROUP BY b HAVING count(*) > 1)""")
 def unambiguous_ledger(t: Tables) -> DataFrame:
-    return resolve.unambiguous(t.orders.select((F.col("o_orderkey") % 997).alias("a"), (F.col("o_custkey") % 499).alias("b")), "a", "b")
+    return resolve.unambiguous(t.supplier.select((F.col("s_suppkey") % 70).alias("a"), (F.col("s_nationkey") * 10 + F.col("s_suppkey") % 10).alias("b")), "a", "b")
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1), b AS (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1)

@@ -166,3 +166,18 @@ def test_streamed_state_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     want = {(r["slot"], r["n"]) for r in df.groupBy(F.window("ts", "8 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("slot"), "n").collect()}
     assert {(r["slot"], r["n"]) for r in spark.table("slots").collect()} == want
+
+
+def test_running_state_follows_a_stream(spark, tmp_path):
+    from quire.streaming.entities import follow
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [(f"e{i % 2}", i // 2, i, "f" if i % 3 else "g", str(i)) for i in range(12)]
+    df = spark.createDataFrame([*rows, rows[-1]], "entity_id string, ts long, event_id long, field string, value string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = follow(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = out.writeStream.format("memory").queryName("states").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r["entity_id"], r["rev"], r["key"], r["value"]) for r in spark.table("states").collect()}
+    want = {(e, n + 1, f, v) for x in ("e0", "e1") for n, (e, _, _, f, v) in enumerate(r for r in rows if r[0] == x)}
+    assert got == want
