@@ -18,7 +18,10 @@ GERESH = "׳"
 MARKS = r"[\"'״״׳]"
 LARGEST = 50_000
 CALENDAR_OFFSET = 3_760
+SELEUCID = "לשטרות"
+SELEUCID_OFFSET = 312
 LIFESPAN = 120
+COPYING_ROLES = ("scribe", "transcriber", "copyist")
 TOLERANCE = 5
 
 
@@ -99,7 +102,7 @@ def _number(c: Column, pattern: str, group: int = 1) -> Column:
 def resolve(c: Column) -> Column:
     """Year range of a date string, by the first form that fits; null when none does.
 
-    The forms, most specific first: Hebrew letters with a common-era year in parentheses, Hebrew century, range of
+    The forms, most specific first: Seleucid era, Hebrew letters with a common-era year in parentheses, Hebrew century, range of
     centuries, century, range of years, approximate year, open range, uncertain year, single year, Hebrew year letters.
     """
     t = F.trim(F.coalesce(c, F.lit("")))
@@ -116,11 +119,15 @@ def _by_form(t: Column, low: Column, letters_year: Column) -> Column:
     open_range = r"(\d{3,4})\s*[-–]\s*$"
     uncertain = r"(\d{3,4})\s*\?"
     single = r"(?<!\d)(\d{3,4})(?!\d)"
+    era = _sum(F.regexp_extract(t, rf"([א-ת][א-ת\"'״׳]*)\s*{SELEUCID}", 1))
+    era_year = let(era, lambda v: F.when(v > 0, v + F.when((v > 900) | F.startswith(t, F.lit("א")), 1000).otherwise(0) - SELEUCID_OFFSET))
+    paren = _number(t, r"\((\d{3,4})\)")
     bce = low.rlike(r"b\.?c\.?e?\.?|לפנה")
     of = lambda n: century_range(n, bce)
     first, last, one, heb = _number(low, centuries), _number(low, centuries, 2), _number(low, century), _number(t, hebrew_century)
     return (
-        F.when(t.rlike(hebrew_paren), _range(_number(t, hebrew_paren), _number(t, hebrew_paren), False, "hebrew_gregorian"))
+        F.when(F.contains(t, F.lit(SELEUCID)), _range(F.coalesce(paren, F.when(era_year.between(101, 2099), era_year)), F.coalesce(paren, F.when(era_year.between(101, 2099), era_year)), paren.isNull(), "seleucid_era"))
+        .when(t.rlike(hebrew_paren), _range(_number(t, hebrew_paren), _number(t, hebrew_paren), False, "hebrew_gregorian"))
         .when(t.rlike(hebrew_century), _range(of(heb)["year_start"], of(heb)["year_end"], True, "hebrew_century"))
         .when(low.rlike(centuries), _range(of(first)["year_start"], of(last)["year_end"], True, "century_range"))
         .when(low.rlike(century), _range(of(one)["year_start"], of(one)["year_end"], True, "century"))
@@ -148,7 +155,7 @@ def date_conflict(role: Column, year: Column, birth: Column, death: Column) -> C
     """Why a person cannot belong to a manuscript of a year, else null."""
     return (
         F.when(birth > year + 5, "born_after")
-        .when((role == "scribe") & (death < year - 80), "copyist_died_before")
+        .when(F.lower(role).isin(*COPYING_ROLES) & (death < year - 80), "copyist_died_before")
         .when(birth.isNull() & (death > year + 120), "death_too_late")
     )
 

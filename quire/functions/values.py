@@ -29,10 +29,17 @@ def wkt_point(c: Column) -> Column:
     return F.struct(of(1).alias("lon"), of(2).alias("lat"))
 
 
-def confidence(sources: Column, latin: Column, exact: Column, previous: Column | None = None) -> Column:
-    """Two sources and a Latin name are high, either or an exact name medium, all else low; low once given stays."""
-    level = F.when((sources >= 2) & latin, "high").when((sources >= 2) | latin | exact, "medium").otherwise("low")
-    return level if previous is None else F.when(previous == "low", "low").otherwise(level)
+def confidence(
+    sources: Column, latin: Column, *, concern: Column | bool = False, conflict: Column | bool = False, over_merged: Column | bool = False, disagrees: Column | bool = False, confirms: Column | bool = False
+) -> Column:
+    """Two agreeing sources and a Latin name are high, any source medium, none low.
+
+    Any ``concern`` of a guard makes it low, and so does a conflict between sources or an over-merged cluster; low stays low. Of the
+    rest, a disagreement takes one step away, and a confirmation makes medium high.
+    """
+    c = lambda x: F.coalesce(x if isinstance(x, Column) else F.lit(x), F.lit(False))
+    base = F.when(c(concern), "low").when((sources >= 2) & c(latin), "high").when(sources >= 1, "medium").otherwise("low")
+    return F.when(c(conflict) | c(over_merged) | (base == "low"), "low").when(c(disagrees), F.when(base == "high", "medium").otherwise("low")).when(c(confirms), "high").otherwise(base)
 
 
 def step_down(level: Column, by: Column) -> Column:

@@ -71,9 +71,12 @@ def gematria_value(t: Tables) -> DataFrame:
     return t.part.select(n.alias("n"), dates.gematria(dates.letters(n)).alias("back"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 >= 2 AND s_acctbal > 5000 THEN 'high' WHEN s_suppkey % 3 >= 2 OR s_acctbal > 5000 OR s_nationkey = 1 THEN 'medium' ELSE 'low' END AS confidence FROM supplier""")
+@query("""WITH b AS (SELECT s_suppkey AS k, s_nationkey = 7 AS disagrees, s_nationkey % 5 = 0 AS confirms, CASE WHEN s_nationkey = 1 THEN 'low' WHEN s_suppkey % 3 = 2 AND s_acctbal > 5000 THEN 'high' WHEN s_suppkey % 3 >= 1 THEN 'medium' ELSE 'low' END AS base FROM supplier)
+          SELECT k AS s_suppkey, CASE WHEN base = 'low' THEN 'low' WHEN disagrees THEN CASE base WHEN 'high' THEN 'medium' ELSE 'low' END WHEN confirms THEN 'high' ELSE base END AS confidence FROM b""")
 def confidence_ladder(t: Tables) -> DataFrame:
-    return t.supplier.select("s_suppkey", values.confidence(F.col("s_suppkey") % 3, F.col("s_acctbal") > 5000, F.col("s_nationkey") == 1).alias("confidence"))
+    n = F.col("s_nationkey")
+    level = values.confidence(F.col("s_suppkey") % 3, F.col("s_acctbal") > 5000, concern=n == 1, disagrees=n == 7, confirms=n % 5 == 0)
+    return t.supplier.select("s_suppkey", level.alias("confidence"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'New' ELSE p_name END AS en, CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS he, CASE WHEN p_partkey % 4 = 0 THEN 'Neu' END AS de FROM part""")

@@ -13,6 +13,9 @@ def one(spark, c):
 @pytest.mark.parametrize(
     ("said", "start", "end", "form"),
     [
+        ("ש לשטרות (1491)", 1491, 1491, "seleucid_era"),
+        ("תתק לשטרות", 588, 588, "seleucid_era"),
+        ("תתקא לשטרות", 1589, 1589, "seleucid_era"),
         ("1542-1620", 1542, 1620, "range"),
         ("ca. 1542-ca. 1620", 1542, 1620, "range"),
         ("ca. 1500", 1500, 1500, "approximate"),
