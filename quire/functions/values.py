@@ -52,13 +52,6 @@ def same_quantity(a: Column, b: Column) -> Column:
     return F.regexp_replace(a, r"^\+", "").try_cast("decimal(38,10)").eqNullSafe(F.regexp_replace(b, r"^\+", "").try_cast("decimal(38,10)"))
 
 
-def extent(c: Column, unit: str = "leaves|folios|pages|ff|pp|דפים|עמודים") -> Column:
-    """Sum of the numbers before a unit word; null without one, and for references to single folios."""
-    parts = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(rf"(\d+)\s*(?:\[\d+\]\s*)?(?:{unit})\b"), F.lit(1))
-    total = F.aggregate(parts, F.lit(0), lambda a, x: a + F.coalesce(x.try_cast("int"), F.lit(0)))
-    return F.when(~F.lower(c).rlike(r"\bfol\.?\s*\d+[rv]\b") & (total > 0), total)
-
-
 def dimensions(c: Column) -> Column:
     """Height and width in millimetres of ``a x b mm`` or ``cm``."""
     pattern = r"(?i)(\d+(?:\.\d+)?)\s*[x×]\s*(\d+(?:\.\d+)?)\s*(mm|cm)"

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import dates, text, values
+from quire.functions import dates, spans, text, values
 
 
 def one(spark, c):
@@ -96,7 +96,36 @@ def test_values(spark):
     assert not one(spark, values.valid_point(F.lit(0.0), F.lit(0.0)))
     assert tuple(one(spark, values.wkt_point(F.lit("Point(35.2 31.7)")))) == (35.2, 31.7)
     assert tuple(one(spark, values.dimensions(F.lit("21 x 15.5 cm")))) == (210.0, 155.0)
-    assert one(spark, values.extent(F.lit("12 leaves, 3 pages"))) == 15
     assert one(spark, values.same_quantity(F.lit("+11"), F.lit("11.0")))
     got = values.patch_list(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.create_map(F.lit(0), F.lit("z")), F.array(F.lit(1)), F.array(F.lit("n")))
     assert one(spark, got) == ["z", "c", "n"]
+
+
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [
+        ("[2], 160 leaves", (162, "leaf", 0)),
+        ("2 כרכים (160, 210 דף)", (370, "leaf", 2)),
+        ("XII, 40 pages", (52, "page", 0)),
+        ("קס דף", (160, "leaf", 0)),
+        ("160 דף (חסר)", (160, "leaf", 0)),
+        ("דף 2א-2ב", None),
+        ("12 columns", None),
+        ("leaves", None),
+        ("", None),
+    ],
+)
+def test_extent(spark, said, want):
+    x = one(spark, spans.extent(F.lit(said)))
+    assert (tuple(x) if x else None) == want
+
+
+@pytest.mark.parametrize(("name", "want"), [("ספרד", "hebrew_topic"), ("ירושלים", "hebrew_place"), ("Genesis", "bible_book"), ("TPP", "latin_topic"), ("משה?", "uncertain"), ("ABC", "capitals"), ("נח", "too_short"), ("", "empty"), ("משה ממנטובה", None), ("Moshe", None)])
+def test_person_doubt(spark, name, want):
+    assert one(spark, spans.person_doubt(F.lit(name))) == want
+    assert one(spark, spans.person_doubt(F.lit("Moshe"), F.lit("נושא נוסף: "))) == "subject_heading"
+
+
+@pytest.mark.parametrize(("said", "want"), [("XIV", 14), ("mcmxcix", 1999), ("IV.", 4), ("A", None), ("", None)])
+def test_roman(spark, said, want):
+    assert one(spark, spans.roman(F.lit(said))) == want
