@@ -167,7 +167,8 @@ def exact_groups(docs: DataFrame, **kw) -> DataFrame:
     """
     ids = written(text_identities(docs, **kw), "identities")
     rank = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
-    groups = ids.groupBy("level", "name").agg(F.min(rank).alias("_best"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join has a plain shuffle on both sides and a hot group can be split
+    groups = written(ids.groupBy("level", "name").agg(F.min(rank).alias("_best"), F.count(F.lit(1)).alias("group_size")), "groups")
     return ids.join(groups, ["level", "name"]).select(
         "doc_id",
         F.col("_best.doc_id").alias("keep_id"),
