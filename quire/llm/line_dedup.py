@@ -119,7 +119,9 @@ def repeated_lines(docs: DataFrame, *, rare: int = RARE, min_chars: int = MIN_CH
 
     key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "th")
     flat = table.select(key.alias("k"), F.explode(F.arrays_zip("h", "n")).alias("x")).groupBy("k", F.col("x.h").alias("h")).agg(F.sum("x.n").alias("n"))
-    holders = flat.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("k").alias("first")).where("df > 1")
+    flat = written(flat, "lines_of")
+    # written, so that the join has a plain shuffle on both sides and a frequent line can be split
+    holders = written(flat.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("k").alias("first")).where("df > 1"), "holders")
     shared = written(flat.join(holders, "h"), "shared")
     often = shared.where(F.col("df") > rare).where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"), "n")
     few = shared.where(F.col("df") <= rare)
