@@ -33,9 +33,9 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def override(graph: DataFrame, new: DataFrame) -> DataFrame:
-    """Replaces all literals of the ``(s, p)`` that ``new`` has, for subjects that the graph has."""
-    known = new.join(graph.select("s").distinct(), "s", "left_semi")
-    kept = graph.where("o_kind = 'uri'").unionByName(graph.where("o_kind = 'literal'").join(known.select("s", "p").distinct(), ["s", "p"], "left_anti"))
+    """Replaces all values, resources too, of the ``(s, p)`` that ``new`` has. Those that the graph has no value of are left out."""
+    known = new.join(graph.select("s", "p").distinct(), ["s", "p"], "left_semi")
+    kept = graph.join(known.select("s", "p").distinct(), ["s", "p"], "left_anti")
     return kept.unionByName(known.select(*kept.columns)).distinct()
 
 
