@@ -29,6 +29,7 @@ FRAME = struct.Struct("<QI")
 HEAD = struct.Struct("<Bq")
 CACHE_WORDS = 700_000
 READ_BYTES = 8 << 20
+SEGMENT = 1 << 16
 
 
 class ChecksumError(ValueError):
@@ -57,11 +58,21 @@ def unframe(data: bytes | memoryview, at: int = 0) -> tuple[bytes, int]:
     return payload, at + n + 4
 
 
+def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, cut at spaces, which are left out."""
+    at = 0
+    while 0 <= (cut := text.find(" ", at + size)):
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer file, each distinct space-delimited word once.
 
     Only for tokenizers whose pre-tokenizer never joins text across a space or line feed.
-    ``cache_words`` bounds the memory; a full cache is emptied, which costs time only.
+    ``cache_words`` bounds the memory; a full cache is emptied, which costs time only. A long text is
+    taken in segments, so no list holds all its words.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -74,18 +85,18 @@ class WordEncoder:
         self.cache_words = cache_words
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-            if len(self.cache) > self.cache_words:
-                self.cache.clear()
-            new = list(set(words).difference(self.cache))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for word, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.cache[word] = np.array(enc.ids, self.dtype).tobytes()
-            out.append(b"".join(map(self.cache.__getitem__, words)))
-        return out
+        return [b"".join(map(self._segment, segments(text))) for text in texts]
+
+    def _segment(self, text: str) -> bytes:
+        words = (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+        if len(self.cache) > self.cache_words:
+            self.cache.clear()
+        new = list(set(words).difference(self.cache))
+        for i in range(0, len(new), 1024):
+            part = new[i : i + 1024]
+            for word, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.cache[word] = np.array(enc.ids, self.dtype).tobytes()
+        return b"".join(map(self.cache.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -104,21 +115,17 @@ def _write_shard(batches: Iterator[pa.RecordBatch], out: str, tokenizer: str, en
     end = np.array([end_id], encoder.dtype).tobytes()
     index, n_tokens, at = [], 0, 0
     fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(f"{root}/{name}.rec") as sink:
+    with fs.open_output_stream(f"{root}/{name}.rec", buffer_size=1 << 20) as sink:
         sink.write(MAGIC + bytes([encoder.dtype.itemsize]))
         at = len(MAGIC) + 1
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = batch.column(1)
-            for i in range(0, len(ids), 256):
-                chunk = []
-                for doc_id, data in zip(ids[i : i + 256], encoder.encode(texts[i : i + 256].to_pylist()), strict=True):
-                    record = frame(HEAD.pack(doc_id is not None, doc_id or 0) + data + end)
-                    n = len(data) // encoder.dtype.itemsize + 1
-                    index.append((doc_id is not None, doc_id or 0, at, n))
-                    at, n_tokens = at + len(record), n_tokens + n
-                    chunk.append(record)
-                sink.write(b"".join(chunk))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # one text at a time
+                data = encoder.encode([text.as_py()])[0]
+                record = frame(HEAD.pack(doc_id is not None, doc_id or 0) + data + end)
+                n = len(data) // encoder.dtype.itemsize + 1
+                index.append((doc_id is not None, doc_id or 0, at, n))
+                at, n_tokens = at + len(record), n_tokens + n
+                sink.write(record)
     table = np.array(index, INDEX)
     with fs.open_output_stream(f"{root}/{name}.idx") as sink:
         sink.write(table.tobytes())
