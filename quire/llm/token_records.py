@@ -27,7 +27,7 @@ MAGIC = b"QREC1"
 INDEX = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u4")])
 FRAME = struct.Struct("<QI")
 HEAD = struct.Struct("<Bq")
-CACHE_WORDS = 200_000
+CACHE_WORDS = 1_350_000
 READ_BYTES = 8 << 20
 SEGMENT = 1 << 16
 
