@@ -1,18 +1,19 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share rare lines are found through the lines' hashes. Each pair is aligned by
-patience diff, and common blocks of aligned lines go from the later document (larger id).
-
-A line in more than ``rare`` documents does not pair all its holders: each is paired with the first document that has
-the line, if the lines that would pair the two so are long enough for a block. So pairs grow with the lines, not with the square of a
-line's holders, and a frequent line is still found: its first holder keeps it.
+Documents are aligned by patience diff, and common blocks of aligned lines go from the later document (larger id). The result is that of
+aligning all pairs, but only those are aligned that can add to it. A block holds a window, a shortest run of lines with enough characters, that
+both documents have, so documents are found through the hashes of their windows. Each is aligned with the first document that has
+a window; where lines of the window stay, with further holders, in batches that grow ``rare`` times a round, until the lines are gone or all
+earlier holders were asked. Of documents with the same lines only the first takes part: the others go whole. The work of a window that patience never
+aligns still grows with the square of its holders.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -109,34 +110,79 @@ def _aligned(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(at, pa.int32())], names=["doc_id", "th", "at"])
 
 
+def windows(h: list[int], n: list[int], min_chars: int) -> set[tuple[int, int, int]]:
+    """Hash, first and last position of the shortest runs of ``min_chars`` characters from each line on and up to each line.
+
+    Every line of a run that is long enough lies in one of these windows within the run.
+    """
+    ends = [0, *accumulate(n)]
+    spans = set()
+    for p in range(len(h)):
+        q = bisect_left(ends, ends[p] + min_chars, p + 1) - 1
+        if q < len(h):
+            spans.add((p, q))
+        q = bisect_right(ends, ends[p + 1] - min_chars, 0, p + 1) - 1
+        if q >= 0:
+            spans.add((q, p))
+    return {(hash(tuple(h[p : q + 1])), p, q) for p, q in spans}
+
+
+def _windows(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+    names, kinds = ["d", "th", "g", "p", "q"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    for batch in batches:
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        out = [(d, th, *w) for d, th, h, n in rows for w in windows(h, n, min_chars)]
+        columns = zip(*out, strict=True) if out else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+
 def repeated_lines(docs: DataFrame, *, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id``, ``th`` (hash of the text) and ``drop``: the line numbers (from 0) to delete, for documents that lose lines."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.split(text, "\n").alias("raw"))
     numbered = F.transform("raw", lambda x, i: F.struct(i.alias("at"), F.xxhash64(F.trim(x)).alias("h"), F.length(F.trim(x)).alias("n")))
     lines = keyed.select("doc_id", "th", F.filter(numbered, lambda x: x["n"] > 0).alias("lines")).where(F.size("lines") > 0)
-    table = written(lines.select("doc_id", "th", F.col("lines.at").alias("at"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n")), "lines")
-
     key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "th")
-    flat = table.select(key.alias("k"), F.explode(F.arrays_zip("h", "n")).alias("x")).groupBy("k", F.col("x.h").alias("h")).agg(F.sum("x.n").alias("n"))
-    flat = written(flat, "lines_of")
-    # written, so that the join has a plain shuffle on both sides and a frequent line can be split
-    holders = written(flat.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("k").alias("first")).where("df > 1"), "holders")
-    shared = written(flat.join(holders, "h"), "shared")
-    often = shared.where(F.col("df") > rare).where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"), "n")
-    few = shared.where(F.col("df") <= rare)
-    seldom = few.select("h", F.col("k").alias("a")).join(few.select("h", F.col("k").alias("b")), "h").where("a < b").select("a", "b").distinct()
-    first = often.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= min_chars).select("a", "b")
-    pairs = seldom.union(first).distinct()
-
-    side = lambda name: table.select(key.alias(name), F.col("h").alias(f"h_{name}"), F.col("n").alias(f"n_{name}"), F.col("at").alias(f"at_{name}")).dropDuplicates([name])
-    both = pairs.join(side("b"), "b").join(side("a").select("a", "h_a"), "a")
-    cut = both.select(F.col("b.d").alias("doc_id"), F.col("b.th").alias("th"), "h_a", "h_b", "n_b")
-    found = cut.mapInArrow(lambda it: _aligned(it, min_chars), "doc_id long, th long, at int")
-    gone = found.groupBy("doc_id", "th").agg(F.collect_set("at").alias("places"))
-    places = side("b").select(F.col("b.d").alias("doc_id"), F.col("b.th").alias("th"), "at_b")
-    drop = F.transform("places", lambda i: F.get("at_b", i))
-    return gone.join(places, ["doc_id", "th"]).select(F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")).alias("doc_id"), "th", drop.alias("drop"))
+    cut = lines.select(key.alias("k"), F.col("lines.at").alias("at"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n"))
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+    table = written(cut.withColumn("total", total).where(F.col("total") >= min_chars).withColumn("same", F.struct(F.xxhash64("h"), F.size("h"), "total")).dropDuplicates(["k"]), "lines")
+    # written, so that the join has a plain shuffle on both sides and a hot group can be split
+    firsts = written(table.groupBy("same").agg(F.min("k").alias("first")), "firsts")
+    table = written(table.join(firsts, "same").select("k", "at", "h", "n", (F.col("k") != F.col("first")).alias("copy")), "lines")
+    alone = table.where("not copy")
+
+    spans = alone.select("k.d", "k.th", "h", "n").mapInArrow(lambda it: _windows(it, min_chars), "d long, th long, g long, p int, q int")
+    spans = written(spans.select(F.struct("d", "th").alias("k"), "g", "p", "q"), "windows")
+    holders = written(spans.select("g", "k").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.min("k").alias("first")).where("df > 1"), "holders")
+    shared = written(spans.join(holders, "g"), "shared")
+
+    side = lambda name: alone.select(F.col("k").alias(name), F.col("h").alias(f"h_{name}"), F.col("n").alias(f"n_{name}"))
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("b"), "b").join(side("a").select("a", "h_a"), "a")
+        texts = both.select(F.col("b.d").alias("doc_id"), F.col("b.th").alias("th"), "h_a", "h_b", "n_b")
+        found = texts.mapInArrow(lambda it: _aligned(it, min_chars), "doc_id long, th long, at int")
+        return written(found.groupBy(F.struct(F.col("doc_id").alias("d"), "th").alias("k")).agg(F.collect_set("at").alias("places")), "gone")
+
+    left = shared.where("k <> first")
+    gone = aligned(left.select(F.col("first").alias("a"), F.col("k").alias("b")).distinct())
+    lo, hi = 0, rare
+    turn = F.floor(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) * F.col("df") / (1 << 30))  # of a holder, 0 to df - 1
+    left = left.where("df > 2")
+    while True:
+        stays = F.exists(F.sequence("p", "q"), lambda x: ~F.array_contains(F.coalesce("places", F.array().cast("array<int>")), x))
+        left = written(left.join(gone, "k", "left").where(stays).select("g", "k", "p", "q", "df"), "left")
+        if left.isEmpty():
+            break
+        asked = shared.where((turn >= lo) & (turn < hi) & (F.col("k") != F.col("first"))).select("g", F.col("k").alias("a")).distinct()
+        more = aligned(left.select("g", F.col("k").alias("b")).distinct().join(asked, "g").where("a < b").select("a", "b").distinct())
+        gone = written(gone.union(more).groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "gone")
+        left, lo, hi = left.where(F.col("df") > hi), hi, hi * max(rare, 2)
+
+    drop = F.transform("places", lambda i: F.get("at", i))
+    some = gone.join(alone.select("k", "at"), "k").select("k", drop.alias("drop"))
+    lost = some.union(table.where("copy").select("k", F.col("at").alias("drop")))
+    return lost.select(F.when(F.col("k.d") > -(1 << 63), F.col("k.d")).alias("doc_id"), "k.th", "drop")
 
 
 def drop_repeated_lines(docs: DataFrame, *, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -436,6 +436,43 @@ def test_line_dedup_against_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def all_pairs(rows, min_chars=line_dedup.MIN_CHARS):
+    lines = {i: [(x.strip(" "), k) for k, x in enumerate((t or "").split("\n")) if x.strip(" ")] for i, t in rows}
+    drop = collections.defaultdict(set)
+    for i, j in itertools.combinations(sorted(lines), 2):
+        a, b = [x for x, _ in lines[i]], [x for x, _ in lines[j]]
+        drop[j] |= {lines[j][k][1] for k in line_dedup.common_blocks(a, b, [len(x) for x in b], min_chars)}
+    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in drop[i]) for i, t in rows}
+
+
+def long_crossed(rnd):
+    one, two = "first line of the frequent pair " * 2, "second line of the frequent pair " * 2
+    return [(1, f"{one}\n{two}"), *((i, f"{two}\n{one}") for i in range(2, 21))]
+
+
+def short_passage(rnd):
+    passage = [f"short line {i}" for i in range(6)]
+    singles = [(i, f"only {i}\n{x}") for i, x in enumerate(passage)]
+    return singles + [(i, "\n".join([f"own {i}", *passage, f"end {i}"])) for i in range(10, 40)]
+
+
+def crossed_order(rnd):
+    heads = ["the one long line that all have, of more than enough characters", "the other long line that all have, of more than enough characters"]
+    return [(i, "\n".join([f"own {i}", *(heads if i % 3 else heads[::-1]), *(rnd.choice(heads) for _ in range(i % 4)), f"end {i}"])) for i in range(90)]
+
+
+def mixed_pool(rnd):
+    pool = [f"line {i} of it" for i in range(25)] + ["short", "", "  ", "a line that is long enough to be a block of its own, surely"]
+    return [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 40)))) for i in range(120)]
+
+
+@pytest.mark.parametrize("made", [long_crossed, short_passage, crossed_order, mixed_pool])
+def test_line_dedup_equals_all_pairs(spark, made):
+    rows = made(random.Random(11))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()} == all_pairs(rows)
+
+
 def test_line_dedup_of_odd_rows(spark):
     docs = odd_rows(spark)
     out = line_dedup.drop_repeated_lines(docs)
