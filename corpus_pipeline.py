@@ -30,8 +30,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the length of the text they decode to."""
-    return piece_scan.tokens(docs, model=tokenizer_path("piece_bpe_32k.model"))
+    """Token ids of every document, the length of the text they decode to, and the document's ``slot`` and ``pos`` in the mix."""
+    return piece_scan.tokens(mixing.placed(docs), model=tokenizer_path("piece_bpe_32k.model"))
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("encoding", encode)]

@@ -67,14 +67,16 @@ def schedule(quotas: DataFrame) -> DataFrame:
     return mine.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("slot0")) - 1)
 
 
-def mix_plan(docs: DataFrame, weights: dict[str, float] | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
-    """One row per input row: ``doc_id``, ``source``, ``block`` (from 0), ``pos`` in it, ``slot``, ``release``, ``due``.
+def mix_plan(docs: DataFrame, weights: dict[str, float] | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD, keep: list[str] | None = None) -> DataFrame:
+    """One row per input row: ``doc_id``, ``source``, ``block`` (from 0), ``pos`` in it, ``slot``, ``release``, ``due``; with ``keep`` also
+    ``kept``, a struct of these columns.
 
     Within a source documents go by the MD5 of their id. Rows that share an id keep separate places. A null source is the source ``''``, a null
     id comes first. Every row is placed: once a source is used up, the others go on in their order.
-    Only ``doc_id`` and ``source`` are read. An empty table gives an empty result.
+    Only ``doc_id``, ``source`` and ``keep`` are read. An empty table gives an empty result.
     """
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    kept = [F.struct(*keep).alias("kept")] if keep else []
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), *kept)
     counts = written(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "sources")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     table = written(schedule(source_quotas(counts, weights, period)), "schedule")
@@ -101,9 +103,18 @@ def mix_plan(docs: DataFrame, weights: dict[str, float] | None = None, *, block_
         (F.floor(F.col("block") / F.col("quota")) * F.col("length") + F.col("slot0")).alias("slot"),
         F.floor(F.col("block") * F.col("length") / F.col("quota")).alias("release"),
         F.ceil((F.col("block") + 1) * F.col("length") / F.col("quota")).alias("due"),
+        *(["kept"] if keep else []),
     )
 
 
+def placed(docs: DataFrame, weights: dict[str, float] | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+    """All rows of ``docs`` with their ``slot`` and ``pos`` in the mix, each row its own place. Columns of these names in ``docs`` are left out."""
+    others = [c for c in docs.columns if c not in ("slot", "pos")]
+    plan = mix_plan(docs, weights, block_docs=block_docs, period=period, keep=others)
+    # written, so that rows that share an id keep the places they were given
+    return written(plan.select("kept.*", "slot", "pos"), "placed")
+
+
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
     """All rows of ``docs``, all columns unchanged, in the order of the mix. ``doc_id`` is their key: rows that share one stand together."""
     plan = mix_plan(docs, weights, block_docs=block_docs, period=period)

@@ -518,3 +518,15 @@ def test_pipeline_stages_of_odd_rows(spark, rows):
     for _, stage in c.STAGES[:-1]:
         docs = stage(spark, docs, SMALL)
     c.STAGES[-1][1](spark, docs, SMALL).collect()
+
+
+def test_pipeline_result_is_in_the_order_of_the_mix(spark):
+    import corpus_pipeline as c
+
+    docs = spark.createDataFrame([(i, f"text {i}", None, None if i % 9 == 0 else f"s{i % 4 // 2}", None) for i in range(400)], DOCS)
+    out = c.STAGES[-1][1](spark, docs, SMALL).select("doc_id", "slot", "pos").collect()
+    plan = mixing.mix_plan(docs).collect()
+    order = lambda rows: [r["doc_id"] for r in sorted(rows, key=lambda r: (r["slot"], r["pos"]))]
+    assert order(out) == order(plan) != sorted(order(plan))
+    odd = c.STAGES[-1][1](spark, odd_rows(spark), SMALL).collect()
+    assert len(odd) == len({(r["slot"], r["pos"]) for r in odd}) == odd_rows(spark).count()
