@@ -65,9 +65,15 @@ def slot_snapshots(rows: DataFrame, key: str, ts: str, order: str, hours: int =
 
 
 def prune_plan(events: DataFrame, key: str, order: list[str], keep: int = KEEP) -> DataFrame:
-    """Events beyond the newest ``keep`` of each key."""
-    newest = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
-    return events.withColumn("place", F.row_number().over(newest)).where(F.col("place") > keep)
+    """Events to delete so that each key falls back to ``keep``: its oldest that are no anchors (``op`` ``create`` or ``snapshot``), with their ``place`` from the oldest.
+
+    Anchors count but stay, so a key with more than ``keep`` of them stays over. Without a column ``op`` no event is an anchor.
+    """
+    anchor = F.coalesce(F.col("op").isin("create", "snapshot"), F.lit(False)) if "op" in events.columns else F.lit(False)
+    total = events.groupBy(F.col(key).alias("_key")).agg((F.count(F.lit(1)) - keep).alias("_excess")).where("_excess > 0")
+    oldest = Window.partitionBy(key).orderBy(*order)
+    ranked = events.where(~anchor).withColumn("place", F.row_number().over(oldest))
+    return ranked.join(total, F.col(key).eqNullSafe(F.col("_key"))).where("place <= _excess").drop("_key", "_excess")
 
 
 def expired(rows: DataFrame, ts: str, now: Column, days: Column) -> DataFrame:

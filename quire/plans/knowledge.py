@@ -383,6 +383,13 @@ def prune_plan(t: Tables) -> DataFrame:
     return events.prune_plan(t.events, "user_id", ["ts", "event_id"], keep=40).select("event_id")
 
 
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type, count(*) OVER (PARTITION BY user_id) - 40 AS excess FROM events),
+          r AS (SELECT event_id, excess, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM e WHERE event_type NOT IN ('signup', 'view')) SELECT event_id FROM r WHERE place <= excess""")
+def prune_plan_anchors(t: Tables) -> DataFrame:
+    op = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "view", "snapshot").otherwise("patch")
+    return events.prune_plan(t.events.withColumn("op", op), "user_id", ["ts", "event_id"], keep=40).select("event_id")
+
+
 @query("SELECT event_id FROM events WHERE date_diff('day', CAST(ts AS DATE), DATE '2024-02-01') > CASE event_type WHEN 'click' THEN 10 WHEN 'view' THEN 20 END")
 def expiry(t: Tables) -> DataFrame:
     days = F.when(F.col("event_type") == "click", 10).when(F.col("event_type") == "view", 20)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import analytics, components, events, filters, graphs, matching, paging, resolve, triples
+from quire.operators import analytics, components, curation, events, filters, graphs, matching, paging, resolve, triples
 from quire.sources import readers, writers
 
 
@@ -181,3 +181,12 @@ def test_running_state_follows_a_stream(spark, tmp_path):
     got = {(r["entity_id"], r["rev"], r["key"], r["value"]) for r in spark.table("states").collect()}
     want = {(e, n + 1, f, v) for x in ("e0", "e1") for n, (e, _, _, f, v) in enumerate(r for r in rows if r[0] == x)}
     assert got == want
+
+
+def test_pruning_keeps_anchors(spark):
+    ops = ["create", *["patch"] * 4, "snapshot", *["patch"] * 4]
+    rows = [("a", i, op) for i, op in enumerate(ops)] + [("b", i, "patch") for i in range(3)] + [("c", i, "snapshot") for i in range(6)]
+    df = spark.createDataFrame(rows, "entity_id string, rev int, op string")
+    gone = lambda keep: {(r["entity_id"], r["rev"]) for r in events.prune_plan(df, "entity_id", ["rev"], keep=keep).collect()}
+    assert gone(4) == {("a", i) for i in (1, 2, 3, 4, 6, 7)}
+    assert gone(1) == {("a", i) for i in (1, 2, 3, 4, 6, 7, 8, 9)} | {("b", 0), ("b", 1)}
