@@ -17,17 +17,21 @@ def merge_records(links: DataFrame, records: DataFrame, *, lists: list[str], sca
     return gathered.select("item", *(F.array_distinct(F.flatten(F.filter(F.col(f"r.{c}"), lambda y: y.isNotNull()))).alias(c) for c in lists), *scalars)
 
 
-def propagate(known: DataFrame, links: DataFrame, *, rounds: int = 10) -> DataFrame:
+COMPACT = 16
+
+
+def propagate(known: DataFrame, links: DataFrame) -> DataFrame:
     """``item, value`` for all items that links (either way) connect to a known one: each takes the smallest value among its neighbours of the round in which it
-    is first reached."""
-    steps = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    is first reached. Rounds go on until none reaches a new item."""
+    steps = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "steps")
     done = new = written(known.select("item", "value"), "known")
-    for _ in range(rounds):
+    rounds = 0
+    while not new.isEmpty():
         reached = new.join(steps, F.col("item") == F.col("a")).groupBy(F.col("b").alias("item")).agg(F.min("value").alias("value"))
         new = written(reached.join(done.select("item"), "item", "left_anti"), "known")
-        if new.isEmpty():
-            break
-        done = done.unionByName(new)
+        done, rounds = done.unionByName(new), rounds + 1
+        if rounds % COMPACT == 0:  # a union of few tables, however many rounds
+            done = written(done, "known")
     return done
 
 

@@ -99,18 +99,22 @@ def construct(bindings: DataFrame, *templates: tuple[str, str, str]) -> DataFram
     return reduce(lambda a, b: a.unionByName(b), made).dropna().distinct()
 
 
-def path_plus(triples: DataFrame, p: str, *, depth: int = 6) -> DataFrame:
-    """Pairs connected by one to ``depth`` steps of a property. Each round joins only the pairs that are new."""
+COMPACT = 16
+
+
+def path_plus(triples: DataFrame, p: str) -> DataFrame:
+    """Pairs connected by one or more steps of a property. Each round joins only the pairs that are new, until there are none."""
     from quire.sources.shared import written
 
-    step = triples.where((F.col("p") == p) & (F.col("o_kind") == "uri")).select("s", "o").distinct()
-    known = new = written(step, "path")
-    for _ in range(depth - 1):
-        if new.isEmpty():
-            break
+    step = written(triples.where((F.col("p") == p) & (F.col("o_kind") == "uri")).select("s", "o").distinct(), "path")
+    known = new = step
+    rounds = 0
+    while not new.isEmpty():
         further = new.select("s", F.col("o").alias("m")).join(step.select(F.col("s").alias("m"), "o"), "m").select("s", "o").distinct()
         new = written(further.join(known, ["s", "o"], "left_anti"), "path")
-        known = known.union(new)
+        known, rounds = known.union(new), rounds + 1
+        if rounds % COMPACT == 0:  # a union of few tables, however many rounds
+            known = written(known, "path")
     return known
 
 

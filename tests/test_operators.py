@@ -190,3 +190,13 @@ def test_pruning_keeps_anchors(spark):
     gone = lambda keep: {(r["entity_id"], r["rev"]) for r in events.prune_plan(df, "entity_id", ["rev"], keep=keep).collect()}
     assert gone(4) == {("a", i) for i in (1, 2, 3, 4, 6, 7)}
     assert gone(1) == {("a", i) for i in (1, 2, 3, 4, 6, 7, 8, 9)} | {("b", 0), ("b", 1)}
+
+
+def test_fixed_points_have_no_depth(spark):
+    n = 20
+    links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(n, 3)], "a int, b int")
+    known = spark.createDataFrame([(0, "x")], "item int, value string")
+    assert {(r["item"], r["value"]) for r in curation.propagate(known, links).collect()} == {(i, "x") for i in range(n + 1)}
+    t = spark.createDataFrame([(f"n{i}", "p", f"n{i + 1}", "uri") for i in range(n)], "s string, p string, o string, o_kind string")
+    got = [(r["s"], r["o"]) for r in triples.path_plus(t, "p").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(f"n{i}", f"n{j}") for i in range(n) for j in range(i + 1, n + 1)}
