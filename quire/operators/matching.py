@@ -45,16 +45,22 @@ def cascade(queries: DataFrame, names: DataFrame, *, threshold: float = FUZZY) -
     """Best name for each query (``id``, ``text``): an equal key, else the shortest that contains it or is contained,
     else the most similar by trigrams. Ties go to the smaller id. Queries without any match are left out.
 
-    Containment is found through shared whole words: the rarest word of the shorter key must be in the longer one.
+    Containment is that of characters, also within words. It is found through the shorter key's rarest three characters, which
+    are in the longer key too; a key of one or two characters is looked up whole. An empty key contains nothing and is in none.
     """
     q = queries.select(F.col("id").alias("query_id"), F.col("text").alias("query"), text.plain_key(F.col("text")).alias("key"))
     n = names.select(F.col("id").alias("name_id"), F.col("text").alias("name"), text.plain_key(F.col("text")).alias("key"))
     equal = q.join(n, "key").select("query_id", "name_id", F.lit(0).alias("tier"), F.length("name").alias("length"), F.lit(1.0).alias("similarity"))
     left = q.join(equal, "query_id", "left_anti")
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    counts = n.select(F.explode(words(F.col("key"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rare = lambda df, k: df.select(k, "key", F.explode(words(F.col("key"))).alias("w")).join(counts, "w").groupBy(k, "key").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
-    every = lambda df, k: df.select(k, F.col("key").alias("longer"), F.explode(words(F.col("key"))).alias("w"))
+    grams = lambda size: F.when(F.length("key") >= size, F.transform(F.sequence(F.lit(1), F.length("key") - size + 1), lambda i: F.substring(F.col("key"), i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    pieces = F.array_distinct(F.concat(grams(1), grams(2), grams(3)))
+    counts = n.select(F.explode(F.array_distinct(grams(3))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+
+    def rare(df: DataFrame, k: str) -> DataFrame:
+        long = df.select(k, "key", F.explode(grams(3)).alias("w")).join(counts, "w").groupBy(k, "key").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
+        return long.union(df.where(F.length("key").between(1, 2)).select(k, "key", F.col("key").alias("w")))
+
+    every = lambda df, k: df.select(k, F.col("key").alias("longer"), F.explode(pieces).alias("w"))
     inside = rare(left, "query_id").join(every(n, "name_id"), "w").where(F.contains("longer", "key"))
     around = rare(n, "name_id").join(every(left, "query_id"), "w").where(F.contains("longer", "key"))
     held = inside.select("query_id", "name_id").union(around.select("query_id", "name_id")).distinct()

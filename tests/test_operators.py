@@ -200,3 +200,10 @@ def test_fixed_points_have_no_depth(spark):
     t = spark.createDataFrame([(f"n{i}", "p", f"n{i + 1}", "uri") for i in range(n)], "s string, p string, o string, o_kind string")
     got = [(r["s"], r["o"]) for r in triples.path_plus(t, "p").collect()]
     assert len(got) == len(set(got)) and set(got) == {(f"n{i}", f"n{j}") for i in range(n) for j in range(i + 1, n + 1)}
+
+
+def test_containment_needs_no_whole_word(spark):
+    names = spark.createDataFrame([(1, "mishneh hatorah"), (2, "torahs of old and other long words"), (3, "ab"), (4, "rare"), (5, "long name with xrarey inside of it")], "id int, text string")
+    queries = spark.createDataFrame([(1, "torah"), (2, "crab apple tree"), (3, "rar"), (4, "xrarey"), (5, "ishneh hato"), (6, "z"), (7, "name wit")], "id int, text string")
+    got = {r["query_id"]: (r["name_id"], r["tier"]) for r in matching.cascade(queries, names).collect()}
+    assert got == {1: (1, 1), 2: (3, 1), 3: (4, 1), 4: (4, 1), 5: (1, 1), 7: (5, 1)}
