@@ -133,14 +133,18 @@ def _codes(langs: list[str]) -> list[int]:
 def fit(train: DataFrame, *, fit_rows: int = FIT_ROWS, grams_per_lang: int = GRAMS_PER_LANG, slots_log2: int = SLOTS_LOG2) -> LangFilter:
     """Learn a filter from ``text`` and ``lang``; rows with a null in either take no part.
 
-    At most about ``fit_rows`` rows are used, an even hash sample over the rows when there are more, and whole texts of
-    those. A language's filter has its ``grams_per_lang`` most widespread n-grams that are at
+    At most about ``fit_rows`` rows are used, and whole texts of those. When there are more, each language has an equal share of
+    ``fit_rows``: an even hash sample over its rows, or all of them if they are fewer. A language's filter has its ``grams_per_lang`` most widespread n-grams that are at
     least half as frequent in it as in any other language.
     """
     rows = train.where("lang is not null and text is not null").select("lang", "text", "_pick")
-    n = rows.count()
-    if n > fit_rows:
-        rows = rows.where(F.col("_pick") < F.lit(fit_rows / n))
+    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(per_lang) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages; a mask has {MAX_LANGS} bits")
+    if sum(per_lang.values()) > fit_rows:
+        share = fit_rows / len(per_lang)
+        below = F.create_map(*(F.lit(x) for lang, n in per_lang.items() for x in (lang, min(1.0, share / n))))
+        rows = rows.where(F.col("_pick") < F.element_at(below, F.col("lang")))
     counts = rows.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     shares = counts.where("gram >= 0").join(F.broadcast(counts.where("gram = -1").select("lang", F.col("n").alias("texts"))), "lang").withColumn("p", F.col("n") / F.col("texts"))
     best = shares.groupBy("gram").agg(F.max("p").alias("p_max"))
@@ -197,7 +201,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def drop_unidentified(docs: DataFrame, *, min_score: float = 0.05) -> DataFrame:
     """Rows of ``docs`` in a language that the filter knows: ``lang_pred`` is not ``und`` and at least
-    ``min_score`` of the n-grams are known. All columns unchanged."""
+    ``min_score`` of the n-grams are known. All columns unchanged.
+
+    Without a labelled row to learn from (``lang`` and ``text`` not null, out of fold 1) no language is known, and no row stays.
+    """
     model = fit(training_rows(docs))
     if not model.langs:
         return docs.where(F.lit(False))

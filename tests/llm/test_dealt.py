@@ -357,6 +357,17 @@ def test_language_of_odd_rows(spark):
     assert langid.drop_unidentified(docs).columns == docs.columns
 
 
+def test_rare_language_is_learned_from_a_bounded_sample(spark):
+    rnd = random.Random(12)
+    text = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(3)) for _ in range(12))
+    rows = [(i, text("abcd"), "many") for i in range(4000)] + [(10000 + i, text("wxyz"), "few") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(langid.training_rows(docs), fit_rows=100)
+    few = langid.predict(docs.where("lang = 'few'"), model, keep=["doc_id"]).collect()
+    assert len(few) == 40 and all(r["lang_pred"] == "few" for r in few)
+    assert langid.drop_unidentified(docs.withColumn("lang", F.lit(None).cast("string"))).count() == 0
+
+
 def test_filter_has_every_member_and_few_others():
     rng = np.random.default_rng(4)
     keys = rng.integers(0, 1 << 32, 6000, dtype=np.uint64).astype(np.uint32)
