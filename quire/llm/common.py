@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +18,7 @@ from quire.sources.shared import new_dir, shared_dir, written
 __all__ = ["new_dir", "shared_dir", "written"]
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 19
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -36,9 +43,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column of one Arrow batch, and its row offsets. Null counts as empty."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -54,3 +58,43 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def null_text_as_empty(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows whose texts in ``column`` have about ``size`` bytes in all, or of one longer text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and what it has freed goes back to the system at the end of the task: workers wait for others with what they hold."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A written copy of ``docs`` with one more column, a number that no two rows share, and that column's name."""
+    name = "_number"
+    while name in docs.columns:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
