@@ -9,6 +9,7 @@ may take records of a shard in any order through the index.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -17,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,9 +30,10 @@ MAGIC = b"QREC1"
 INDEX = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u4")])
 FRAME = struct.Struct("<QI")
 HEAD = struct.Struct("<Bq")
-CACHE_WORDS = 1_350_000
+CACHE_WORDS = 400_000
 READ_BYTES = 8 << 20
-SEGMENT = 1 << 16
+SEGMENT = 1 << 21
+INDEX_ROWS = 1 << 16
 
 
 class ChecksumError(ValueError):
@@ -70,33 +74,106 @@ def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
 class WordEncoder:
     """Encodes texts with a tokenizer file, each distinct space-delimited word once.
 
-    Only for tokenizers whose pre-tokenizer never joins text across a space or line feed.
-    ``cache_words`` bounds the memory; a full cache is emptied, which costs time only. A long text is
-    taken in segments, so no list holds all its words.
+    Only for tokenizers whose pre-tokenizer never joins text across a space or line feed. Words go to the library as they are, so its special
+    tokens are found as in whole texts. Where the file's steps are composition, lower case, a split pattern and bytes, a
+    plain word (printable, no letter beyond Latin, nothing to compose) is split by that pattern here, and the library's model encodes each distinct part once.
+    ``cache_words`` bounds each of the two caches; a full one is emptied, which costs time only. Texts are
+    taken in segments, so no list holds all words of a long one.
     """
 
+    PLAIN_STEPS = {"NFC", "Replace", "Lowercase"}
+    LAST_PLAIN = "\u024f"
+
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.cache_words = cache_words
+        spec = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.pattern = self._split_pattern(spec)
+        self.bytes_as_text = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def _split_pattern(self, spec: dict) -> regex.Pattern | None:
+        """The pattern whose matches are the parts that the model encodes, if the file's steps are as described."""
+        steps = (spec.get("normalizer") or {}).get("normalizers") or []
+        before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        if {x["type"] for x in steps} != self.PLAIN_STEPS or any(x.get("pattern") != {"Regex": "\\s+"} for x in steps if x["type"] == "Replace"):
+            return None
+        if [x["type"] for x in before] != ["Split", "ByteLevel"] or before[1]["add_prefix_space"] or before[1]["use_regex"]:
+            return None
+        split = before[0]
+        if split["behavior"] != "Removed" or not split["invert"] or "Regex" not in split["pattern"] or spec["model"].get("continuing_subword_prefix"):
+            return None
+        return regex.compile(split["pattern"]["Regex"])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(map(self._segment, segments(text))) for text in texts]
-
-    def _segment(self, text: str) -> bytes:
-        words = (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        new = list(set(words).difference(self.cache))
-        for i in range(0, len(new), 1024):
-            part = new[i : i + 1024]
+        """Ids of each text as little-endian integers of ``dtype``."""
+        parts = [(i, part) for i, text in enumerate(texts) for part in segments(text)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        at = 0
+        while at < len(parts):
+            end, size = at, 0
+            while end < len(parts) and (end == at or size + len(parts[end][1]) <= SEGMENT):
+                size, end = size + len(parts[end][1]), end + 1
+            for (i, _), ids in zip(parts[at:end], self._together([x for _, x in parts[at:end]]), strict=True):
+                out[i].append(ids)
+            at = end
+        return [b"".join(x) for x in out]
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of a bounded size in all. Only their distinct words leave Arrow."""
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        ids = pa.array(self._words(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+        _, ends, data = ids.buffers()
+        cut = np.frombuffer(ends, np.int64, len(ids) + 1, ids.offset * 8)[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        data = memoryview(data) if data is not None else b""
+        return [bytes(data[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        for cache in (self.cache, self.parts):
+            if len(cache) > self.cache_words:
+                cache.clear()
+        odd = []
+        for word in words:
+            if word not in self.cache:
+                ids = self._plain(word)
+                if ids is None:
+                    odd.append(word)
+                else:
+                    self.cache[word] = ids
+        for i in range(0, len(odd), 1024):
+            part = odd[i : i + 1024]
             for word, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.cache[word] = np.array(enc.ids, self.dtype).tobytes()
-        return b"".join(map(self.cache.__getitem__, words))
+        return list(map(self.cache.__getitem__, words))
+
+    def _plain(self, word: str) -> bytes | None:
+        """Ids of a plain word, None for others."""
+        if self.pattern is None or not word.isprintable():
+            return None
+        low = word.lower()
+        if not low.isascii() and max(low) > self.LAST_PLAIN:
+            return None
+        if low.isalpha():
+            return self._part(low)
+        if any(t in word for t in self.added):
+            return None
+        return b"".join(map(self._part, self.pattern.findall(low)))
+
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            text = part if part.isascii() else self.bytes_as_text.pre_tokenize_str(part)[0][0]
+            got = self.parts[part] = struct.pack(f"<{len(tokens := self.tokenizer.model.tokenize(text))}{self.code}", *(t.id for t in tokens))
+        return got
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -108,28 +185,38 @@ def _encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _encoded(batch: pa.RecordBatch, encoder: WordEncoder) -> Iterator[tuple[int | None, bytes]]:
+    """Ids of each row, of rows of a bounded size in all at a time."""
+    sizes, at = pc.binary_length(batch.column(1)).to_pylist(), 0
+    while at < len(sizes):
+        end, size = at, 0
+        while end < len(sizes) and (end == at or size + sizes[end] <= SEGMENT):
+            size, end = size + sizes[end], end + 1
+        yield from zip(batch.column(0)[at:end].to_pylist(), encoder.encode(batch.column(1)[at:end].to_pylist()), strict=True)
+        at = end
+
+
 def _write_shard(batches: Iterator[pa.RecordBatch], out: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
     fs, root = open_fs(out)
     name = f"part-{part:06d}-{uuid.uuid4().hex}"  # a retried task writes another file; the manifest names the one that counts
     end = np.array([end_id], encoder.dtype).tobytes()
-    index, n_tokens, at = [], 0, 0
+    n_records, n_tokens, at = 0, 0, 0
     fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(f"{root}/{name}.rec", buffer_size=1 << 20) as sink:
+    with fs.open_output_stream(f"{root}/{name}.rec", buffer_size=1 << 20) as sink, fs.open_output_stream(f"{root}/{name}.idx") as index_sink:
         sink.write(MAGIC + bytes([encoder.dtype.itemsize]))
         at = len(MAGIC) + 1
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # one text at a time
-                data = encoder.encode([text.as_py()])[0]
+            index = []
+            for doc_id, data in _encoded(batch, encoder):
                 record = frame(HEAD.pack(doc_id is not None, doc_id or 0) + data + end)
                 n = len(data) // encoder.dtype.itemsize + 1
                 index.append((doc_id is not None, doc_id or 0, at, n))
                 at, n_tokens = at + len(record), n_tokens + n
                 sink.write(record)
-    table = np.array(index, INDEX)
-    with fs.open_output_stream(f"{root}/{name}.idx") as sink:
-        sink.write(table.tobytes())
-    yield pa.RecordBatch.from_pylist([{"shard": part, "name": name, "n_records": len(index), "n_tokens": n_tokens, "n_bytes": at}])
+            index_sink.write(np.array(index, INDEX).tobytes())
+            n_records += len(index)
+    yield pa.RecordBatch.from_pylist([{"shard": part, "name": name, "n_records": n_records, "n_tokens": n_tokens, "n_bytes": at}])
 
 
 def write_token_records(docs: DataFrame, out: str, *, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> str:
@@ -146,36 +233,43 @@ def write_token_records(docs: DataFrame, out: str, *, tokenizer: str, end_id: in
     return out
 
 
-def _read_index(fs, root: str, name: str) -> np.ndarray:
-    with fs.open_input_stream(f"{root}/{name}.idx") as f:
-        return np.frombuffer(f.read(), INDEX)
+def _read_index(fs, root: str, name: str, first: int = 0, n: int = INDEX_ROWS) -> np.ndarray:
+    """At most ``n`` rows of a shard's index from row ``first`` on."""
+    with fs.open_input_file(f"{root}/{name}.idx") as f:
+        f.seek(first * INDEX.itemsize)
+        return np.frombuffer(f.read(n * INDEX.itemsize), INDEX)
 
 
 def _read_shards(batches: Iterator[pa.RecordBatch], out: str) -> Iterator[pa.RecordBatch]:
     fs, root = open_fs(out)
+    kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
     for batch in batches:
         for shard in batch.to_pylist():
-            index, at = _read_index(fs, root, shard["name"]), shard["start"]
+            at = shard["start"]
             with fs.open_input_file(f"{root}/{shard['name']}.rec") as f:
                 head = f.read(len(MAGIC) + 1)
                 if head[: len(MAGIC)] != MAGIC:
                     raise ChecksumError(f"{shard['name']} is no record shard")
                 dtype = np.dtype(f"<u{head[-1]}")
-                ends = np.append(index["offset"][1:], np.uint64(shard["n_bytes"])).astype(np.int64)
-                i = 0
-                while i < len(index):
-                    first = int(index["offset"][i])
-                    j = max(i + 1, int(np.searchsorted(ends, first + READ_BYTES, "right")))
-                    f.seek(first)
-                    data, pos, rows = f.read(int(ends[j - 1]) - first), 0, []
-                    for _ in range(i, j):
-                        payload, pos = unframe(data, pos)
-                        has_id, doc_id = HEAD.unpack_from(payload)
-                        tokens = np.frombuffer(payload, dtype, offset=HEAD.size).astype("<u4")
-                        rows.append({"doc_id": doc_id if has_id else None, "start": at, "n_tokens": len(tokens), "tokens": tokens.tobytes()})
-                        at += len(tokens)
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary())]))
-                    i = j
+                for row in range(0, shard["n_records"], INDEX_ROWS):
+                    index = _read_index(fs, root, shard["name"], row, INDEX_ROWS + 1)
+                    end = shard["n_bytes"] if len(index) <= INDEX_ROWS else int(index["offset"][-1])
+                    index = index[:INDEX_ROWS]
+                    ends = np.append(index["offset"][1:].astype(np.int64), end)
+                    i = 0
+                    while i < len(index):
+                        first = int(index["offset"][i])
+                        j = max(i + 1, int(np.searchsorted(ends, first + READ_BYTES, "right")))
+                        f.seek(first)
+                        data, pos, rows = f.read(int(ends[j - 1]) - first), 0, []
+                        for _ in range(i, j):
+                            payload, pos = unframe(data, pos)
+                            has_id, doc_id = HEAD.unpack_from(payload)
+                            tokens = np.frombuffer(payload, dtype, offset=HEAD.size).astype("<u4")
+                            rows.append({"doc_id": doc_id if has_id else None, "start": at, "n_tokens": len(tokens), "tokens": tokens.tobytes()})
+                            at += len(tokens)
+                        yield pa.RecordBatch.from_pylist(rows, kinds)
+                        i = j
 
 
 def read_token_records(spark: SparkSession, out: str) -> DataFrame:
@@ -190,7 +284,7 @@ def read_token_records(spark: SparkSession, out: str) -> DataFrame:
 def read_at(out: str, name: str, i: int) -> tuple[int | None, np.ndarray]:
     """Record ``i`` of one shard through its index alone: what a shuffled reader does."""
     fs, root = open_fs(out)
-    row = _read_index(fs, root, name)[i]
+    row = _read_index(fs, root, name, i, 1)[0]
     with fs.open_input_file(f"{root}/{name}.rec") as f:
         width = f.read(len(MAGIC) + 1)[-1]
         f.seek(int(row["offset"]))
