@@ -1,14 +1,13 @@
 """Nearest neighbours by a permutation index.
 
 A vector is represented by its pivots in order of nearness. Each of its ``prefix`` nearest
-pivots gets a posting, in the pivot's list for the band of ranks that the pivot has there. A query
-walks the lists of its own pivots; what they hold in common gives the footrule
-distance between the two orders (ranks counted in bands), and the nearest by footrule are ranked again by their exact
+pivots gets a posting (row and rank) in the pivot's inverted file. A query
+walks the files of its own ``prefix`` nearest pivots, which adds up the footrule
+distance between the two orders (a pivot that one of them has not posted counts as its next rank), and the nearest by footrule are ranked again by their exact
 inner product.
 
-Rows are dealt into blocks of bounded size, each with the inverted files of its rows as bit rows (pivot and band by
-row), and every block of queries meets every block of rows. A block passes on a fixed share of its rows
-to the exact ranking, so recall does not change with the size of the table. Equal vectors
+Rows are dealt into blocks of bounded size, each with inverted files of its own, and every block of queries meets every block of rows. A block passes on
+``DEPTH`` rows for each neighbour asked for and a fixed share of its rows to the exact ranking. Equal vectors
 share one entry.
 """
 
@@ -21,22 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 K = 20
 PIVOTS = 384
-BANDS = 3
-PREFIX = 288
-SHARE = 0.04
-LEAST = 64
+PREFIX = 128
+DEPTH = 10
+SHARE = 0.08
 LIST_BLOCK, QUERY_BLOCK = 8_192, 4_096
-AT_ONCE = 256
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id`` and ``v`` of the rows that take part: an id, and a vector of finite components that are not all zero."""
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where("vec_id is not null and v is not null")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return rows.where(finite & F.exists(v, lambda x: x != 0))
 
@@ -63,58 +60,68 @@ def _pivots(classes: DataFrame, dim: int, m: int) -> np.ndarray:
     return (p / np.linalg.norm(p, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _posted(entries: DataFrame, pivots: np.ndarray, prefix: int, bands: int) -> DataFrame:
-    """Adds ``posted``: for each band of ranks and pivot, one bit that says whether the pivot is that near."""
-    prefix = max(1, min(prefix, len(pivots)))
+def _posted(entries: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
+    """Adds ``posted``: the nearest pivots of each vector, nearest first, as 16-bit numbers."""
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                s = _matrix(part.column(1), pivots.shape[1], np.float32) @ pivots.T
-                order = np.argsort(-s, axis=1, kind="stable")
-                rank = np.empty_like(order)
-                np.put_along_axis(rank, order, np.arange(len(pivots))[None, :], 1)
-                bits = np.concatenate([rank < prefix * (b + 1) / bands for b in range(bands)], axis=1)
-                packed = [x.tobytes() for x in np.packbits(bits, axis=1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["cid", "v", "posted"])
+                v = _matrix(part.column(1), pivots.shape[1])
+                s = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32) @ pivots.T
+                order = np.argsort(-s, axis=1, kind="stable")[:, :prefix].astype("<u2")
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in order], pa.binary())], names=["cid", "v", "posted"])
 
-    return entries.select("cid", "v").mapInArrow(run, "cid long, v array<float>, posted binary")
+    return entries.select("cid", "v").mapInArrow(tidy(run), "cid long, v array<double>, posted binary")
 
 
 _FOUND = pa.schema([("qid", pa.int64()), ("cid", pa.int64()), ("score", pa.float64())])
 
 
-def _bits(column, width: int) -> np.ndarray:
-    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-    return np.unpackbits(packed, axis=1)[:, :width].astype(np.float32)
+def _orders(column, prefix: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), prefix)
 
 
-def _search_cell(dim: int, width: int, k: int, share: float):
+class InvertedFiles:
+    """For each pivot the rows that posted it, and the rank that it has there."""
+
+    def __init__(self, orders: np.ndarray, pivots: int):
+        self.n, self.prefix = orders.shape
+        by_pivot = np.argsort(orders, axis=None, kind="stable")
+        self.starts = np.searchsorted(orders.ravel()[by_pivot], np.arange(pivots + 1))
+        self.rows = (by_pivot // self.prefix).astype(np.int32)
+        self.ranks = (by_pivot % self.prefix).astype(np.float32)
+
+    def footrule(self, order: np.ndarray) -> np.ndarray:
+        """Distance of each row's order to one order. Without a shared pivot it is ``prefix * (prefix + 1)``; a pivot shared at ranks a and b
+        takes ``2 * (prefix - max(a, b))`` off that."""
+        out = np.full(self.n, self.prefix * (self.prefix + 1), np.float32)
+        for rank, pivot in enumerate(order):
+            some = slice(self.starts[pivot], self.starts[pivot + 1])
+            out[self.rows[some]] -= 2 * (self.prefix - np.maximum(self.ranks[some], np.float32(rank)))
+        return out
+
+
+def _search_cell(dim: int, pivots: int, prefix: int, k: int, depth: int, share: float):
     """Searches one block of rows for one block of queries: the ``k`` best of each query by exact score."""
 
     def run(key, queries: pa.Table, entries: pa.Table) -> pa.Table:
         if not queries.num_rows or not entries.num_rows:
             return _FOUND.empty_table()
-        ev, lists = _matrix(entries["v"], dim), _bits(entries["posted"], width)
-        length, cids = lists.sum(1), entries["cid"].to_numpy()
-        n = max(LEAST, k, math.ceil(share * len(cids)))
+        ev, files, cids = _matrix(entries["v"], dim), InvertedFiles(_orders(entries["posted"], prefix), pivots), entries["cid"].to_numpy()
+        n = depth + math.ceil(share * len(cids))
+        qv, orders, qids = _matrix(queries["qv"], dim), _orders(queries["q_posted"], prefix), queries["qid"].to_numpy()
         out = []
-        for i in range(0, queries.num_rows, AT_ONCE):
-            part = queries.slice(i, AT_ONCE)
-            qv, ql, qids = _matrix(part["qv"], dim), _bits(part["q_posted"], width), part["qid"].to_numpy()
-            # a band of a pivot that only one of the two has is one band of rank between them
-            footrule = length[None, :] + ql.sum(1)[:, None] - 2 * (ql @ lists.T)
-            near = np.argpartition(footrule, n - 1, axis=1)[:, :n] if n < len(cids) else np.broadcast_to(np.arange(len(cids)), footrule.shape)
-            for j in range(len(qids)):
-                score = (ev[near[j]] * qv[j]).sum(1)
-                top = np.lexsort((cids[near[j]], -score))[:k]
-                out.append((np.full(len(top), qids[j]), cids[near[j][top]], score[top]))
+        for j in range(len(qids)):
+            near = np.argpartition(files.footrule(orders[j]), n - 1)[:n] if n < len(cids) else np.arange(len(cids))
+            score = (ev[near] * qv[j]).sum(1)
+            top = np.lexsort((cids[near], -score))[:k]
+            out.append((np.full(len(top), qids[j]), cids[near[top]], score[top]))
         return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=_FOUND)
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, bands: int = BANDS, share: float = SHARE) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, depth: int = DEPTH, share: float = SHARE) -> DataFrame:
     """For each row of ``queries`` its ``k`` nearest rows of ``vectors``, by largest inner product.
 
     ``queries`` holds rows of ``vectors`` (a column ``vec_id``). Returns ``query_id``, ``rank`` (from 1), ``vec_id``,
@@ -133,7 +140,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, pivots: int =
     asked = rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").distinct()
     asked = written(asked.join(classes.select("v", "cid"), "v").select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid")), "queries")
     sample = _pivots(classes, size["dim"], pivots)
-    posted = written(_posted(classes, sample, prefix, bands), "posted")
+    prefix = max(1, min(prefix, len(sample)))
+    posted = written(_posted(classes, sample, prefix), "posted")
 
     distinct = asked.select(F.col("qid").alias("cid")).distinct()
     row_blocks = math.ceil(size["n"] / LIST_BLOCK)
@@ -145,7 +153,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, pivots: int =
     cell = lambda r, q: F.col(r) * query_blocks + F.col(q)
     left = asks.select(cell("row_block", "q_block").alias("cell"), "qid", "qv", "q_posted")
     right = rows_dealt.select(cell("r_block", "query_block").alias("cell"), "cid", "v", "posted")
-    run = _search_cell(size["dim"], len(sample) * bands, k + 1, share)
+    run = _search_cell(size["dim"], len(sample), prefix, k + 1, depth * k, share)
     found = written(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(run, "qid long, cid long, score double"), "found")
 
     # the k + 1 best vectors hold the k + 1 best rows: one of them may be the query's own
