@@ -1,6 +1,6 @@
 """Language identification with n-gram filters that hold a bitmask of languages per slot.
 
-A bit-sliced Bloom filter keeps one word per slot, one bit per language. The AND of the
+A bit-sliced Bloom filter keeps a word per slot (several for over 64 languages), one bit per language. The AND of the
 slots of an n-gram has the bits of all languages whose filter contains the n-gram, so two
 lookups answer every language at once. Per document and language the hits are
 counted, corrected for the filter's false positives and compared.
@@ -20,15 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, mix64, text_bytes
+from .common import GOLDEN, mix64, sliced, text_bytes, tidy
 
 GRAM = 4
 FIT_ROWS = 20_000
 GRAMS_PER_LANG = 6_000
 SLOTS_LOG2 = 17
 PROBES = 2
-MAX_LANGS = 64
-SLICE = 256
+MAX_LANGS = 1024
 
 _CLASS = np.full(256, 0x20, np.uint8)
 _CLASS[128:] = np.arange(128, 256)
@@ -66,7 +65,7 @@ def grams(column) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class LangFilter:
-    """``table``: a word of language bits for each slot. ``false_positive``: per language."""
+    """``table``: words of language bits for each slot (slots by words). ``false_positive``: per language."""
 
     langs: tuple[str, ...]
     table: np.ndarray
@@ -81,15 +80,21 @@ class LangFilter:
     def build(cls, members: dict[str, list[int]], bits: int = SLOTS_LOG2) -> LangFilter:
         langs = tuple(sorted(members))
         if len(langs) > MAX_LANGS:
-            raise ValueError(f"{len(langs)} languages; a mask has {MAX_LANGS} bits")
-        width = next(w for w in (8, 16, 32, 64) if len(langs) <= w)
-        table = np.zeros(1 << bits, f"u{width // 8}")
+            raise ValueError(f"over {MAX_LANGS} languages")
+        width = next((w for w in (8, 16, 32) if len(langs) <= w), 64)
+        table = np.zeros((1 << bits, max(1, -(-len(langs) // width))), f"u{width // 8}")
         for i, lang in enumerate(langs):
             for slot in cls.slots(np.array(members[lang], np.uint32), bits):
-                table[slot] |= table.dtype.type(1 << i)
-        fill = np.array([((table >> table.dtype.type(i)) & table.dtype.type(1)).mean() for i in range(len(langs))])
+                table[slot, i // width] |= table.dtype.type(1 << i % width)
+        fill = np.array([cls.bit(table, i).mean() for i in range(len(langs))])
         return cls(langs, table, fill**PROBES)
 
+    @staticmethod
+    def bit(words: np.ndarray, i: int) -> np.ndarray:
+        """Whether each row of words has the bit of language ``i``."""
+        width = words.dtype.itemsize * 8
+        return (words[:, i // width] >> words.dtype.type(i % width)) & words.dtype.type(1)
+
     def scores(self, column) -> np.ndarray:
         """Corrected share of each text's n-grams that each language has: rows by languages, 0 to 1."""
         keys, rows = grams(column)
@@ -102,8 +107,7 @@ class LangFilter:
         total = np.bincount(rows, minlength=n)
         out = np.zeros((n, len(self.langs)))
         for i in range(len(self.langs)):
-            hit = ((mask >> mask.dtype.type(i)) & mask.dtype.type(1)).astype(bool)
-            hits = np.bincount(rows[hit], minlength=n)
+            hits = np.bincount(rows[self.bit(mask, i).astype(bool)], minlength=n)
             f = self.false_positive[i]
             out[:, i] = np.clip((hits - total * f) / np.maximum(total, 1) / max(1 - f, 1e-9), 0, 1)
         return out
@@ -111,7 +115,7 @@ class LangFilter:
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and language: in how many texts each n-gram occurs, and the texts."""
-    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+    for batch in sliced(batches, 1):
         langs = batch.column(0).to_pylist()
         keys, rows = grams(batch.column(1))
         both = np.unique(rows.astype(np.uint64) << np.uint64(32) | keys.astype(np.uint64))
@@ -140,12 +144,12 @@ def fit(train: DataFrame, *, fit_rows: int = FIT_ROWS, grams_per_lang: int = GRA
     rows = train.where("lang is not null and text is not null").select("lang", "text", "_pick")
     per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
     if len(per_lang) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} languages; a mask has {MAX_LANGS} bits")
+        raise ValueError(f"over {MAX_LANGS} languages")
     if sum(per_lang.values()) > fit_rows:
         share = fit_rows / len(per_lang)
         below = F.create_map(*(F.lit(x) for lang, n in per_lang.items() for x in (lang, min(1.0, share / n))))
         rows = rows.where(F.col("_pick") < F.element_at(below, F.col("lang")))
-    counts = rows.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.select("lang", "text").mapInArrow(tidy(_count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     shares = counts.where("gram >= 0").join(F.broadcast(counts.where("gram = -1").select("lang", F.col("n").alias("texts"))), "lang").withColumn("p", F.col("n") / F.col("texts"))
     best = shares.groupBy("gram").agg(F.max("p").alias("p_max"))
     top = Window.partitionBy("lang").orderBy(F.desc("p"), "gram")
@@ -165,20 +169,19 @@ def predict(docs: DataFrame, model: LangFilter, *, keep: list[str], text_col: st
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
-                text, letters = part.column(len(keep)), part.column(len(keep) + 1).to_numpy(zero_copy_only=False)
-                names = np.array([*model.langs, "und"], object)
-                if model.langs:
-                    s = model.scores(text)
-                    best = np.where(letters, s.argmax(1), len(model.langs))
-                    score = np.where(letters, s.max(1), 0.0)
-                else:
-                    best, score = np.zeros(part.num_rows, int), np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+        for part in sliced(batches, len(keep)):
+            text, letters = part.column(len(keep)), part.column(len(keep) + 1).to_numpy(zero_copy_only=False)
+            names = np.array([*model.langs, "und"], object)
+            if model.langs:
+                s = model.scores(text)
+                best = np.where(letters, s.argmax(1), len(model.langs))
+                score = np.where(letters, s.max(1), 0.0)
+            else:
+                best, score = np.zeros(part.num_rows, int), np.zeros(part.num_rows)
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     rows = docs.select(*keep, F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+    return rows.mapInArrow(tidy(run), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
 
 
 def fold(id_col: str = "doc_id"):
@@ -203,18 +206,17 @@ def drop_unidentified(docs: DataFrame, *, min_score: float = 0.05) -> DataFrame:
     """Rows of ``docs`` in a language that the filter knows: ``lang_pred`` is not ``und`` and at least
     ``min_score`` of the n-grams are known. All columns unchanged.
 
-    Without a labelled row to learn from (``lang`` and ``text`` not null, out of fold 1) no language is known, and no row stays.
+    Without a labelled row to learn from (``lang`` and ``text`` not null, out of fold 1) no text can be told from another: all rows with a letter stay.
     """
     model = fit(training_rows(docs))
     if not model.langs:
-        return docs.where(F.lit(False))
-    kinds = docs.schema
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
-                text = part.column(part.schema.get_field_index("text"))
-                letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                yield part.filter(pa.array(letters & (model.scores(text).max(1) >= min_score)))
+        for part in sliced(batches, at):
+            text = part.column(at)
+            letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            yield part.filter(pa.array(letters & (model.scores(text).max(1) >= min_score)))
 
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(tidy(run), docs.schema)
