@@ -5,8 +5,8 @@ their own concatenation. So the best path over positions, where a step between t
 scores the piece's score if they fit and minus infinity if not, is the encoding, and it can be found from both
 ends. A giant document is cut into chunks. A chunk turns each possible state at its left
 boundary (the piece that reaches up to it or over it) into scores of the states at its right boundary: a
-matrix. Matrices of neighbouring chunks combine by max-plus products, in any grouping; the states that the best path
-takes at the boundaries follow, and every chunk is then traced back on its own.
+matrix. Matrices of neighbouring chunks combine by max-plus products, in any grouping: pairs of neighbours, level by level, up to one matrix for each
+run of chunks; down the same levels follow the states that the best path takes at the boundaries, and every chunk is then traced back on its own.
 
 No piece reaches over the start of a word, so a boundary there has one state, and chunks are cut there if a word starts
 nearby. Only words longer than a chunk need larger matrices. What is left of a chunk between word starts is
@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import sliced, tidy, written
 
 SPACE = "▁"
 GIANT = 32_768
 CHUNK = 8_192
 LOOKBACK = 1_024
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
+FITS = 1 << 17
 NONE = float("-inf")
 
 
@@ -103,11 +104,11 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    @lru_cache(maxsize=1 << 18)  # noqa: B019  one object in each worker
+    @lru_cache(maxsize=FITS)  # noqa: B019  one object in each worker
     def fit(self, a: str, b: str) -> bool:
         return self.merge(a + b) == [a, b]
 
-    @lru_cache(maxsize=1 << 18)  # noqa: B019
+    @lru_cache(maxsize=FITS)  # noqa: B019
     def whole(self, piece: str) -> bool:
         """Whether the encoding of this text is one piece."""
         return self.merge(piece) == [piece]
@@ -272,22 +273,12 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(1)
 
 
-def best_states(matrices: list[np.ndarray]) -> list[int]:
-    """State at each inner boundary of the best path from the first to the last, which have one state each."""
-    ahead = [np.zeros((matrices[-1].shape[1], 1))]
-    for m in matrices[::-1]:
-        ahead.append(combine(m, ahead[-1]))
-    ahead, out, at = ahead[::-1], [], 0
-    for m, rest in zip(matrices[:-1], ahead[1:], strict=False):
-        at = int(np.argmax(m[at] + rest[:, 0]))
-        out.append(at)
-    return out
+def between(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """State at the boundary of two neighbours on the best path from state ``i`` through both to state ``j``."""
+    return int(np.argmax(a[i] + b[:, j]))
 
 
-
-
-
-_CHUNK = pa.schema([("doc_row", pa.int64()), ("chunk", pa.int32()), ("n_chunks", pa.int32()), ("segment", pa.int32()), ("left_open", pa.bool_()), ("right_open", pa.bool_()), ("text", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())])
+_CHUNK = pa.schema([("doc_row", pa.int64()), ("chunk", pa.int32()), ("n_chunks", pa.int32()), ("segment", pa.int32()), ("k", pa.int32()), ("left_open", pa.bool_()), ("right_open", pa.bool_()), ("text", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
@@ -297,12 +288,13 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Re
         for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             s = marked(text)
             at = cuts(s, chunk)
-            segment = 0
+            segment, first = 0, 0
             for k in range(len(at) - 1):
                 (lo, closed), (hi, closed_right) = at[k], at[k + 1]
-                segment += closed
+                if closed:
+                    segment, first = segment + 1, k
                 a, b = max(0, lo - pad) if not closed else lo, min(len(s), hi + pad) if not closed_right else hi
-                yield pa.RecordBatch.from_pylist([{"doc_row": row, "chunk": k, "n_chunks": len(at) - 1, "segment": segment, "left_open": not closed, "right_open": not closed_right, "text": s[a:b], "lo": lo - a, "hi": hi - a}], _CHUNK)
+                yield pa.RecordBatch.from_pylist([{"doc_row": row, "chunk": k, "n_chunks": len(at) - 1, "segment": segment, "k": k - first, "left_open": not closed, "right_open": not closed_right, "text": s[a:b], "lo": lo - a, "hi": hi - a}], _CHUNK)
 
 
 def _transfers(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
@@ -319,10 +311,55 @@ def _transfers(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([*batch.columns, *pa.Table.from_pylist(rows, kinds).combine_chunks().to_batches()[0].columns], names=[*batch.schema.names, *kinds.names])
 
 
-def _choose(table: pa.Table) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    states = best_states([np.frombuffer(r["matrix"], "<f8").reshape(r["n_left"], r["n_right"]) for r in rows])
-    return pa.table({"doc_row": [r["doc_row"] for r in rows], "chunk": pa.array([r["chunk"] for r in rows], pa.int32()), "i": pa.array([0, *states], pa.int32()), "j": pa.array([*states, 0], pa.int32())})
+def _matrix(x: dict) -> np.ndarray:
+    return np.frombuffer(x["matrix"], "<f8").reshape(x["n_left"], x["n_right"])
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One matrix for each pair of neighbours; one without a right neighbour stays."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            m = _matrix(r["l"]) if r["r"] is None else combine(_matrix(r["l"]), _matrix(r["r"]))
+            yield pa.RecordBatch.from_pylist([{"doc_row": r["doc_row"], "segment": r["segment"], "k": r["half"], "matrix": m.astype("<f8").tobytes(), "n_left": m.shape[0], "n_right": m.shape[1]}], _MATRIX)
+
+
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The states at both boundaries of each neighbour, given those of the pair."""
+    for batch in batches:
+        rows = []
+        for n in range(batch.num_rows):
+            r = batch.slice(n, 1).to_pylist()[0]
+            at, k, i, j = {"doc_row": r["doc_row"], "segment": r["segment"]}, 2 * r["half"], r["i"], r["j"]
+            if r["r"] is None:
+                rows.append(at | {"k": k, "i": i, "j": j})
+            else:
+                m = between(_matrix(r["l"]), _matrix(r["r"]), i, j)
+                rows += [at | {"k": k, "i": i, "j": m}, at | {"k": k + 1, "i": m, "j": j}]
+        yield pa.RecordBatch.from_pylist(rows, _STATE)
+
+
+_MATRIX = pa.schema([("doc_row", pa.int64()), ("segment", pa.int32()), ("k", pa.int32()), ("matrix", pa.binary()), ("n_left", pa.int32()), ("n_right", pa.int32())])
+_STATE = pa.schema([("doc_row", pa.int64()), ("segment", pa.int32()), ("k", pa.int32()), ("i", pa.int32()), ("j", pa.int32())])
+
+
+def boundary_states(matrices: DataFrame) -> DataFrame:
+    """States ``i`` and ``j`` at the boundaries of each chunk ``k`` of a run (``doc_row``, ``segment``) on its best path.
+
+    Up: matrices of neighbours ``2 n`` and ``2 n + 1`` combine to one, until a run has one. Down: of the two states of a
+    pair and its two matrices follows the state between them. A task holds one pair at a time, whatever the length of a run.
+    """
+    side = lambda odd: F.max(F.when(F.col("k") % 2 == odd, F.struct("matrix", "n_left", "n_right")))
+    current, levels = matrices.select(*_MATRIX.names), []
+    while (current.agg(F.max("k")).first()[0] or 0) > 0:
+        pairs = current.groupBy("doc_row", "segment", F.floor(F.col("k") / 2).cast("int").alias("half")).agg(side(0).alias("l"), side(1).alias("r"))
+        levels.append(written(pairs, "pairs"))
+        current = written(levels[-1].mapInArrow(_combined, "doc_row long, segment int, k int, matrix binary, n_left int, n_right int"), "combined")
+    states = current.select("doc_row", "segment", "k", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    for pairs in levels[::-1]:
+        known = states.withColumnRenamed("k", "half")
+        states = written(pairs.join(known, ["doc_row", "segment", "half"]).mapInArrow(_states, "doc_row long, segment int, k int, i int, j int"), "states")
+    return states
 
 
 def _traced(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
@@ -343,14 +380,14 @@ def _decoded(batches: Iterator[pa.RecordBatch], model: str, position: int) -> It
 
 def encode_giants(giants: DataFrame, *, model: str, chunk: int = CHUNK) -> DataFrame:
     """``doc_row``, ``chunk``, ``n_chunks``, ``ids`` of the chunks of ``giants`` (``doc_row``, ``text``)."""
-    plain = "doc_row long, chunk int, n_chunks int, segment int, left_open boolean, right_open boolean, text string, lo int, hi int"
+    plain = "doc_row long, chunk int, n_chunks int, segment int, k int, left_open boolean, right_open boolean, text string, lo int, hi int"
     parts = giants.mapInArrow(lambda it: _chunk_rows(it, chunk), plain)
     parts = parts.repartition(F.col("doc_row"), F.col("chunk"))  # one document's chunks go to many tasks
     moved = written(parts.mapInArrow(lambda it: _transfers(it, model), plain + ", ids binary, matrix binary, n_left int, n_right int"), "transfers")
     closed = moved.where("ids is not null").select("doc_row", "chunk", "n_chunks", "ids")
     opened = moved.where("ids is null")
-    chosen = opened.select("doc_row", "segment", "chunk", "matrix", "n_left", "n_right").groupBy("doc_row", "segment").applyInArrow(_choose, "doc_row long, chunk int, i int, j int")
-    traced = opened.join(chosen, ["doc_row", "chunk"]).select("doc_row", "chunk", "n_chunks", "text", "lo", "hi", "left_open", "right_open", "i", "j")
+    states = boundary_states(opened)
+    traced = opened.join(states, ["doc_row", "segment", "k"]).select("doc_row", "chunk", "n_chunks", "text", "lo", "hi", "left_open", "right_open", "i", "j")
     return closed.unionByName(traced.mapInArrow(lambda it: _traced(it, model), "doc_row long, chunk int, n_chunks int, ids binary"))
 
 
@@ -367,13 +404,12 @@ def encode(docs: DataFrame, *, model: str, giant: int = GIANT, chunk: int = CHUN
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pieces(model)
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids = p.encode_many(part.column(1).to_pylist())
-                texts = p.lib.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["kept", "ids", "decoded"])
+        for part in sliced(batches, 1):
+            ids = p.encode_many(part.column(1).to_pylist())
+            texts = p.lib.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["kept", "ids", "decoded"])
 
-    short = rows.where(F.length("text") <= giant).mapInArrow(ordinary, out)
+    short = rows.where(F.length("text") <= giant).mapInArrow(tidy(ordinary), out)
     long = written(rows.where(F.length("text") > giant).withColumn("doc_row", F.monotonically_increasing_id()), "giants")
     if long.isEmpty():
         return short.select("kept.*", "ids", "decoded")
