@@ -2,12 +2,14 @@
 
 Every record is its own gzip member, so a member that fails its checks costs that member alone. The reader then looks for
 the next member (or, in plain files and inside members, the next version line), goes on there and
-reports the bytes in between as a quarantined gap.
+reports the bytes in between as a quarantined gap. A member with many records, as other writers make them, is read up to its damage. The reader
+holds one record, or one member of ``HELD_BYTES`` at most, whatever the size of a file.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
 import re
 import uuid
@@ -23,6 +25,8 @@ from .common import new_dir, open_fs, shuffle_partitions
 REVISIT_BYTES = 1000
 ROLL_BYTES = 256 << 20
 WINDOW = 1 << 20
+HELD_BYTES = 16 << 20
+LONGEST_RECORD = 1 << 30
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 MEMBER = b"\x1f\x8b\x08"
@@ -104,12 +108,12 @@ def write_warc(pages: DataFrame, out: str, *, date: str = "2000-01-01T00:00:00Z"
     the task attempts that counted.
     """
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).alias("size"))
-    light = rows.where(F.col("size") >= revisit_bytes).select("page_id", "digest", "size")
-    groups = light.groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.min(F.coalesce("page_id", F.lit(-(1 << 63)))).alias("_least"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.sha2(F.encode(html, "UTF-8"), 256).alias("same"), F.octet_length(html).alias("size"))
+    light = rows.where(F.col("size") >= revisit_bytes).select("page_id", "same")
+    groups = light.groupBy("same").agg(F.max("page_id").alias("first"), F.min(F.coalesce("page_id", F.lit(-(1 << 63)))).alias("_least"))
     groups = groups.where("first > _least").drop("_least")
-    later = light.join(groups, ["digest", "size"]).where("not (page_id <=> first)").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct()
-    made = rows.join(later, rows["page_id"].eqNullSafe(later["_id"]) & (rows["digest"] == later["_digest"]), "left").select("page_id", "url", "html", "digest", "first")
+    later = light.join(groups, "same").where("not (page_id <=> first)").select(F.col("page_id").alias("_id"), F.col("same").alias("_same"), "first").distinct()
+    made = rows.join(later, rows["page_id"].eqNullSafe(later["_id"]) & (rows["same"] == later["_same"]), "left").select("page_id", "url", "html", "digest", "first")
     made.mapInArrow(lambda it: _write(it, out, date), MANIFEST).write.parquet(f"{out}/manifest")
     return out
 
@@ -117,34 +121,76 @@ def write_warc(pages: DataFrame, out: str, *, date: str = "2000-01-01T00:00:00Z"
 # reading
 
 
-def _find(read_at: Callable[[int, int], bytes], pos: int, size: int, mark: bytes) -> int:
-    """Where ``mark`` next begins at or after ``pos``, else ``size``."""
-    while pos < size:
+def _find(read_at: Callable[[int, int], bytes], pos: int, size: int | None, mark: bytes) -> int:
+    """Where ``mark`` next begins at or after ``pos``, else the end: ``size``, or where nothing more can be read."""
+    while size is None or pos < size:
         data = read_at(pos, WINDOW + len(mark))
         at = data.find(mark)
         if at >= 0:
             return pos + at
+        if len(data) < WINDOW:
+            return pos + len(data)
         pos += WINDOW
     return size
 
 
-def inflate(read_at: Callable[[int, int], bytes], pos: int, size: int) -> tuple[bytes, int]:
-    """The member at ``pos`` and its compressed length; raises ``Damaged``."""
-    z, out, at = zlib.decompressobj(31), [], pos
-    try:
-        while not z.eof:
-            data = read_at(at, 1 << 16)
-            if not data:
-                raise Damaged("member ends early")
-            out.append(z.decompress(data))
-            at += len(data)
-    except zlib.error as e:
-        raise Damaged(str(e)) from e
-    return b"".join(out), at - pos - len(z.unused_data)
-
-
-def one_record(read_at: Callable[[int, int], bytes], pos: int, size: int) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record at ``pos``; raises ``Damaged``."""
+class Inflated:
+    """Forward reader of the unpacked bytes of the member at ``pos``; ``failed`` once a check fails or the file ends inside the member."""
+
+    def __init__(self, read_at: Callable[[int, int], bytes], pos: int):
+        self.read_at, self.pos, self.at = read_at, pos, pos
+        self.z, self.start, self.buffer = zlib.decompressobj(31), 0, bytearray()
+        self.failed = False
+
+    @property
+    def done(self) -> bool:
+        return self.failed or self.z.eof
+
+    @property
+    def used(self) -> int:
+        return self.at - self.pos - len(self.z.unused_data)
+
+    def _more(self) -> None:
+        data = self.read_at(self.at, 1 << 16)
+        if not data:
+            self.failed = True
+            return
+        before = self.z.copy()
+        try:
+            self.buffer += self.z.decompress(data)
+            self.at += len(data)
+        except zlib.error:
+            self.failed, self.z = True, before
+            for i in range(len(data)):  # what comes before the damage
+                try:
+                    self.buffer += self.z.decompress(data[i : i + 1])
+                except zlib.error:
+                    break
+
+    def read(self, pos: int, n: int) -> bytes:
+        while not self.done and self.start + len(self.buffer) < pos + n:
+            self._more()
+        return bytes(self.buffer[pos - self.start : pos - self.start + n])
+
+    def forget(self, pos: int) -> None:
+        """Bytes before ``pos`` are not read again."""
+        if pos - self.start > WINDOW:
+            del self.buffer[: pos - self.start]
+            self.start = pos
+
+    def to_end(self, most: int) -> bool:
+        """Unpacks the rest; whether all of it, ``most`` bytes at most, is held."""
+        whole = self.start == 0
+        while not self.done:
+            self._more()
+            if len(self.buffer) > most:
+                self.start, whole = self.start + len(self.buffer), False
+                self.buffer.clear()
+        return whole
+
+
+def one_record(read_at: Callable[[int, int], bytes], pos: int, size: int | None) -> tuple[dict[str, str], bytes, int, bool]:
+    """Headers, block, length of the record at ``pos``, and whether a digest of its block was checked; raises ``Damaged``. ``size`` of the file, if known."""
     head, n = b"", 1 << 12
     while (end := head.find(b"\r\n\r\n")) < 0:
         head = read_at(pos, n)
@@ -161,76 +207,101 @@ def one_record(read_at: Callable[[int, int], bytes], pos: int, size: int) -> tup
         raise Damaged("no length")
     length = int(fields["content-length"])
     total = end + 4 + length + 4
-    if pos + total > size:
+    if (pos + total > size) if size is not None else (length > LONGEST_RECORD):
         raise Damaged("record ends early")
     block = read_at(pos + end + 4, length + 4)
-    if block[length:] != b"\r\n\r\n":
+    if len(block) < length + 4 or block[length:] != b"\r\n\r\n":
         raise Damaged("no end mark")
     block = block[:length]
-    kind, _, digest = fields.get("warc-block-digest", "").partition(":")
-    if kind == "sha1" and hashlib.sha1(block).hexdigest() != digest.lower() and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest.upper():
+    wanted = hex_digest(fields.get("warc-block-digest"))
+    if wanted and hashlib.sha1(block).hexdigest() != wanted:
         raise Damaged("digest")
-    return fields, block, total
+    return fields, block, total, wanted is not None
+
+
+def hex_digest(value: str | None) -> str | None:
+    """Lower-case hex of a SHA-1 header value, which may be in hex or base 32; None for any other."""
+    kind, _, digest = (value or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if re.fullmatch(r"[0-9A-Fa-f]{40}", digest):
+        return digest.lower()
+    try:
+        return base64.b32decode(digest.upper()).hex() if len(digest) == 32 else None
+    except binascii.Error:
+        return None
+
+
+Item = tuple[int, int, dict[str, str] | None, bytes, bool]
 
 
-def _salvage(read_at, size: int, mark: bytes, take: Callable[[int], int], gap: Callable[[int, int], None]) -> None:
-    """Takes what begins at each position; where that fails, the bytes up to the next mark that works are one gap."""
+def _records(read_at: Callable[[int, int], bytes], size: int | None) -> Iterator[Item]:
+    """Records one after the other; where one fails, the bytes up to the next version line with a whole record are a gap."""
     pos, bad = 0, None
-    while pos < size:
+    while read_at(pos, 1):
         try:
-            used = take(pos)
+            fields, block, used, checked = one_record(read_at, pos, size)
         except Damaged:
             bad = pos if bad is None else bad
-            pos = _find(read_at, pos + 1, size, mark)
+            pos = _find(read_at, pos + 1, size, b"WARC/1.")
             continue
         if bad is not None:
-            gap(bad, pos - bad)
+            yield bad, pos - bad, None, b"", False
             bad = None
+        yield pos, used, fields, block, checked
         pos += used
     if bad is not None:
-        gap(bad, size - bad)
+        yield bad, pos - bad, None, b"", False
+
+
+def _member(read_at: Callable[[int, int], bytes], pos: int) -> tuple[int, bool, Iterator[Item]]:
+    """Length of the member at ``pos``, whether it fails a check, and its records and gaps."""
+    first = Inflated(read_at, pos)
+    if first.to_end(HELD_BYTES):
+        data = bytes(first.buffer)
+        return first.used, first.failed, _records(lambda p, n: data[p : p + n], len(data))
+
+    def again() -> Iterator[Item]:
+        stream = Inflated(read_at, pos)
+        for item in _records(stream.read, None):
+            yield item
+            stream.forget(item[0] + item[1])
+
+    return first.used, first.failed, again()
 
 
 def salvage(read_at: Callable[[int, int], bytes], size: int) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
     """``offset``, ``length``, headers and block of all records of one archive; no headers: a quarantined gap.
 
     Offsets and lengths are those of the file. In a gzip file they are those of the member, also where damage is inside a member that could be
-    unpacked.
+    unpacked. Of a member that fails a check the records before the damage are taken as well, the last of them only by a digest of its own, and the
+    bytes up to the next sound member are a gap.
     """
-    found: list[tuple[int, int, dict[str, str] | None, bytes]] = []
-
-    def plain(read, n: int, put: Callable[[int, int, dict | None, bytes], None]) -> None:
-        def take(pos: int) -> int:
-            fields, block, used = one_record(read, pos, n)
-            put(pos, used, fields, block)
-            return used
-
-        _salvage(read, n, b"WARC/1.", take, lambda pos, used: put(pos, used, None, b""))
-
     if read_at(0, 2) != MEMBER[:2] and _find(read_at, 0, size, b"WARC/1.") <= _find(read_at, 0, size, MEMBER):
-        plain(read_at, size, lambda *x: found.append(x))
-        yield from found
+        yield from (item[:4] for item in _records(read_at, size))
         return
 
-    def member(pos: int) -> int:
-        data, used = inflate(read_at, pos, size)
-        plain(lambda p, n: data[p : p + n], len(data), lambda _p, _n, fields, block: found.append((pos, used, fields, block)))
-        return used
-
-    # records are handed on member by member
     pos, bad = 0, None
     while pos < size:
-        try:
-            used = member(pos)
-        except Damaged:
+        used, failed, items = _member(read_at, pos) if read_at(pos, len(MEMBER)) == MEMBER else (0, True, iter(()))
+        if failed:
             bad = pos if bad is None else bad
-            pos = _find(read_at, pos + 1, size, MEMBER)
+            end = _find(read_at, pos + 1, size, MEMBER)
+            sound = [None, None]  # the last record waits for the one after it
+            for item in items:
+                if item[2] is not None:
+                    sound = [sound[1], item]
+                    if sound[0] is not None:
+                        yield pos, end - pos, *sound[0][2:4]
+            if sound[1] is not None and sound[1][4]:
+                yield pos, end - pos, *sound[1][2:4]
+            pos = end
             continue
         if bad is not None:
             yield bad, pos - bad, None, b""
             bad = None
-        yield from found
-        found.clear()
+        for item in items:
+            yield pos, used, *item[2:4]
         pos += used
     if bad is not None:
         yield bad, size - bad, None, b""
@@ -257,7 +328,8 @@ def _read(batches: Iterator[pa.RecordBatch], out: str, with_payload: bool) -> It
                     if fields is not None:
                         row |= {"record_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to")}
                         if row["record_type"] == "revisit":
-                            row |= {"payload_bytes": int(fields.get("x-payload-bytes", 0)), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:")}
+                            size = fields.get("x-payload-bytes", "")  # of this writer; other archives do not say
+                            row |= {"payload_bytes": int(size) if re.fullmatch(r"\d{1,18}", size) else None, "payload_digest": hex_digest(fields.get("warc-payload-digest"))}
                         else:
                             payload = http_payload(block)
                             row |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest(), "payload": payload if with_payload else None}
