@@ -5,21 +5,22 @@ aligning all pairs, but only those are aligned that can add to it. A block holds
 both documents have, so documents are found through the hashes of their windows. Each is aligned with the first document that has
 a window; where lines of the window stay, with further holders, in batches that grow ``rare`` times a round, until the lines are gone or all
 earlier holders were asked. Of documents with the same lines only the first takes part: the others go whole. The work of a window that patience never
-aligns still grows with the square of its holders.
+aligns still grows with the square of its holders. Lines and texts are told apart by 128 bits of a digest; a task aligns one pair of documents at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 RARE = 8
 MIN_CHARS = 48
@@ -104,13 +105,15 @@ def common_blocks(a: list, b: list, sizes_b: list[int], min_chars: int) -> list[
 
 def _aligned(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc, text_hash, a, b, sizes = (c.to_pylist() for c in batch.columns)
-        out = [(doc[i], text_hash[i], j) for i in range(len(doc)) for j in common_blocks(a[i], b[i], sizes[i], min_chars)]
+        out = []
+        for i in range(batch.num_rows):
+            doc, text_hash, a, b, sizes = (c[i].as_py() for c in batch.columns)
+            out += [(doc, text_hash, j) for j in common_blocks(a, b, sizes, min_chars)]
         ids, hashes, at = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(at, pa.int32())], names=["doc_id", "th", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(at, pa.int32())], names=["doc_id", "th", "at"])
 
 
-def windows(h: list[int], n: list[int], min_chars: int) -> set[tuple[int, int, int]]:
+def windows(h: list[bytes], n: list[int], min_chars: int) -> set[tuple[int, int, int]]:
     """Hash, first and last position of the shortest runs of ``min_chars`` characters from each line on and up to each line.
 
     Every line of a run that is long enough lies in one of these windows within the run.
@@ -124,34 +127,40 @@ def windows(h: list[int], n: list[int], min_chars: int) -> set[tuple[int, int, i
         q = bisect_right(ends, ends[p + 1] - min_chars, 0, p + 1) - 1
         if q >= 0:
             spans.add((q, p))
-    return {(hash(tuple(h[p : q + 1])), p, q) for p, q in spans}
+    key = lambda run: int.from_bytes(hashlib.blake2b(b"".join(run), digest_size=8).digest(), "little", signed=True)
+    return {(key(h[p : q + 1]), p, q) for p, q in spans}
 
 
 def _windows(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
-    names, kinds = ["d", "th", "g", "p", "q"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    for batch in batches:
+    names, kinds = ["d", "th", "g", "p", "q"], [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+    for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
         rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
         out = [(d, th, *w) for d, th, h, n in rows for w in windows(h, n, min_chars)]
         columns = zip(*out, strict=True) if out else [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def repeated_lines(docs: DataFrame, *, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id``, ``th`` (hash of the text) and ``drop``: the line numbers (from 0) to delete, for documents that lose lines."""
+    """``doc_id``, ``th`` (digest of the text) and ``drop``: the line numbers (from 0) to delete, for documents that lose lines."""
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.split(text, "\n").alias("raw"))
-    numbered = F.transform("raw", lambda x, i: F.struct(i.alias("at"), F.xxhash64(F.trim(x)).alias("h"), F.length(F.trim(x)).alias("n")))
-    lines = keyed.select("doc_id", "th", F.filter(numbered, lambda x: x["n"] > 0).alias("lines")).where(F.size("lines") > 0)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(text).alias("th"), F.split(text, "\n").alias("raw"))
+    numbered = F.transform("raw", lambda x, i: F.struct(i.alias("at"), _digest(F.trim(x)).alias("h"), F.length(F.trim(x)).alias("n")))
+    same = F.md5(F.array_join(F.filter(F.transform("raw", F.trim), lambda x: F.length(x) > 0), "\n"))
+    lines = keyed.select("doc_id", "th", same.alias("same"), F.filter(numbered, lambda x: x["n"] > 0).alias("lines")).where(F.size("lines") > 0)
     key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "th")
-    cut = lines.select(key.alias("k"), F.col("lines.at").alias("at"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n"))
+    cut = lines.select(key.alias("k"), "same", F.col("lines.at").alias("at"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n"))
     total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
-    table = written(cut.withColumn("total", total).where(F.col("total") >= min_chars).withColumn("same", F.struct(F.xxhash64("h"), F.size("h"), "total")).dropDuplicates(["k"]), "lines")
+    table = written(cut.withColumn("total", total).where(F.col("total") >= min_chars).dropDuplicates(["k"]), "lines")
     # written, so that the join has a plain shuffle on both sides and a hot group can be split
     firsts = written(table.groupBy("same").agg(F.min("k").alias("first")), "firsts")
     table = written(table.join(firsts, "same").select("k", "at", "h", "n", (F.col("k") != F.col("first")).alias("copy")), "lines")
     alone = table.where("not copy")
 
-    spans = alone.select("k.d", "k.th", "h", "n").mapInArrow(lambda it: _windows(it, min_chars), "d long, th long, g long, p int, q int")
+    spans = alone.select("k.d", "k.th", "h", "n").mapInArrow(tidy(lambda it: _windows(it, min_chars)), "d long, th binary, g long, p int, q int")
     spans = written(spans.select(F.struct("d", "th").alias("k"), "g", "p", "q"), "windows")
     holders = written(spans.select("g", "k").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.min("k").alias("first")).where("df > 1"), "holders")
     shared = written(spans.join(holders, "g"), "shared")
@@ -161,7 +170,7 @@ def repeated_lines(docs: DataFrame, *, rare: int = RARE, min_chars: int = MIN_CH
     def aligned(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side("b"), "b").join(side("a").select("a", "h_a"), "a")
         texts = both.select(F.col("b.d").alias("doc_id"), F.col("b.th").alias("th"), "h_a", "h_b", "n_b")
-        found = texts.mapInArrow(lambda it: _aligned(it, min_chars), "doc_id long, th long, at int")
+        found = texts.mapInArrow(tidy(lambda it: _aligned(it, min_chars)), "doc_id long, th binary, at int")
         return written(found.groupBy(F.struct(F.col("doc_id").alias("d"), "th").alias("k")).agg(F.collect_set("at").alias("places")), "gone")
 
     left = shared.where("k <> first")
@@ -194,7 +203,7 @@ def drop_repeated_lines(docs: DataFrame, *, rare: int = RARE, min_chars: int = M
     """
     marks = written(repeated_lines(docs, rare=rare, min_chars=min_chars), "repeats")
     text = F.coalesce(docs["text"], F.lit(""))
-    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["doc_id"]) & (F.xxhash64(text) == marks["th"]), "left")
+    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["doc_id"]) & (_digest(text) == marks["th"]), "left")
     left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(marks["drop"], i)), "\n")
     kept = F.when(marks["drop"].isNull(), docs["text"]).otherwise(left)
     others = [c for c in docs.columns if c != "_dropped"]
