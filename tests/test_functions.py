@@ -111,6 +111,12 @@ def test_values(spark):
         ("160 דף (חסר)", (160, "leaf", 0)),
         ("דף 2א-2ב", None),
         ("12 columns", None),
+        ("כ\"ד, 8 דפים", (32, "leaf", 0)),
+        ("2 ו-30 עלים", (32, "leaf", 0)),
+        ("xii, [3], 200 pp. ; 20 cm", (215, "page", 0)),
+        ("folios 3-5", None),
+        ("leaf 12", None),
+        ("about 12 pages (8 missing)", (12, "page", 0)),
         ("leaves", None),
         ("", None),
     ],
@@ -120,10 +126,29 @@ def test_extent(spark, said, want):
     assert (tuple(x) if x else None) == want
 
 
-@pytest.mark.parametrize(("name", "want"), [("ספרד", "hebrew_topic"), ("ירושלים", "hebrew_place"), ("Genesis", "bible_book"), ("TPP", "latin_topic"), ("משה?", "uncertain"), ("ABC", "capitals"), ("נח", "too_short"), ("", "empty"), ("משה ממנטובה", None), ("Moshe", None)])
-def test_person_doubt(spark, name, want):
-    assert one(spark, spans.person_doubt(F.lit(name))) == want
-    assert one(spark, spans.person_doubt(F.lit("Moshe"), F.lit("נושא נוסף: "))) == "subject_heading"
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [
+        ("ספרד", ["topic"]),
+        ("ירושלים", ["place"]),
+        ("Genesis", ["book of the bible"]),
+        ("TPP", ["topic", "capitals only"]),
+        ("משה?", ["marked as uncertain"]),
+        ("ABC", ["capitals only"]),
+        ("נח", ["too few letters"]),
+        ("רות", ["book of the bible"]),
+        ("", ["no text"]),
+        (None, ["no text"]),
+        ("משה ממנטובה", []),
+        ("Moshe", []),
+    ],
+)
+def test_person_doubts(spark, name, want):
+    assert one(spark, spans.person_doubts(F.lit(name).cast("string"))) == want
+
+
+def test_person_in_a_subject_heading(spark):
+    assert one(spark, spans.person_doubts(F.lit("Moshe"), F.lit("נושא נוסף: "))) == ["in a subject heading"]
 
 
 @pytest.mark.parametrize(("said", "want"), [("XIV", 14), ("mcmxcix", 1999), ("IV.", 4), ("A", None), ("", None)])
