@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,61 +92,103 @@ def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column, tole
     return unknown | ((lo(a_start, a_end) - tolerance <= hi(b_start, b_end)) & (lo(b_start, b_end) - tolerance <= hi(a_start, a_end)))
 
 
-def _range(start: Column, end: Column, approximate: Column | bool, form: str) -> Column:
-    flag = approximate if isinstance(approximate, Column) else F.lit(approximate)
-    return F.struct(start.cast("int").alias("year_start"), end.cast("int").alias("year_end"), flag.alias("approximate"), F.lit(form).alias("source_format"))
-
-
-def _number(c: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit("")).try_cast("int")
+Y, C, DASH = r"(\d{3,4})", r"(\d{1,2})", r"\s*[-–]\s*"
+ORDINAL, ABOUT, HEBREW_NUMERAL = C + "(?:st|nd|rd|th)", r"(?:approximately|approx\.?|ca\.?)\s*", r"([א-ת\"'״׳]{1,5})"
+ABOUT_HEBREW, DIED, BORN, ACTIVE, CENTURY = "בערך", "נפטר", "נולד", "(?:פעל|פעיל)", r"מאה\s+ה-?"
+
+
+@dataclass(frozen=True)
+class Form:
+    """One way to write a date. ``start`` and ``end`` are groups of ``pattern`` (0: open); ``unit`` is what they count. The text has ``needs`` and
+    lacks ``lacks``; ``about`` says that it is approximate, or the pattern that says so. ``plausible``: years from 101 to 2099 only."""
+
+    name: str
+    pattern: str
+    start: int = 1
+    end: int = 1
+    unit: str = "year"
+    about: bool | str = True
+    needs: str = ""
+    lacks: str = "$^"
+    plausible: bool = False
+
+
+# fixed values: the names of the forms; the most specific come first
+FORMS = (
+    Form("seleucid_era", rf"\({Y}\)", about=False, needs=SELEUCID),
+    Form("seleucid_era", rf"([א-ת\"'״׳]+)\s*{SELEUCID}", unit="seleucid year", plausible=True),
+    Form("publication_hebrew_year", rf"\({Y}\)", about=False, needs="[א-ת]"),
+    Form("hebrew_approximate", rf"{Y}\s*{ABOUT_HEBREW}{DASH}{Y}", end=2),
+    Form("hebrew_approximate", rf"{ABOUT_HEBREW}\s*{Y}{DASH}{Y}", end=2),
+    Form("hebrew_approximate", rf"{DIED}\s+{Y}", start=0, about=ABOUT_HEBREW),
+    Form("hebrew_approximate", rf"{BORN}\s+{Y}", end=0, about=ABOUT_HEBREW),
+    Form("hebrew_approximate", rf"{Y}\s*{ABOUT_HEBREW}"),
+    Form("hebrew_active", rf"{ACTIVE}\s+ב?{CENTURY}{C}{DASH}{C}", end=2, unit="century"),
+    Form("hebrew_active", rf"{ACTIVE}\s+ב?{CENTURY}{C}", unit="century"),
+    Form("hebrew_active", rf"{ACTIVE}\s+ב?{CENTURY}{HEBREW_NUMERAL}", unit="century in letters"),
+    Form("hebrew_active", rf"{ACTIVE}\s+{Y}"),
+    Form("hebrew_century", rf"{CENTURY}{C}{DASH}{C}", end=2, unit="century"),
+    Form("hebrew_century", rf"{CENTURY}{C}", unit="century"),
+    Form("hebrew_century", rf"{CENTURY}{HEBREW_NUMERAL}", unit="century in letters"),
+    Form("english_approximate", rf"(?i){ABOUT}{Y}{DASH}{ABOUT}{Y}", end=2),
+    Form("english_approximate", rf"(?i)(?:ca\.?|c\.)\s*{Y}"),
+    Form("english_century", rf"(?i){ORDINAL}{DASH}{ORDINAL}\s*cent", end=2, unit="century"),
+    Form("english_century", rf"(?i){ORDINAL}\s*cent", unit="century"),
+    Form("gregorian_uncertain_range", rf"{Y}\s*\??{DASH}\??\s*{Y}", end=2, needs=r"\?"),
+    Form("gregorian_open", rf"{Y}{DASH}[. ]*$", end=0, about=False),
+    Form("gregorian_range", rf"{Y}{DASH}{Y}", end=2, about=False, lacks=r"\?", plausible=True),
+    Form("gregorian_single", r"\b(\d{4})\b", about=r"[?\[]", plausible=True),
+    Form("standalone_hebrew_year", r"(?s)^(.*[א-ת].*[א-ת].*)$", unit="letters of a year", plausible=True),
+)
+ACTIVITY = ("hebrew_century", "english_century", "hebrew_active")
+LAST_CENTURY = 25
+LEAST_YEAR_LETTERS = 50
+
+
+def _bounds(c: Column, unit: str) -> tuple[Column, Column]:
+    """First and last year of what one group of a form says, null where that cannot be."""
+    if unit.startswith("century"):
+        n = _sum(c) if unit == "century in letters" else c.try_cast("int")
+        n = F.when(n.between(1, LAST_CENTURY), n) if unit == "century in letters" else n
+        return (n - 1) * 100 + 1, n * 100
+    if unit == "seleucid year":
+        n = _sum(c)
+        year = n + F.when(F.regexp_replace(c, MARKS, "").startswith("א") | (n > 900), 1000).otherwise(0) - SELEUCID_OFFSET
+    elif unit == "letters of a year":
+        n = _sum(F.regexp_replace(c, "[^א-ת]", ""))
+        year = F.when(n >= LEAST_YEAR_LETTERS, n + 5_000 - CALENDAR_OFFSET)
+    else:
+        year = c.try_cast("int")
+    return year, year
+
+
+def _as_form(t: Column, form: Form) -> Column:
+    """Range of a text in one form, else null."""
+    group = lambda i: F.regexp_extract(t, form.pattern, i)
+    none = F.lit(None).cast("int")
+    start = _bounds(group(form.start), form.unit)[0].cast("int") if form.start else none
+    end = _bounds(group(form.end), form.unit)[1].cast("int") if form.end else none
+    ok = t.rlike(form.pattern) & t.rlike(form.needs) & ~t.rlike(form.lacks)
+    about = t.rlike(form.about) if isinstance(form.about, str) else F.lit(form.about)
+    found = F.struct(start.alias("year_start"), end.alias("year_end"), about.alias("approximate"), F.lit(form.name).alias("source_format"))
+
+    def checked(r: Column) -> Column:
+        known = [r[k].isNotNull() & (r[k].between(101, 2099) if form.plausible else F.lit(True)) for k, i in (("year_start", form.start), ("year_end", form.end)) if i]
+        return F.when(known[0] & known[-1], r)
+
+    return F.when(ok, let(found, checked))
 
 
 def resolve(c: Column) -> Column:
-    """Year range of a date string, by the first form that fits; null when none does.
-
-    The forms, most specific first: Seleucid era, Hebrew letters with a common-era year in parentheses, Hebrew century, range of
-    centuries, century, range of years, approximate year, open range, uncertain year, single year, Hebrew year letters.
-    """
-    t = F.trim(F.coalesce(c, F.lit("")))
-    return let(F.struct(t.alias("t"), F.lower(t).alias("low"), letters_to_year(t).alias("year")), lambda x: _by_form(x["t"], x["low"], x["year"]))
-
-
-def _by_form(t: Column, low: Column, letters_year: Column) -> Column:
-    hebrew_paren = r"[א-ת].*\((\d{3,4})\)"
-    hebrew_century = r"(?:מאה|המאה)\s*(?:ה-?)?\s*(\d{1,2})"
-    centuries = r"(\d{1,2})(?:st|nd|rd|th)?\s*[-–]\s*(\d{1,2})(?:st|nd|rd|th)\s+cent"
-    century = r"(\d{1,2})(?:st|nd|rd|th)\s+cent"
-    years = r"(\d{3,4})\s*[-–]\s*(?:ca\.?\s*)?(\d{3,4})"
-    about = r"(?:ca\.?|circa|approximately|c\.)\s*(\d{3,4})"
-    open_range = r"(\d{3,4})\s*[-–]\s*$"
-    uncertain = r"(\d{3,4})\s*\?"
-    single = r"(?<!\d)(\d{3,4})(?!\d)"
-    era = _sum(F.regexp_extract(t, rf"([א-ת][א-ת\"'״׳]*)\s*{SELEUCID}", 1))
-    era_year = let(era, lambda v: F.when(v > 0, v + F.when((v > 900) | F.startswith(t, F.lit("א")), 1000).otherwise(0) - SELEUCID_OFFSET))
-    paren = _number(t, r"\((\d{3,4})\)")
-    bce = low.rlike(r"b\.?c\.?e?\.?|לפנה")
-    of = lambda n: century_range(n, bce)
-    first, last, one, heb = _number(low, centuries), _number(low, centuries, 2), _number(low, century), _number(t, hebrew_century)
-    return (
-        F.when(F.contains(t, F.lit(SELEUCID)), _range(F.coalesce(paren, F.when(era_year.between(101, 2099), era_year)), F.coalesce(paren, F.when(era_year.between(101, 2099), era_year)), paren.isNull(), "seleucid_era"))
-        .when(t.rlike(hebrew_paren), _range(_number(t, hebrew_paren), _number(t, hebrew_paren), False, "hebrew_gregorian"))
-        .when(t.rlike(hebrew_century), _range(of(heb)["year_start"], of(heb)["year_end"], True, "hebrew_century"))
-        .when(low.rlike(centuries), _range(of(first)["year_start"], of(last)["year_end"], True, "century_range"))
-        .when(low.rlike(century), _range(of(one)["year_start"], of(one)["year_end"], True, "century"))
-        .when(t.rlike(years), _range(_number(t, years), _number(t, years, 2), low.rlike(r"ca\.?|circa"), "range"))
-        .when(low.rlike(about), _range(_number(low, about), _number(low, about), True, "approximate"))
-        .when(t.rlike(open_range), _range(_number(t, open_range), F.lit(None), False, "open"))
-        .when(t.rlike(uncertain), _range(_number(t, uncertain), _number(t, uncertain), True, "uncertain"))
-        .when(t.rlike(single), _range(_number(t, single), _number(t, single), False, "year"))
-        .when(letters_year.isNotNull() & (F.length(F.regexp_replace(t, MARKS, "")) >= 2), _range(letters_year, letters_year, False, "hebrew_year"))
-    )
+    """Year range of a date string, by the first of ``FORMS`` that fits; null when none does."""
+    return let(F.trim(F.coalesce(c, F.lit(""))), lambda t: F.coalesce(*(_as_form(t, form) for form in FORMS)))
 
 
 def person_dates(c: Column) -> Column:
     """Birth, death and active year: equal bounds or a century are a time of activity (a century's middle)."""
 
     def parts(r: Column) -> Column:
-        active = F.coalesce(r["source_format"].isin("century", "hebrew_century", "century_range") | (r["year_start"] == r["year_end"]), F.lit(False))
+        active = F.coalesce(r["source_format"].isin(*ACTIVITY) | (r["year_start"] == r["year_end"]), F.lit(False))
         middle = F.floor((r["year_start"] + r["year_end"]) / 2).cast("int")
         return F.struct(F.when(~active, r["year_start"]).alias("birth_year"), F.when(~active, r["year_end"]).alias("death_year"), F.when(active, middle).alias("active_year"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,18 +53,71 @@ def dates_overlap(t: Tables) -> DataFrame:
     return x.select("a", "b", dates.overlap(F.col("a"), F.col("a") + 10, F.col("b"), F.col("b") + 10).alias("overlaps"))
 
 
-@query("""SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 0 THEN year(o_orderdate) WHEN 1 THEN 1400 ELSE year(o_orderdate) - 2 END AS INTEGER) AS year_start,
-          CAST(CASE o_orderkey % 3 WHEN 0 THEN year(o_orderdate) WHEN 1 THEN 1499 ELSE year(o_orderdate) END AS INTEGER) AS year_end, o_orderkey % 3 <> 2 AND o_orderkey % 3 <> 0 AS approximate FROM orders""")
+#: One text for each form of dates, and what it means: first and last year, whether it is approximate, and the form. ``y`` is a year, ``z`` a later
+#: one, ``c`` and ``d`` centuries, ``h`` the letters of year ``y``, ``o`` those of century ``c``, ``e`` those of a Seleucid year.
+SAID = [
+    ("{h} לשטרות ({y})", "y", "y", "false", "seleucid_era"),
+    ("{e} לשטרות", "e + 688", "e + 688", "true", "seleucid_era"),
+    ("{h} ({y})", "y", "y", "false", "publication_hebrew_year"),
+    ("{y} בערך-{z}", "y", "z", "true", "hebrew_approximate"),
+    ("בערך {y}-{z}", "y", "z", "true", "hebrew_approximate"),
+    ("נפטר {y}", "NULL", "y", "false", "hebrew_approximate"),
+    ("נפטר {y} בערך", "NULL", "y", "true", "hebrew_approximate"),
+    ("נולד {y}", "y", "NULL", "false", "hebrew_approximate"),
+    ("נולד {y} בערך", "y", "NULL", "true", "hebrew_approximate"),
+    ("{y} בערך", "y", "y", "true", "hebrew_approximate"),
+    ("פעל במאה ה-{c}-{d}", "100 * c - 99", "100 * d", "true", "hebrew_active"),
+    ("פעל במאה ה{o}", "100 * c - 99", "100 * c", "true", "hebrew_active"),
+    ("פעיל {y}", "y", "y", "true", "hebrew_active"),
+    ("המאה ה-{c}-{d}", "100 * c - 99", "100 * d", "true", "hebrew_century"),
+    ("המאה ה-{c}", "100 * c - 99", "100 * c", "true", "hebrew_century"),
+    ("המאה ה{o}", "100 * c - 99", "100 * c", "true", "hebrew_century"),
+    ("approximately {y}-approximately {z}", "y", "z", "true", "english_approximate"),
+    ("Ca. {y}", "y", "y", "true", "english_approximate"),
+    ("{c}th-{d}th cent.", "100 * c - 99", "100 * d", "true", "english_century"),
+    ("{c}th century", "100 * c - 99", "100 * c", "true", "english_century"),
+    ("{y}?-{z}", "y", "z", "true", "gregorian_uncertain_range"),
+    ("{y}-", "y", "NULL", "false", "gregorian_open"),
+    ("{y}-{z}", "y", "z", "false", "gregorian_range"),
+    ("in {y}", "y", "y", "false", "gregorian_single"),
+    ("[{y}]", "y", "y", "true", "gregorian_single"),
+    ("{h}", "y", "y", "true", "standalone_hebrew_year"),
+    ("undated", "NULL", "NULL", "NULL", None),
+]
+
+
+def _meant(i: int, kind: str) -> str:
+    cases = " ".join(f"WHEN {n} THEN {x[i]}" if x[i] else "" for n, x in enumerate(SAID))
+    return f"CAST(CASE f {cases} END AS {kind})"
+
+
+_FORMS = " ".join(f"WHEN {n} THEN '{x[4]}'" for n, x in enumerate(SAID) if x[4])
+MEANT = f"""WITH n AS (SELECT o_orderkey, o_orderkey % {len(SAID)} AS f, 1301 + 10 * (o_orderkey % 59) + o_orderkey % 9 AS y, 2 + o_orderkey % 19 AS c, 901 + o_orderkey % 90 AS e FROM orders),
+            m AS (SELECT *, y + 40 AS z, c + 1 AS d FROM n),
+            r AS (SELECT o_orderkey, {_meant(1, "INTEGER")} AS year_start, {_meant(2, "INTEGER")} AS year_end, {_meant(3, "BOOLEAN")} AS approximate, CASE f {_FORMS} END AS source_format FROM m)"""
+
+
+def _said(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    y, c = 1301 + 10 * (k % 59) + k % 9, 2 + k % 19
+    values_of = {"y": y, "z": y + 40, "c": c, "d": c + 1, "h": dates.letters(y - 1240), "o": dates.letters(c), "e": dates.letters(901 + k % 90)}
+    text = F.lit(None).cast("string")
+    for n, (template, *_) in enumerate(SAID):
+        parts = [values_of[x[1:-1]].cast("string") if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w\})", template) if x]
+        text = F.when(k % len(SAID) == n, F.concat(*parts)).otherwise(text)
+    return t.orders.select("o_orderkey", text.alias("said"))
+
+
+@query(f"{MEANT} SELECT * FROM r")
 def date_resolve(t: Tables) -> DataFrame:
-    y = F.year("o_orderdate")
-    said = F.when(F.col("o_orderkey") % 3 == 0, y.cast("string")).when(F.col("o_orderkey") % 3 == 1, "15th century").otherwise(F.concat((y - 2).cast("string"), F.lit("-"), y.cast("string")))
-    return t.orders.select("o_orderkey", dates.resolve(said).alias("r")).select("o_orderkey", "r.year_start", "r.year_end", "r.approximate")
+    return _said(t).select("o_orderkey", dates.resolve(F.col("said")).alias("r")).select("o_orderkey", "r.*")
 
 
-@query("SELECT o_orderkey, CAST(year(o_orderdate) - 70 AS INTEGER) AS birth_year, CAST(year(o_orderdate) AS INTEGER) AS death_year, CAST(NULL AS INTEGER) AS active_year FROM orders")
+@query(f"""{MEANT}, a AS (SELECT *, coalesce(source_format IN ('hebrew_century', 'english_century', 'hebrew_active') OR year_start = year_end, false) AS active FROM r)
+           SELECT o_orderkey, CASE WHEN NOT active THEN year_start END AS birth_year, CASE WHEN NOT active THEN year_end END AS death_year,
+                  CAST(CASE WHEN active THEN (year_start + year_end) // 2 END AS INTEGER) AS active_year FROM a""")
 def person_dates(t: Tables) -> DataFrame:
-    y = F.year("o_orderdate")
-    return t.orders.select("o_orderkey", dates.person_dates(F.concat((y - 70).cast("string"), F.lit("-"), y.cast("string"))).alias("p")).select("o_orderkey", "p.*")
+    return _said(t).select("o_orderkey", dates.person_dates(F.col("said")).alias("p")).select("o_orderkey", "p.*")
 
 
 @query("SELECT p_partkey % 5000 + 1 AS n, CAST(p_partkey % 5000 + 1 AS INTEGER) AS back FROM part")
