@@ -189,8 +189,8 @@ class Inflated:
         return whole
 
 
-def one_record(read_at: Callable[[int, int], bytes], pos: int, size: int | None) -> tuple[dict[str, str], bytes, int, bool]:
-    """Headers, block, length of the record at ``pos``, and whether a digest of its block was checked; raises ``Damaged``. ``size`` of the file, if known."""
+def one_record(read_at: Callable[[int, int], bytes], pos: int, size: int | None) -> tuple[dict[str, str], bytes, int]:
+    """Headers, block and length of the record at ``pos``; raises ``Damaged``. ``size`` of the file, if known."""
     head, n = b"", 1 << 12
     while (end := head.find(b"\r\n\r\n")) < 0:
         head = read_at(pos, n)
@@ -216,7 +216,7 @@ def one_record(read_at: Callable[[int, int], bytes], pos: int, size: int | None)
     wanted = hex_digest(fields.get("warc-block-digest"))
     if wanted and hashlib.sha1(block).hexdigest() != wanted:
         raise Damaged("digest")
-    return fields, block, total, wanted is not None
+    return fields, block, total
 
 
 def hex_digest(value: str | None) -> str | None:
@@ -232,7 +232,7 @@ def hex_digest(value: str | None) -> str | None:
         return None
 
 
-Item = tuple[int, int, dict[str, str] | None, bytes, bool]
+Item = tuple[int, int, dict[str, str] | None, bytes]
 
 
 def _records(read_at: Callable[[int, int], bytes], size: int | None) -> Iterator[Item]:
@@ -240,18 +240,18 @@ def _records(read_at: Callable[[int, int], bytes], size: int | None) -> Iterator
     pos, bad = 0, None
     while read_at(pos, 1):
         try:
-            fields, block, used, checked = one_record(read_at, pos, size)
+            fields, block, used = one_record(read_at, pos, size)
         except Damaged:
             bad = pos if bad is None else bad
             pos = _find(read_at, pos + 1, size, b"WARC/1.")
             continue
         if bad is not None:
-            yield bad, pos - bad, None, b"", False
+            yield bad, pos - bad, None, b""
             bad = None
-        yield pos, used, fields, block, checked
+        yield pos, used, fields, block
         pos += used
     if bad is not None:
-        yield bad, pos - bad, None, b"", False
+        yield bad, pos - bad, None, b""
 
 
 def _member(read_at: Callable[[int, int], bytes], pos: int) -> tuple[int, bool, Iterator[Item]]:
@@ -274,11 +274,11 @@ def salvage(read_at: Callable[[int, int], bytes], size: int) -> Iterator[tuple[i
     """``offset``, ``length``, headers and block of all records of one archive; no headers: a quarantined gap.
 
     Offsets and lengths are those of the file. In a gzip file they are those of the member, also where damage is inside a member that could be
-    unpacked. Of a member that fails a check the records before the damage are taken as well, the last of them only by a digest of its own, and the
+    unpacked. Of a member that fails a check the records before the damage are taken as well, but not one that nothing follows, and the
     bytes up to the next sound member are a gap.
     """
     if read_at(0, 2) != MEMBER[:2] and _find(read_at, 0, size, b"WARC/1.") <= _find(read_at, 0, size, MEMBER):
-        yield from (item[:4] for item in _records(read_at, size))
+        yield from _records(read_at, size)
         return
 
     pos, bad = 0, None
@@ -287,21 +287,18 @@ def salvage(read_at: Callable[[int, int], bytes], size: int) -> Iterator[tuple[i
         if failed:
             bad = pos if bad is None else bad
             end = _find(read_at, pos + 1, size, MEMBER)
-            sound = [None, None]  # the last record waits for the one after it
+            held = None  # a record is taken once something follows it: the member's own check covers the last one
             for item in items:
-                if item[2] is not None:
-                    sound = [sound[1], item]
-                    if sound[0] is not None:
-                        yield pos, end - pos, *sound[0][2:4]
-            if sound[1] is not None and sound[1][4]:
-                yield pos, end - pos, *sound[1][2:4]
+                if held is not None and held[2] is not None:
+                    yield pos, end - pos, *held[2:]
+                held = item
             pos = end
             continue
         if bad is not None:
             yield bad, pos - bad, None, b""
             bad = None
         for item in items:
-            yield pos, used, *item[2:4]
+            yield pos, used, *item[2:]
         pos += used
     if bad is not None:
         yield bad, size - bad, None, b""
