@@ -149,7 +149,7 @@ def repeated_lines(docs: DataFrame, *, rare: int = RARE, min_chars: int = MIN_CH
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(text).alias("th"), F.split(text, "\n").alias("raw"))
     numbered = F.transform("raw", lambda x, i: F.struct(i.alias("at"), _digest(F.trim(x)).alias("h"), F.length(F.trim(x)).alias("n")))
-    same = F.md5(F.array_join(F.filter(F.transform("raw", F.trim), lambda x: F.length(x) > 0), "\n"))
+    same = F.md5(F.array_join(F.filter(F.transform("raw", lambda x: F.trim(x)), lambda x: F.length(x) > 0), "\n"))
     lines = keyed.select("doc_id", "th", same.alias("same"), F.filter(numbered, lambda x: x["n"] > 0).alias("lines")).where(F.size("lines") > 0)
     key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "th")
     cut = lines.select(key.alias("k"), "same", F.col("lines.at").alias("at"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n"))
