@@ -30,7 +30,7 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
 def within(edges: DataFrame, starts: DataFrame, radius: int) -> DataFrame:
     """``node`` and ``hops`` of all nodes at most ``radius`` steps from any of ``starts`` (``node``). Each round joins the
     newest nodes only."""
-    steps = symmetric(edges).select("a", "b")
+    steps = written(symmetric(edges).select("a", "b"), "steps")
     known = new = written(starts.select("node").distinct().withColumn("hops", F.lit(0)), "reached")
     for hop in range(1, radius + 1):
         next_nodes = new.join(steps, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
@@ -47,7 +47,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, *, max_hops: int = MAX
     The path to itself is one node, if it has an edge.
     """
     spark = edges.sparkSession
-    steps = symmetric(edges).select("a", "b")
+    steps = written(symmetric(edges).select("a", "b"), "steps")
     present = steps.where(F.col("a") == start).limit(1).select(F.col("a").alias("node"))
     if present.isEmpty():
         return spark.createDataFrame([], "hop int, node string")

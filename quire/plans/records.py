@@ -236,10 +236,18 @@ def record_columns(t: Tables) -> DataFrame:
     return flat.select("control_number", F.try_element_at("columns", F.lit("100$a")).alias("owner"), F.try_element_at("columns", F.lit("700$a")).alias("parts"))
 
 
-@query("SELECT count(DISTINCT l_orderkey) AS n, CAST(0 AS BIGINT) AS n_bad FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+@query("""WITH f(i, fault) AS (VALUES (0, ''), (1, 'tag'), (2, 'occurrence'), (3, 'repeated'), (4, 'indicators'), (5, 'code'), (6, 'occurrence,repeated'))
+          SELECT o_orderkey, fault FROM orders JOIN f ON i = o_orderkey % 7""")
 def record_errors(t: Tables) -> DataFrame:
-    bad = F.size(readers.occurrence_errors(F.col("occurrences")))
-    return _records(t).agg(F.count(F.lit(1)).alias("n"), F.sum((bad > 0).cast("long")).alias("n_bad"))
+    """Records of two field instances, each with another fault."""
+    i = F.col("o_orderkey") % 7
+    sub = lambda code: F.array(F.struct(code.alias("code"), F.lit("v").alias("value")))
+    field = lambda tag, n, marks, code: F.struct(tag.alias("tag"), n.cast("int").alias("occurrence"), marks.alias("indicators"), sub(code).alias("subfields"), F.lit(None).cast("string").alias("data"))
+    good = F.array(F.lit(" "), F.lit("1"))
+    number = F.when(i == 2, 0).when(i == 3, 1).when(i == 6, -1).otherwise(2)
+    second = field(F.when(i == 1, "24x").otherwise("245"), number, F.when(i == 4, F.array(F.lit(" "))).otherwise(good), F.when(i == 5, "ab").otherwise("a"))
+    both = F.array(field(F.lit("245"), F.when(i == 6, -1).otherwise(1), good, F.lit("a")), second)
+    return t.orders.select("o_orderkey", F.array_join(readers.occurrence_errors(both), ",").alias("fault"))
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS control_number, 'p' || l_partkey AS entity, min(l_linenumber) AS first FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,13 +36,54 @@ def sniff(head: bytes) -> str:
     return "tsv" if b"\t" in line else "csv" if b"," in line else "jsonl"
 
 
+def head_of(spark: SparkSession, path: str, size: int = 4096) -> bytes:
+    """First bytes of a file, or of the first file in a folder, read through Hadoop's file systems; no more is read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if fs.getFileStatus(at).isDirectory():
+        inside = sorted(x.getPath().toString() for x in fs.listStatus(at) if x.isFile() and x.getPath().getName()[:1] not in "._")
+        if not inside:
+            return b""
+        at = jvm.org.apache.hadoop.fs.Path(inside[0])
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
 def format_of(spark: SparkSession, path: str) -> str:
     """Format by suffix, else by content: a bounded look at the first bytes of one file."""
-    known = SUFFIXES.get(path.rsplit(".", 1)[-1].lower())
-    if known:
-        return known
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 64).alias("head")).first()
-    return sniff(bytes(head["head"] or b"") if head else b"")
+    return SUFFIXES.get(path.rsplit(".", 1)[-1].lower()) or sniff(head_of(spark, path, 64))
+
+
+# fixed values: encodings of catalogue tables by their first bytes, and the one tried where a text is not UTF-8
+MARKS = {b"\xef\xbb\xbf": "UTF-8", b"\xff\xfe": "UTF-16LE", b"\xfe\xff": "UTF-16BE"}
+HEBREW_ENCODING, ANY_ENCODING = "windows-1255", "ISO-8859-1"
+
+
+def sniff_encoding(head: bytes) -> str:
+    """Encoding of a text by its first bytes: a byte order mark, else UTF-8 if they are (but for a character cut at the end), else the Hebrew
+    code page if they can be read in it, else one that reads any bytes."""
+    for mark, encoding in MARKS.items():
+        if head.startswith(mark):
+            return encoding
+    for encoding in ("UTF-8", HEBREW_ENCODING):
+        try:
+            head.decode(encoding)
+            return encoding
+        except UnicodeDecodeError as e:
+            if e.reason == "unexpected end of data":
+                return encoding
+    return ANY_ENCODING
+
+
+def sniff_delimiter(head: bytes, encoding: str = "UTF-8", suffix: str = "") -> str:
+    """Delimiter by suffix, else a tab if the first line has one, else a comma."""
+    if suffix.lower() in ("tsv", "csv"):
+        return "\t" if suffix.lower() == "tsv" else ","
+    return "\t" if "\t" in head.decode(encoding, "replace").split("\n", 1)[0] else ","
 
 
 def header_name(name: str) -> str:
@@ -63,18 +104,48 @@ def read_table(spark: SparkSession, path: str, *, sep: str = ",", encoding: str
     return df.toDF(*names)
 
 
+def read_any_table(spark: SparkSession, path: str) -> DataFrame:
+    """``read_table`` with the encoding and delimiter that the first bytes show."""
+    head = head_of(spark, path)
+    encoding = sniff_encoding(head)
+    return read_table(spark, path, sep=sniff_delimiter(head, encoding, path.rsplit(".", 1)[-1]), encoding=encoding)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``line`` (from 1) and ``value`` of text files. Splits are numbered on their own and shifted by the lines of those before them in
+    their file."""
+    from quire.sources.shared import written
+
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    raw = spark.read.text(path).select("value", at.alias("at"), F.monotonically_increasing_id().alias("_id"))
+    lines = written(raw, "lines")
+    splits = lines.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
+    before = Window.partitionBy("at.file").orderBy("at.start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    starts = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return lines.join(starts, "at").select(F.col("at.file").alias("file"), (F.col("before") + F.col("_id") - F.col("first") + 1).alias("line"), "value")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
-    """Good rows of a JSON-lines file, and its bad lines with their text."""
+    """Good rows of a JSON-lines file, and its bad lines: ``file``, ``line`` (from 1) and ``value``."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     full = T.StructType([*fields.fields, T.StructField("_bad", T.StringType())])
-    df = spark.read.text(path).select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), "value").where("trim(value) <> ''")
-    bad = F.col("r._bad").isNotNull()
-    return df.where(~bad).select(*(F.col(f"r.{f.name}") for f in fields.fields)), df.where(bad).select("value")
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")
+    bad, said = F.col("r._bad").isNotNull(), "trim(value) <> ''"
+    good = spark.read.text(path).where(said).select(parsed).where(~bad).select(*(F.col(f"r.{f.name}") for f in fields.fields))
+    return good, numbered_lines(spark, path).where(said).select("file", "line", "value", parsed).where(bad).select("file", "line", "value")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A JSON array or object of records."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """A JSON array or object of records, or JSON lines: lines if the file does not start with a bracket and every line is an object, or if it cannot be
+    read as a whole."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    full = T.StructType([*fields.fields, T.StructField("_bad", T.StringType())])
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    broken = spark.read.text(path).where("trim(value) <> ''").where(parsed["_bad"].isNotNull())
+    if sniff(head_of(spark, path, 64)) != "json" and broken.isEmpty():
+        return read_jsonl(spark, path, fields)[0]
+    whole = spark.read.schema(full).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    return whole.drop("_bad") if whole.where("_bad is not null").first() is None else read_jsonl(spark, path, fields)[0]
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
@@ -112,7 +183,9 @@ def read_marc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_marcxml(spark: SparkSession, path: str) -> DataFrame:
-    """MARCXML records in the shape of ``read_marc``."""
+    """MARCXML records in the shape of ``read_marc``. Files that declare a document type or an entity, or hold a NUL, raise ``ValueError``."""
+    if not spark.read.text(path).where(F.col("value").rlike(r"<!(?i:DOCTYPE|ENTITY)|\x00")).isEmpty():
+        raise ValueError("document types, entities and NUL are refused")
     schema = "leader string, controlfield array<struct<_tag string, _VALUE string>>, datafield array<struct<_tag string, _ind1 string, _ind2 string, subfield array<struct<_code string, _VALUE string>>>>"
     rows = spark.read.format("xml").option("rowTag", "record").option("ignoreNamespace", "true").option("ignoreSurroundingSpaces", "false").schema(schema).load(path)
     none = F.array().cast(OCCURRENCE)
@@ -130,13 +203,20 @@ def _with_control(rows: DataFrame) -> DataFrame:
 
 
 def flat_columns(records: DataFrame) -> DataFrame:
-    """``control_number``, and a map of ``tag$code`` (or ``tag``) to the values of its occurrences: repeats inside one by space, occurrences by bar."""
-    each = records.select("control_number", F.explode("occurrences").alias("x"))
-    codes = each.select("control_number", "x.tag", "x.occurrence", F.explode_outer("x.subfields").alias("s"), "x.data")
-    key = F.when(F.col("s").isNull(), F.col("tag")).otherwise(F.concat("tag", F.lit("$"), "s.code"))
-    inside = codes.groupBy("control_number", key.alias("key"), "occurrence").agg(F.concat_ws(" ", F.collect_list(F.coalesce("s.value", "data"))).alias("v"))
-    joined = inside.groupBy("control_number", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("occurrence", "v"))), lambda x: x["v"]), "|").alias("v"))
-    return joined.groupBy("control_number").agg(F.map_from_entries(F.collect_list(F.struct("key", "v"))).alias("columns"))
+    """``control_number``, and a map of ``tag$code`` (or ``tag``) to the values of its occurrences: repeats inside one by space, occurrences by bar, both
+    in their order. A record stays one row, so nothing is shuffled. Records without occurrences are left out."""
+
+    def cells(x: Column) -> Column:
+        cell = lambda key, v: F.struct(key.alias("key"), x["occurrence"].alias("occurrence"), v.alias("v"))
+        subs = F.coalesce(x["subfields"], F.array().cast("array<struct<code string, value string>>"))
+        codes = F.array_distinct(F.transform(subs, lambda s: s["code"]))
+        of = lambda code: F.array_join(F.transform(F.filter(subs, lambda s: s["code"] == code), lambda s: F.coalesce(s["value"], x["data"])), " ")
+        return F.when(F.size(subs) == 0, F.array(cell(x["tag"], F.coalesce(x["data"], F.lit(""))))).otherwise(F.transform(codes, lambda c: cell(F.concat(x["tag"], F.lit("$"), c), of(c))))
+
+    flat = records.where("occurrences is not null").select("control_number", F.flatten(F.transform("occurrences", cells)).alias("cells"))
+    keys = F.array_distinct(F.transform("cells", lambda c: c["key"]))
+    mine = lambda k: F.array_sort(F.transform(F.filter("cells", lambda c: c["key"] == k), lambda c, i: F.struct(c["occurrence"].alias("occurrence"), i.alias("i"), c["v"].alias("v"))))
+    return flat.where(F.size("cells") > 0).select("control_number", F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_join(F.transform(mine(k), lambda c: c["v"]), "|"))).alias("columns"))
 
 
 def occurrence_errors(occurrences: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,12 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
     It is the session's ``spark.checkpoint.dir``. Only a session without that
-    setting (a test on one machine) gets a temporary folder of its own.
+    setting on one machine (a test) gets a temporary folder of its own; on a cluster it raises ``ValueError``.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -26,11 +29,42 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/quire-{tag}-{uuid.uuid4().hex}"
 
 
+_open: list[Scratch] = []
+
+
+class Scratch:
+    """Tables that are written while something is worked out; at the end all but the kept ones are deleted.
+
+    What is kept is written itself, so nothing that stays depends on what goes.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        path = new_dir(self.spark, tag)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, failed, *_) -> None:
+        _open.remove(self)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
     path = new_dir(df.sparkSession, tag)
+    if _open:
+        _open[-1].paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,7 +20,8 @@ def flat_cells(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    flat_cells(df, columns).write.csv(path, header=True, lineSep="\n", emptyValue="", quoteAll=False, escape='"')
+    """CSV of the declared columns with CRLF after each line."""
+    flat_cells(df, columns).write.csv(path, header=True, lineSep="\r\n", emptyValue="", quoteAll=False, escape='"')
 
 
 def json_lines(df: DataFrame) -> DataFrame:

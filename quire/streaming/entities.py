@@ -15,22 +15,23 @@ OUTPUT = "entity_id string, rev long, key string, value string"
 
 class EntityState(StatefulProcessor):
     """Keeps each entity's fields and revision; emits the fields that an event changes. Events of a batch are
-    applied by ``(ts, event_id)``; one that was applied before is ignored."""
+    applied by ``(ts, event_id)``; one that does not come after the last applied one is ignored."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.fields = handle.getMapState("fields", "key string", "value string")
-        self.last = handle.getValueState("last", "rev long, event_id long")
+        self.last = handle.getValueState("last", "rev long, ts long, event_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        rev, seen = self.last.get() if self.last.exists() else (0, -1)
-        out = []
+        rev, *seen = self.last.get() if self.last.exists() else (0, -(1 << 63), -1)
+        seen, out = tuple(seen), []
         for event in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            if event.event_id <= seen:
+            at = (pd.Timestamp(event.ts).value, event.event_id)
+            if at <= seen:
                 continue
-            rev, seen = rev + 1, event.event_id
+            rev, seen = rev + 1, at
             self.fields.updateValue((event.field,), (event.value,))
             out.append((key[0], rev, event.field, event.value))
-        self.last.update((rev, seen))
+        self.last.update((rev, *seen))
         yield pd.DataFrame(out, columns=["entity_id", "rev", "key", "value"])
 
     def close(self) -> None:

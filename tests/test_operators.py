@@ -150,11 +150,69 @@ def test_formats_and_tables(spark, tmp_path):
     assert readers.read_table(spark, str(tmp_path / "t.tsv"), sep="\t").columns == ["control_number", "title", "245$a"]
     (tmp_path / "j.jsonl").write_text('{"a": 1}\nnope\n\n')
     good, bad = readers.read_jsonl(spark, str(tmp_path / "j.jsonl"), "a int")
-    assert [r["a"] for r in good.collect()] == [1] and [r["value"] for r in bad.collect()] == ["nope"]
+    assert [r["a"] for r in good.collect()] == [1] and [(r["line"], r["value"]) for r in bad.collect()] == [(2, "nope")]
     writers.write_csv(spark.createDataFrame([(1, ["a", "b"])], "k int, v array<string>"), str(tmp_path / "out"), ["k", "v", "w"])
     assert spark.read.csv(str(tmp_path / "out"), header=True, escape='"').first()["v"] == '["a","b"]'
 
 
+def test_heads_and_encodings(spark, tmp_path):
+    hebrew = "001\tכותר\n1\tשלום\n"
+    (tmp_path / "t").write_bytes(hebrew.encode("windows-1255"))
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "folder" / "part").write_bytes(b"01234nam" + b"x" * 100_000)
+    assert readers.format_of(spark, str(tmp_path / "folder")) == "marc" and len(readers.head_of(spark, str(tmp_path / "folder"), 10)) == 10
+    assert readers.sniff_encoding(hebrew.encode()[:-5]) == readers.sniff_encoding(b"") == "UTF-8"
+    assert readers.sniff_encoding("שלום".encode("windows-1255")) == "windows-1255" and readers.sniff_encoding(b"\xff\xfea\0") == "UTF-16LE" and readers.sniff_encoding(b"\xff\xff") == "ISO-8859-1"
+    assert [readers.sniff_delimiter(x, suffix=y) for x, y in ((b"a\tb", "csv"), (b"a,b", "tsv"), (b"a\tb\n", ""), (b"a b", "txt"))] == [",", "\t", "\t", ","]
+    assert readers.read_any_table(spark, str(tmp_path / "t")).collect()[0]["כותר"] == "שלום"
+
+
+def test_json_falls_back_to_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": 1}, {"a": 2}]')
+    (tmp_path / "b.json").write_text('{"a": 3}\n{"a": 4}\n')
+    assert [sorted(r["a"] for r in readers.read_json(spark, str(tmp_path / f), "a int").collect()) for f in ("a.json", "b.json")] == [[1, 2], [3, 4]]
+
+
+def test_lines_are_numbered_through_splits(spark, tmp_path):
+    (tmp_path / "n.txt").write_text("".join(f"line {i}\n" for i in range(1, 5001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = readers.numbered_lines(spark, str(tmp_path / "n.txt")).select("line", "value").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 5000 and all(r["value"] == f"line {r['line']}" for r in got)
+
+
+@pytest.mark.parametrize("bad", ['<!DOCTYPE x [<!ENTITY e "v">]>', "<!entity x>", "\0"])
+def test_marcxml_refuses(spark, tmp_path, bad):
+    (tmp_path / "a.xml").write_text(f"{bad}<collection></collection>")
+    with pytest.raises(ValueError):
+        readers.read_marcxml(spark, str(tmp_path / "a.xml"))
+
+
+def test_values_of_a_field_keep_their_order(spark):
+    kinds = "control_number string, occurrences array<struct<tag string, occurrence int, indicators array<string>, subfields array<struct<code string, value string>>, data string>>"
+    rows = [("1", [("700", 2, None, [("a", "x"), ("e", "r"), ("a", "y")], None), ("700", 1, None, [("a", "first")], None), ("001", 1, None, None, "1")]), ("2", None)]
+    assert [(r["control_number"], r["columns"]) for r in readers.flat_columns(spark.createDataFrame(rows, kinds)).collect()] == [("1", {"700$a": "first|x y", "700$e": "r", "001": "1"})]
+
+
+def test_csv_ends_lines_with_crlf(spark, tmp_path):
+    writers.write_csv(spark.createDataFrame([(1,), (2,)], "k int").coalesce(1), str(tmp_path / "out"), ["k"])
+    assert next((tmp_path / "out").glob("*.csv")).read_bytes() == b"k\r\n1\r\n2\r\n"
+
+
+def test_later_events_with_smaller_ids_count(spark, tmp_path):
+    from quire.streaming.entities import follow
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("e", 1, 9, "f", "first"), ("e", 2, 3, "f", "second"), ("e", 2, 3, "f", "second")]
+    df = spark.createDataFrame(rows, "entity_id string, ts long, event_id long, field string, value string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = follow(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("later").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r["rev"], r["value"]) for r in spark.table("later").collect()) == [(1, "first"), (2, "second")]
+
+
 def test_streamed_state_equals_batch(spark, tmp_path):
     from quire.streaming.entities import slot_counts
 
