@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, shuffle_partitions, sliced, text_bytes, tidy, written
+from .common import NUMBER, Scratch, numbered, shuffle_partitions, sliced, text_bytes, tidy, written
 
 WHITESPACE = b" \t\n\x0b\f\r"
 BLOCK_BYTES = 4096
@@ -30,8 +30,8 @@ ABSENT = -1
 
 _KEPT = np.ones(256, bool)
 _KEPT[list(WHITESPACE)] = False
-_BLOCKS = pa.schema([("doc_id", pa.int64()), ("_row", pa.int64()), ("n_chars", pa.int64()), ("text_sha256", pa.string()), ("n_blocks", pa.int32()), ("pos", pa.int32()), ("_digest", pa.binary()), ("_block", pa.binary())])
-CUT = "doc_id long, _row long, n_chars long, text_sha256 string, n_blocks int, pos int, _digest binary, _block binary"
+_BLOCKS = pa.schema([("doc_id", pa.int64()), ("_row", pa.decimal128(38, 0)), ("n_chars", pa.int64()), ("text_sha256", pa.string()), ("n_blocks", pa.int32()), ("pos", pa.int32()), ("_digest", pa.binary()), ("_block", pa.binary())])
+CUT = f"doc_id long, _row {NUMBER}, n_chars long, text_sha256 string, n_blocks int, pos int, _digest binary, _block binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,7 @@ def text_identities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Texts are equal when they are identical without the characters of ``[\\x20\\x09-\\x0D]``.
     Null counts as empty. Rows may repeat ids, ids may be null, other columns are ignored.
     """
-    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id().cast(NUMBER)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), number.alias("_row"), F.col(text_col).alias("text"))
     # written, so that texts are cut once and not again for the range bounds
     blocks = written(rows.mapInArrow(tidy(lambda it: _cut(it, block_bytes)), CUT), "cut")
@@ -170,7 +170,8 @@ def exact_groups(docs: DataFrame, **kw) -> DataFrame:
     then the smallest id (null ids last). ``kept`` marks exactly one row of each group, also when ids
     repeat. An empty table gives an empty result.
     """
-    ids = written(text_identities(docs, **kw), "identities")
+    with Scratch(docs.sparkSession) as scratch:  # blocks and names go once there are identities
+        ids = scratch.keep(text_identities(docs, **kw), "identities")
     rank = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
     # written, so that the join has a plain shuffle on both sides and a hot group can be split
     groups = written(ids.groupBy("level", "name").agg(F.min(rank).alias("_best"), F.count(F.lit(1)).alias("group_size")), "groups")

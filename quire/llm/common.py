@@ -13,9 +13,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.shared import new_dir, shared_dir, written
+from quire.sources.shared import Scratch, new_dir, shared_dir, written
 
-__all__ = ["new_dir", "shared_dir", "written"]
+__all__ = ["Scratch", "new_dir", "shared_dir", "written"]
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SLICE_ROWS, SLICE_BYTES = 256, 1 << 19
@@ -92,9 +92,18 @@ def give_back() -> None:
         trim(0)
 
 
+NUMBER = "decimal(38,0)"
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """A written copy of ``docs`` with one more column, a number that no two rows share, and that column's name."""
+    """``docs`` with one more column, a number that no two rows share and that stays the same however often they are read, and its name.
+
+    Rows of a Parquet table are numbered by file (64 bits of a hash of its path) and place in it; other rows are written once with a number.
+    """
     name = "_number"
     while name in docs.columns:
         name += "_"
-    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and all(f.endswith(".parquet") for f in docs.inputFiles()[:1]):
+        at = F.xxhash64("_metadata.file_path").cast(NUMBER) * F.lit(10**12).cast("decimal(13,0)") + F.col("_metadata.row_index").cast("decimal(13,0)")
+        return docs.withColumn(name, at.cast(NUMBER)), name
+    return written(docs.withColumn(name, F.monotonically_increasing_id().cast(NUMBER)), "numbered"), name
