@@ -7,6 +7,7 @@ from text; Catalyst orders and pushes down what they declare.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -138,6 +139,51 @@ def order_violations(triples: DataFrame, first: str, second: str) -> DataFrame:
     return both(a, b).where("a > b")
 
 
+@dataclass(frozen=True)
+class Shape:
+    """What the subjects of a type must have at a path. ``kind``: ``min_count``, ``max_count``, ``pattern``, ``datatype`` (a pattern that the text
+    of a literal has, by name), ``in``, ``class``, ``node_kind`` (``uri`` or ``literal``), ``min_value``, ``max_value``, ``less_than`` (a path)."""
+
+    of_type: str
+    path: str
+    kind: str
+    value: object
+
+
+DATATYPES = {"integer": r"^[+-]?\d+$", "decimal": r"^[+-]?\d+(\.\d+)?$", "boolean": "^(true|false)$", "date": r"^-?\d{4}-\d{2}-\d{2}$", "year": r"^-?\d{4}$"}
+
+
+def violations(triples: DataFrame, shapes: list[Shape]) -> DataFrame:
+    """``s, path, kind, value`` of what breaks a shape; ``value`` is the object, null for a number of them. An object of a datatype that should be a number and is none
+    breaks bounds of values too."""
+    found = []
+    for x in shapes:
+        targets = triples.where((F.col("p") == "type") & (F.col("o") == x.of_type)).select("s").distinct()
+        objects = triples.where(F.col("p") == x.path).join(targets, "s", "left_semi").select("s", "o", "o_kind").distinct()
+        number, none = F.col("o").try_cast("double"), F.lit(None).cast("string")
+        if x.kind in ("min_count", "max_count"):
+            n = targets.join(objects.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "s", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+            bad = n.where(F.col("n") < x.value if x.kind == "min_count" else F.col("n") > x.value).select("s", none.alias("o"))
+        elif x.kind == "class":
+            good = triples.where((F.col("p") == "type") & (F.col("o") == x.value)).select(F.col("s").alias("o")).distinct()
+            bad = objects.join(good, "o", "left_anti")
+        elif x.kind == "less_than":
+            other = triples.where(F.col("p") == x.value).select("s", F.col("o").try_cast("double").alias("_b")).groupBy("s").agg(F.min("_b").alias("_b"))
+            bad = objects.join(other, "s").where(~F.coalesce(number < F.col("_b"), F.lit(False)))
+        else:
+            ok = {
+                "pattern": lambda v: F.col("o").rlike(v),
+                "datatype": lambda v: (F.col("o_kind") == "literal") & F.col("o").rlike(DATATYPES[v]),
+                "in": lambda v: F.col("o").isin(*v),
+                "node_kind": lambda v: F.col("o_kind") == v,
+                "min_value": lambda v: F.coalesce(number >= v, F.lit(False)),
+                "max_value": lambda v: F.coalesce(number <= v, F.lit(False)),
+            }[x.kind](x.value)
+            bad = objects.where(~ok)
+        found.append(bad.select("s", F.lit(x.path).alias("path"), F.lit(x.kind).alias("kind"), F.col("o").alias("value")))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def to_ntriples(triples: DataFrame) -> DataFrame:
     """One N-Triples line (``value``) for each triple."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")

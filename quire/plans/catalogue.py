@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, items, knowledge, records, relational, review  # noqa: F401  they register their queries
+from . import curation, exports, items, knowledge, records, relational, review, texts  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES, Tables
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

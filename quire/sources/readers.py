@@ -92,7 +92,14 @@ def header_name(name: str) -> str:
 
 def read_table(spark: SparkSession, path: str, *, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """CSV or TSV with a header: names in lower case with underscores, all cells text, known columns under their common names."""
-    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, escape='"', inferSchema=False)
+    hebrew = encoding.lower() == HEBREW_ENCODING
+    df = spark.read.csv(path, header=True, sep=sep, encoding=ANY_ENCODING if hebrew else encoding, multiLine=True, escape='"', inferSchema=False)
+    if hebrew:  # Spark reads no such code page: bytes are read one to one and translated
+        signs = {b.decode(ANY_ENCODING): b.decode(HEBREW_ENCODING, "ignore") for b in (bytes([i]) for i in range(128, 256))}
+        known = {a: b for a, b in signs.items() if b}
+        names = [c.translate(str.maketrans(known)) for c in df.columns]
+        cells = df.toDF(*(f"c{i}" for i in range(len(names))))
+        df = cells.select(*(F.translate(c, "".join(known), "".join(known.values())) for c in cells.columns)).toDF(*names)
     df = df.toDF(*map(header_name, df.columns))
     common = {alias: name for name, aliases in COLUMN_NAMES.items() for alias in aliases}
     taken: set[str] = set()

@@ -265,3 +265,39 @@ def test_containment_needs_no_whole_word(spark):
     queries = spark.createDataFrame([(1, "torah"), (2, "crab apple tree"), (3, "rar"), (4, "xrarey"), (5, "ishneh hato"), (6, "z"), (7, "name wit")], "id int, text string")
     got = {r["query_id"]: (r["name_id"], r["tier"]) for r in matching.cascade(queries, names).collect()}
     assert got == {1: (1, 1), 2: (3, 1), 3: (4, 1), 4: (4, 1), 5: (1, 1), 7: (5, 1)}
+
+
+def test_turtle_forms(spark, tmp_path):
+    from quire.sources import turtle
+
+    (tmp_path / "a.ttl").write_text(
+        """@prefix x: <http://x/> .
+@prefix : <http://d/> .
+# a comment .
+x:a a x:Thing ;
+    x:name "One \\"two\\""@en , 'odd' .
+:b x:n 12 , true ;
+    x:see <http://y#z> , x:a , "7"^^x:int ; .
+_:c x:p [ x:q 1 ] .
+x:d unknown:p x:e .
+"""
+    )
+    good, bad = turtle.read_turtle(spark, str(tmp_path / "a.ttl"))
+    got = {(r["s"], r["p"], r["o"], r["o_kind"], r["o_lang"]) for r in good.collect()}
+    assert got == {
+        ("http://d/b", "http://x/n", "12", "literal", None),
+        ("http://d/b", "http://x/n", "true", "literal", None),
+        ("http://d/b", "http://x/see", "http://y#z", "uri", None),
+        ("http://d/b", "http://x/see", "http://x/a", "uri", None),
+        ("http://d/b", "http://x/see", "7", "literal", None),
+    }
+    assert len(bad.collect()) == 3
+
+
+def test_turtle_names_and_labels(spark, tmp_path):
+    from quire.sources import turtle
+
+    (tmp_path / "a.ttl").write_text('@prefix x: <http://x/> .\nx:a a x:Thing ; x:name "One \\"two\\" \\\\n"@en .\n')
+    good, bad = turtle.read_turtle(spark, str(tmp_path / "a.ttl"))
+    assert {(r["s"], r["p"], r["o"], r["o_lang"]) for r in good.collect()} == {("http://x/a", turtle.TYPE, "http://x/Thing", None), ("http://x/a", "http://x/name", 'One "two" \\n', "en")}
+    assert bad.isEmpty()
