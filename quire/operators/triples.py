@@ -192,11 +192,18 @@ def to_ntriples(triples: DataFrame) -> DataFrame:
     return triples.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), value, F.lit(" .")).alias("value"))
 
 
+def unescaped(said: Column) -> Column:
+    """Text of a quoted literal: each backslash with what follows it stands for one character."""
+    for mark, char in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r")):
+        said = F.regexp_replace(said, rf"(?<!\\)((?:\\\\)*){mark}", f"$1{char}")
+    return F.regexp_replace(said, r"\\\\", r"\\")
+
+
 def from_ntriples(lines: DataFrame) -> DataFrame:
     """Triples of N-Triples lines (``value``); lines that are none are left out."""
     shape = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z-]+)|\^\^<([^>]*)>)?)\s*\.\s*$'
     part = lambda i: F.regexp_extract("value", shape, i)
-    literal = F.regexp_replace(F.regexp_replace(F.regexp_replace(part(4), r"\\n", "\n"), r'\\"', '"'), r"\\\\", r"\\")
+    literal = unescaped(part(4))
     uri = part(3) != ""
     rows = lines.where(F.col("value").rlike(shape))
     return rows.select(part(1).alias("s"), part(2).alias("p"), F.when(uri, part(3)).otherwise(literal).alias("o"), F.when(uri, "uri").otherwise("literal").alias("o_kind"), F.nullif(part(5), F.lit("")).alias("o_lang")).distinct()

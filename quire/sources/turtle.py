@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.let import let
+from quire.operators.triples import unescaped
 
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 MOST_PREFIXES = 10_000
@@ -29,10 +30,7 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
 
 def _literal(t: Column) -> Column:
     """Text of a quoted term."""
-    said = F.regexp_extract(t, r'(?s)^"((?:[^"\\]|\\.)*)"', 1)
-    for mark, char in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r")):
-        said = F.regexp_replace(said, rf"(?<!\\)((?:\\\\)*){mark}", f"$1{char}")
-    return F.regexp_replace(said, r"\\\\", r"\\")
+    return unescaped(F.regexp_extract(t, r'(?s)^"((?:[^"\\]|\\.)*)"', 1))
 
 
 def _term(t: Column, names: Column) -> Column:
