@@ -17,7 +17,7 @@ from .common import shuffle_partitions, written
 BLOCK_DOCS = 16
 PERIOD = 500
 TEMPERATURE = 0.5
-RANK_BUCKET = 50_000
+RANK_BUCKET = 10_000
 
 
 def source_quotas(counts: DataFrame, weights: dict[str, float] | None, period: int) -> DataFrame:
