@@ -8,6 +8,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -360,6 +361,43 @@ def near_brute(docs):
     return collections.Counter((r["doc_id"], least.get(root(i)) if i in sets else r["doc_id"]) for i, r in enumerate(rows))
 
 
+def near_plain(rows):
+    """Smallest id of the class of each row (``doc_id``, ``text``) by pairs of plain dictionaries: nothing of the operator is used. Ids are not null."""
+    sets = {}
+    for i, text in rows:
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+        grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)] * bool(words)
+        sets[i] = collections.Counter(grams)
+    df = collections.Counter(g for c in sets.values() for g in c)
+    idf = {g: 1 + math.log(min(len(rows) / n, 100)) / math.log(100) for g, n in df.items()}
+    total = {i: sum(n * idf[g] for g, n in c.items()) for i, c in sets.items()}
+    at = collections.defaultdict(list)
+    least = {i: i for i in sets}
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i in sorted(sets):
+        meet = {j for g in sets[i] for j in at[g]}
+        for j in meet:
+            shared = sum(min(n, sets[j][g]) * idf[g] for g, n in sets[i].items() if g in sets[j])
+            if shared >= 0.8 * (total[i] + total[j] - shared):
+                a, b = sorted((root(i), root(j)))
+                least[b] = a
+        for g in sets[i]:
+            at[g].append(i)
+    return {i: root(i) for i in sets}
+
+
+def test_near_classes_of_documents_against_plain_pairs(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_classes(docs).collect()}
+    want = near_plain([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    assert got == want and len(set(want.values())) < len(want)
+
+
 def test_near_classes_against_brute_force(spark):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
@@ -584,15 +622,33 @@ def test_patience_is_a_common_subsequence():
 
 
 def test_pipeline_stages(spark):
+    """Each stage keeps the rows that a plain version keeps."""
     import corpus_pipeline as c
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    n = [docs.count()]
+    known = {r["doc_id"] for r in langid.identify(docs).collect() if r["lang_pred"] != "und" and r["score"] >= 0.05}
+    rows = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    strip = str.maketrans("", "", " \t\n\x0b\f\r")
+
+    def first_of_equals(kept):
+        groups = collections.defaultdict(list)
+        for i in kept:
+            groups[(rows[i] or "").translate(strip)].append(i)
+        return {min(g, key=lambda i: (-len(rows[i] or ""), i)) for g in groups.values()}
+
+    plain = {
+        "language_id": lambda kept: kept & known,
+        "exact_dedup": first_of_equals,
+        "near_dedup": lambda kept: set(near_plain([(i, rows[i]) for i in kept]).values()),
+        "mixing": lambda kept: kept,
+    }
+    want, n = set(rows), [len(rows)]
     for name, stage in c.STAGES[:-1]:
-        out = stage(spark, docs, SMALL)
+        out, want = stage(spark, docs, SMALL), plain[name](want)
         assert out.columns == docs.columns, name
         docs = spark.createDataFrame(out.toPandas(), docs.schema)
-        n.append(docs.count())
+        assert sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == sorted(want), name
+        n.append(len(want))
     assert n[0] == n[1] > n[2] > n[3] == n[4]
     last = c.STAGES[-1][1](spark, docs, SMALL)
     assert last.count() == n[4]
