@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, chat, langid, line_dedup, mixing, near_dup, permutation_index, piece_scan, token_records, warc
+from . import block_naming, chat, divergence, exact_search, langid, line_dedup, merkle, mixing, near_dup, permutation_index, piece_scan, token_records, warc
 from .common import documents
 
 
@@ -62,6 +62,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_proofs(documents(spark, sf_dir))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return exact_search.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_token_records": op2_token_records,
@@ -73,6 +86,9 @@ QUERIES = {
     "op8_language_masks": op8_language_masks,
     "op9_piece_scan": op9_piece_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_exact_search": op13_exact_search,
 }
 
 ORACLE_SQL = {
@@ -137,4 +153,86 @@ ORACLE_SQL = {
                sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm ORDER BY len DESC, doc_id)
     """,
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE tab AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::UBIGINT, list_transform(range(8), lambda k: k::UBIGINT)),
+                lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END)) AS t
+        ),
+        d AS (SELECT *, CAST(doc_id AS VARCHAR) AS id, CAST(n_chars AS VARCHAR) AS chars FROM documents),
+        f AS (
+            SELECT doc_id, source, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(str_split(id, ''), lambda x: ascii(x)::UBIGINT)),
+                       lambda c, b: xor(c // 256, t[CAST(1 + xor(c, b) % 256 AS BIGINT)])), 4294967295::UBIGINT) % 5 = 0 AS hit,
+                   coalesce(strlen(id) || ':' || id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(chars) || ':' || chars, '-') AS head, text
+            FROM d, tab
+        ),
+        l AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   CASE WHEN hit THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS tampered
+            FROM f
+        ),
+        placed AS (
+            SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l
+        ),
+        up AS (
+            SELECT 0 AS level, tree, pos, leaf AS h, n FROM placed
+            UNION ALL
+            SELECT level + 1, tree, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM up WHERE n > 1 GROUP BY level, tree, pos // 16, n
+        ),
+        sub AS (SELECT tree, h AS subroot, tree - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+        top AS (
+            SELECT 0 AS level, pos, subroot AS h, n FROM sub
+            UNION ALL
+            SELECT level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM top WHERE n > 1 GROUP BY level, pos // 16, n
+        ),
+        runs AS (
+            SELECT level, tree, pos // 16 AS run, list(h ORDER BY pos) AS hs FROM up WHERE n > 1 GROUP BY level, tree, pos // 16
+            UNION ALL
+            SELECT 100 + level, 0, pos // 16, list(h ORDER BY pos) FROM top WHERE n > 1 GROUP BY level, pos // 16
+        ),
+        wanted AS (
+            SELECT p.tree AS doc_tree, p.pos AS doc_pos, level, tree, pos // CAST(pow(16, level) AS BIGINT) AS place FROM placed p JOIN (SELECT DISTINCT level, tree FROM runs) USING (tree)
+            UNION ALL
+            SELECT p.tree, p.pos, level, 0, (p.tree - 1) // CAST(pow(16, level - 100) AS BIGINT) FROM placed p, (SELECT DISTINCT level FROM runs WHERE tree = 0)
+        ),
+        sides AS (
+            SELECT doc_tree, doc_pos, w.level, array_to_string(hs[1:place % 16], '') AS lhs, array_to_string(hs[place % 16 + 2:], '') AS rhs
+            FROM wanted w JOIN runs r ON r.level = w.level AND r.tree = w.tree AND r.run = place // 16
+        ),
+        paths AS (SELECT doc_tree AS tree, doc_pos AS pos, list({l: lhs, r: rhs} ORDER BY level) AS steps, string_agg(lhs || rhs, '' ORDER BY level) AS proof FROM sides GROUP BY doc_tree, doc_pos),
+        folding AS (
+            SELECT p.tree, p.pos, coalesce(tampered, leaf) AS h, coalesce(steps, []) AS steps FROM placed p LEFT JOIN paths USING (tree, pos)
+            UNION ALL
+            SELECT tree, pos, sha256(steps[1].l || h || steps[1].r), steps[2:] FROM folding WHERE len(steps) > 0
+        )
+        SELECT doc_id, leaf, s.subroot, t.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, g.h AS folded_root, g.h = t.h AS verified
+        FROM placed p JOIN folding g USING (tree, pos) LEFT JOIN paths q USING (tree, pos) JOIN sub s USING (tree), (SELECT h FROM top WHERE n = 1) t
+        WHERE len(g.steps) = 0
+    """,
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        o AS (SELECT lang, source, doc, unnest(terms) AS term FROM d),
+        kept AS (SELECT lang, term, count(*)::HUGEINT AS lang_n FROM o GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+        size AS (SELECT lang, count(*)::HUGEINT AS v, sum(lang_n)::HUGEINT AS lang_total FROM kept GROUP BY lang),
+        c AS (SELECT o.lang, source, term, count(*)::HUGEINT AS n FROM o JOIN kept USING (lang, term) GROUP BY o.lang, source, term),
+        cells AS (SELECT g.lang, g.source, term, coalesce(n, 0)::HUGEINT AS n, lang_n, v, lang_total, sum(coalesce(n, 0)) OVER (PARTITION BY g.lang, g.source)::HUGEINT AS total
+                  FROM g JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN c USING (lang, source, term)),
+        p AS (SELECT *, 1 + 1000000000::HUGEINT * (n + 5) // (total + 5 * v) AS p, 1 + 1000000000::HUGEINT * (lang_n + 5) // (lang_total + 5 * v) AS q FROM cells),
+        apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+                  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms))
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
+    "op13_exact_search": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q, v r WHERE q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
 }
