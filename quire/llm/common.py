@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.sources.shared import Scratch, new_dir, shared_dir, written
@@ -107,3 +107,20 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
         at = F.xxhash64("_metadata.file_path").cast(NUMBER) * F.lit(10**12).cast("decimal(13,0)") + F.col("_metadata.row_index").cast("decimal(13,0)")
         return docs.withColumn(name, at.cast(NUMBER)), name
     return written(docs.withColumn(name, F.monotonically_increasing_id().cast(NUMBER)), "numbered"), name
+
+
+_PART_BITS = 33  # monotonically_increasing_id: partition above, row below
+
+
+def placed_in_groups(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Adds ``pos`` (from 0, by ``order``) in the group and ``count``, the group's rows. Ranges of (group, order) are numbered on their own and shifted by what is
+    before them, so a group of any size is in many tasks. The order must tell rows apart, or rows that it does not meet in one range."""
+    by = [group, *order]
+    ranged = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+    ranged = written(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranges").withColumn("_part", F.shiftright("_id", _PART_BITS))
+    sizes = ranged.groupBy(group, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    whole = Window.partitionBy(group)  # a row for each range that holds some of the group
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).withColumn("count", F.sum("_size").over(whole)).drop("_size")
+    placed = ranged.join(starts, [group, "_part"]).withColumn("pos", F.col("_start") + F.col("_id") - F.col("_first"))
+    return placed.drop("_id", "_part", "_first", "_start")

@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import placed_in_groups, written
 
 FAN, HEIGHT = 16, 2
 BLOCK = FAN**HEIGHT
-_PART_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
 def digest(*parts: Column) -> Column:
@@ -62,19 +61,6 @@ def _steps(levels: Column, at: Column) -> Column:
     return F.transform(F.slice(levels, 1, F.size(levels) - 1), step)
 
 
-def _placed(nodes: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ``pos`` (from 0) in the tree and ``count``, the tree's nodes. Ranges are numbered on their own and shifted by what is before them."""
-    by = ["tree", *order]
-    ranged = nodes.repartitionByRange(shuffle_partitions(nodes.sparkSession), *by).sortWithinPartitions(*by)
-    ranged = written(ranged.withColumn("_id", F.monotonically_increasing_id()), "nodes").withColumn("_part", F.shiftright("_id", _PART_BITS))
-    sizes = ranged.groupBy("tree", "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_size"))
-    tree = Window.partitionBy("tree")  # a row for each range that holds some of the tree
-    before = tree.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).withColumn("count", F.sum("_size").over(tree)).drop("_size")
-    placed = ranged.join(starts, ["tree", "_part"]).withColumn("pos", F.col("_start") + F.col("_id") - F.col("_first"))
-    return placed.drop("_id", "_part", "_first", "_start")
-
-
 def _blocks(placed: DataFrame, tag: str) -> DataFrame:
     """One row per block: ``tree``, ``block``, ``count``, ``nodes`` in order, ``levels``, ``root``."""
     node = F.struct("pos", *(c for c in placed.columns if c not in ("tree", "pos", "count")))
@@ -148,10 +134,10 @@ def manifest(leaves: DataFrame, *, group: str, order: list[str]) -> Manifest:
     rows = leaves.select(name.alias("tree"), *keys, "digest", F.struct(*(c for c in leaves.columns if c != "digest")).alias("item"))
     # the last column of the order keeps a repeated row from being one key of the ranges
     rows = written(rows.withColumn("_copy", F.monotonically_increasing_id()), "leaves")
-    placed = _placed(rows, [f"key{i}" for i in range(len(order))] + ["digest", "_copy"])
+    placed = placed_in_groups(rows, "tree", [f"key{i}" for i in range(len(order))] + ["digest", "_copy"])
     groups = _grown(placed.select("tree", "digest", "item", "pos", "count"))
     tops = _roots(groups).select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("digest"))
-    top = _grown(_placed(tops, ["name"]))
+    top = _grown(placed_in_groups(tops, "tree", ["name"]))
     root = _roots(top).first()
     return Manifest(groups, top, root["root"] if root else None)
 

@@ -3,122 +3,155 @@
 Each source's documents form blocks. Block ``j`` of a source of weight ``w`` is released at
 ``floor((j - 1) / w)`` and due at ``ceil(j / w)``; of the released blocks the one due
 first takes the next slot. Every source then stays within one block of its target at all
-times. Weights are whole numbers of slots in a period, so the order repeats and only one
+times. Weights are ratios of whole numbers, so the order repeats with their common denominator and only one
 period is ever worked out; a block's slot follows from its number.
 """
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from quire.functions.let import let
+
+from .common import numbered, placed_in_groups, shuffle_partitions, written
 
 BLOCK_DOCS = 16
-PERIOD = 500
-TEMPERATURE = 0.5
-RANK_BUCKET = 10_000
+#: Without weights the largest source counts as so many, another as the square root of its share of that.
+LARGEST = 100
+MOST_SLOTS = 100_000
+STRETCH = 256
+_DENOMINATOR = 1_000_000
+
 
+def _ratio(weight: float | Decimal | Fraction) -> Fraction:
+    """A weight as a ratio: a float is the ratio of small whole numbers that it was worked out from, if there is one, else the decimal that it prints as."""
+    if not isinstance(weight, float):
+        return Fraction(weight)
+    near = Fraction(weight).limit_denominator(_DENOMINATOR)
+    return near if math.isclose(float(near), weight, rel_tol=1e-14) else Fraction(repr(weight))
 
-def source_quotas(counts: DataFrame, weights: dict[str, float] | None, period: int) -> DataFrame:
-    """``source``, ``quota``: slots of a period, at least one each, ``period`` in all (more if there are more sources).
 
-    Without ``weights`` the target is a source's share of documents to the power ``TEMPERATURE``. Sources that ``weights`` does not
-    name, or names with zero, get one slot. Largest remainders get what rounding leaves.
+def whole_weights(weights: dict[str, float | Decimal | Fraction], most: int = MOST_SLOTS) -> dict[str, int]:
+    """Whole numbers in the ratio of ``weights``, those of zero left out.
+
+    If they add up to more than ``most``, they are rounded to that sum by largest remainders (at least one each): the mix then stays within one block of the rounded weights, and moves
+    away from those given by at most one block in ``most`` slots.
+    """
+    ratios = {s: _ratio(w) for s, w in sorted(weights.items()) if w > 0}
+    scale = math.lcm(*(r.denominator for r in ratios.values())) if ratios else 1
+    whole = {s: int(r * scale) for s, r in ratios.items()}
+    common = math.gcd(*whole.values()) or 1
+    whole = {s: n // common for s, n in whole.items()}
+    total = sum(whole.values())
+    if total <= most:
+        return whole
+    left = most - sum(n * most // total for n in whole.values())
+    up = sorted(whole, key=lambda s: -(whole[s] * most % total))[:left]
+    return {s: max(1, n * most // total + (s in up)) for s, n in whole.items()}
+
+
+def source_quotas(counts: DataFrame, weights: dict[str, float | Decimal | Fraction] | None) -> DataFrame:
+    """``source``, ``n``, ``quota``: slots of each source in a period. Its target weight is its quota's share of all of them.
+
+    Without ``weights`` the largest source has ``LARGEST`` and another ``LARGEST`` times the square root of its share of the largest, rounded down, at least one. A source that ``weights`` gives
+    zero, or does not name, has none.
     """
     if weights is None:
-        wanted = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE)))
+        every = Window.partitionBy(F.lit(0))  # a row for each source
+        quota = F.greatest(F.floor(LARGEST * F.sqrt(F.col("n") / F.max("n").over(every))), F.lit(1))
     else:
-        table = F.create_map(*(F.lit(x) for kv in (weights or {"": 0.0}).items() for x in kv))
-        wanted = counts.withColumn("w", F.coalesce(F.try_element_at(table, F.col("source")), F.lit(0.0)).cast("double"))
-    every = Window.partitionBy(F.lit(0))  # a row for each source
-    length = F.greatest(F.lit(period), 2 * F.count(F.lit(1)).over(every))
-    spare = length - F.count(F.lit(1)).over(every)
-    share = wanted.withColumn("x", F.coalesce(F.try_divide("w", F.sum("w").over(every)), F.lit(0.0)) * spare).withColumn("left", spare - F.sum(F.floor("x")).over(every))
-    place = F.row_number().over(every.orderBy(F.desc(F.col("x") - F.floor("x")), "source"))
-    return share.withColumn("place", place).select("source", "n", (1 + F.floor("x") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).cast("int").alias("quota"))
+        whole = whole_weights(weights)
+        quota = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in whole.items() for x in kv)), F.col("source")), F.lit(0)) if whole else F.lit(0)
+    return counts.select("source", "n", quota.cast("long").alias("quota"))
+
+
+def _window(quota: Column, had: Column, i: Column, length: Column) -> Column:
+    """A source's next block: its deadline, the source, its release, and how many blocks the source has had."""
+    due, release = F.ceil((had + 1) * length / quota), F.floor(had * length / quota)
+    return F.struct(due.cast("long").alias("due"), i.cast("int").alias("i"), release.cast("long").alias("release"), had.alias("had"), quota.alias("quota"))
 
 
 def _one_period(quotas: Column, length: Column) -> Column:
-    """Earliest deadline first over one period: the index of the source in each slot."""
-    zero = F.transform(quotas, lambda q: F.lit(0))
-    start = F.struct(zero.alias("had"), F.expr("cast(array() as array<int>)").alias("order"))
+    """Earliest deadline first over one period: the index of the source in each slot. It goes on in stretches, so that a long order is not copied for each slot."""
+    empty = F.expr("cast(array() as array<int>)")
 
     def step(state: Column, t: Column) -> Column:
-        due = F.transform(
-            F.arrays_zip(state["had"].alias("had"), quotas.alias("quota")),
-            lambda x, i: F.when(
-                (x["had"] < x["quota"]) & (F.floor(x["had"] * length / x["quota"]) <= t),
-                F.struct(F.ceil((x["had"] + 1) * length / x["quota"]).alias("due"), i.alias("i")),
-            ),
-        )
-        pick = F.array_min(due)["i"]
-        return F.struct(F.transform(state["had"], lambda a, i: a + F.when(i == pick, 1).otherwise(0)).alias("had"), F.array_append(state["order"], pick).alias("order"))
+        waiting = state["next"]
+        soonest = F.array_min(F.filter(waiting, lambda x: x["release"] <= t))
+        taken = lambda x: F.concat(F.slice(waiting, 1, x["i"]), F.array(_window(x["quota"], x["had"] + 1, x["i"], length)), F.slice(waiting, x["i"] + 2, F.size(waiting)))
+        return let(soonest, lambda x: F.struct(taken(x).alias("next"), F.array_append(state["order"], x["i"]).alias("order")))
 
-    return F.aggregate(F.sequence(F.lit(0), length - 1), start, step, lambda s: s["order"])
+    def stretch(state: Column, at: Column) -> Column:
+        slots = F.sequence(at, F.least(at + F.lit(STRETCH), length) - 1)
+        after = F.aggregate(slots, F.struct(state["next"].alias("next"), empty.alias("order")), step)
+        return let(after, lambda x: F.struct(x["next"].alias("next"), F.array_append(state["orders"], x["order"]).alias("orders")))
+
+    first = F.transform(quotas, lambda q, i: _window(q, F.lit(0).cast("long"), i, length))
+    start = F.struct(first.alias("next"), F.expr("cast(array() as array<array<int>>)").alias("orders"))
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), length - 1, F.lit(STRETCH).cast("long")), start, stretch, lambda s: F.flatten(s["orders"]))
 
 
 def schedule(quotas: DataFrame) -> DataFrame:
     """One period: ``source``, ``k`` (its how many-th block, from 0), ``slot0``, ``quota``, ``length``."""
-    row = quotas.agg(F.array_sort(F.collect_list(F.struct("source", "quota"))).alias("s")).where(F.size("s") > 0)
-    row = row.withColumn("quotas", F.transform("s", lambda x: x["quota"])).withColumn("length", F.aggregate("quotas", F.lit(0), lambda a, x: a + x))
-    slots = row.withColumn("order", _one_period(F.col("quotas"), F.col("length"))).select("s", "length", F.posexplode("order").alias("slot0", "i"))
+    row = quotas.where("quota > 0").agg(F.array_sort(F.collect_list(F.struct("source", "quota"))).alias("s")).where(F.size("s") > 0)
+    row = row.withColumn("quotas", F.transform("s", lambda x: x["quota"])).withColumn("length", F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x))
+    # written, as the optimizer would work the order out again wherever it is used
+    period = written(row.select("s", "length", _one_period(F.col("quotas"), F.col("length")).alias("order")), "period")
+    slots = period.select("s", "length", F.posexplode("order").alias("slot0", "i"))
     mine = slots.select(F.get("s", F.col("i")).alias("x"), "length", "slot0").select("x.source", "x.quota", "length", "slot0")
     return mine.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("slot0")) - 1)
 
 
-def mix_plan(docs: DataFrame, weights: dict[str, float] | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD, keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: ``doc_id``, ``source``, ``block`` (from 0), ``pos`` in it, ``slot``, ``release``, ``due``; with ``keep`` also
-    ``kept``, a struct of these columns.
-
-    Within a source documents go by the MD5 of their id. Rows that share an id keep separate places. A null source is the source ``''``, a null
-    id comes first. Every row is placed: once a source is used up, the others go on in their order.
-    Only ``doc_id``, ``source`` and ``keep`` are read. An empty table gives an empty result.
-    """
-    kept = [F.struct(*keep).alias("kept")] if keep else []
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), *kept)
+def _plan(docs: DataFrame, number: str, weights: dict | None, block_docs: int) -> DataFrame:
+    """The plan of ``docs``, rows told apart by the column ``number``."""
+    rows = docs.select(number, "doc_id", F.coalesce("source", F.lit("")).alias("source"))
     counts = written(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "sources")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    table = written(schedule(source_quotas(counts, weights, period)), "schedule")
-
-    buckets = max(1, -(-total // RANK_BUCKET) * 4)
+    table = written(schedule(source_quotas(counts, weights)), "schedule")
     key = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
-    head = F.coalesce(F.conv(F.substring("key", 1, 7), 16, 10).cast("long"), F.lit(0))
-    keyed = rows.withColumn("key", key).withColumn("bucket", F.floor(head * buckets / (1 << 28)).cast("int"))
-    sizes = keyed.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id")
-    ranked = keyed.withColumn("_r", F.row_number().over(inside)).join(starts, ["source", "bucket"]).withColumn("i", F.col("start") + F.col("_r") - 1)
-    placed = ranked.withColumn("block", F.floor(F.col("i") / block_docs)).withColumn("pos", (F.col("i") % block_docs).cast("int"))
-    quota = table.select("source", "quota").distinct()
-    # a period has a bounded number of rows, whatever the documents
-    placed = placed.join(F.broadcast(quota), "source").withColumn("k", (F.col("block") % F.col("quota")).cast("int"))
-    placed = placed.join(F.broadcast(table.drop("quota")), ["source", "k"])
-    return placed.select(
+    ranked = placed_in_groups(rows.withColumn("_key", key), "source", ["_key", "doc_id", number]).withColumnRenamed("pos", "_i")
+    blocks = ranked.withColumn("block", F.floor(F.col("_i") / block_docs)).withColumn("pos", (F.col("_i") % block_docs).cast("int"))
+    # a period has at most MOST_SLOTS rows and one for each source, whatever the documents
+    blocks = blocks.join(F.broadcast(table.select("source", "quota", "length").distinct()), "source", "left").withColumn("k", (F.col("block") % F.col("quota")).cast("int"))
+    blocks = blocks.join(F.broadcast(table.select("source", "k", "slot0")), ["source", "k"], "left")
+    return blocks.select(
+        number,
         "doc_id",
         "source",
         "block",
         "pos",
-        (F.floor(F.col("block") / F.col("quota")) * F.col("length") + F.col("slot0")).alias("slot"),
-        F.floor(F.col("block") * F.col("length") / F.col("quota")).alias("release"),
-        F.ceil((F.col("block") + 1) * F.col("length") / F.col("quota")).alias("due"),
-        *(["kept"] if keep else []),
+        F.expr("block div quota * length + slot0").alias("slot"),
+        F.expr("block * length div quota").alias("release"),
+        F.expr("((block + 1) * length + quota - 1) div quota").alias("due"),
     )
 
 
-def placed(docs: DataFrame, weights: dict[str, float] | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+def mix_plan(docs: DataFrame, weights: dict[str, float | Decimal | Fraction] | None = None, *, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """One row per input row: ``doc_id``, ``source``, ``block`` (from 0), ``pos`` in it, ``slot``, ``release``, ``due``.
+
+    Within a source documents go by the MD5 of their id. Rows that share an id keep separate places. A null source is the source ``''``, a null
+    id comes first. Every row is placed: once a source is used up, the others go on in their order. Rows of a source of weight zero have blocks, but no slot.
+    Only ``doc_id`` and ``source`` are read. An empty table gives an empty result.
+    """
+    rows, number = numbered(docs)
+    return _plan(rows, number, weights, block_docs).drop(number)
+
+
+def placed(docs: DataFrame, weights: dict[str, float | Decimal | Fraction] | None = None, *, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """All rows of ``docs`` with their ``slot`` and ``pos`` in the mix, each row its own place. Columns of these names in ``docs`` are left out."""
-    others = [c for c in docs.columns if c not in ("slot", "pos")]
-    plan = mix_plan(docs, weights, block_docs=block_docs, period=period, keep=others)
-    # written, so that rows that share an id keep the places they were given
-    return written(plan.select("kept.*", "slot", "pos"), "placed")
-
-
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
-    """All rows of ``docs``, all columns unchanged, in the order of the mix. ``doc_id`` is their key: rows that share one stand together."""
-    plan = mix_plan(docs, weights, block_docs=block_docs, period=period)
-    place = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("slot", "pos")).alias("_place"))
-    joined = docs.join(place, docs["doc_id"].eqNullSafe(place["_id"]))
-    ordered = joined.repartitionByRange(shuffle_partitions(docs.sparkSession), place["_place"]).sortWithinPartitions(place["_place"])
-    return ordered.select(*(docs[c] for c in docs.columns))
+    rows, number = numbered(docs.drop("slot", "pos"))
+    plan = written(_plan(rows, number, weights, block_docs).select(number, "slot", "pos"), "plan")
+    return rows.join(plan, number).drop(number)
+
+
+def mixed(docs: DataFrame, weights: dict[str, float | Decimal | Fraction] | None = None, *, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """All rows of ``docs``, all columns unchanged, in the order of the mix; rows without a slot come last."""
+    rows, number = numbered(docs)
+    plan = written(_plan(rows, number, weights, block_docs).select(number, F.struct(F.col("slot").isNull().alias("without"), "slot", "pos", number).alias("_place")), "plan")
+    joined = rows.join(plan, number)
+    ordered = joined.repartitionByRange(shuffle_partitions(docs.sparkSession), plan["_place"]).sortWithinPartitions(plan["_place"])
+    return ordered.select(*(rows[c] for c in docs.columns))

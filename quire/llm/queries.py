@@ -118,10 +118,7 @@ ORACLE_SQL = {
     "op6_pfair_mix": r"""
         WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source FROM documents),
         counts AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
-        size AS (SELECT count(*) AS k, greatest(500, 2 * count(*)) AS len, sum(sqrt(n)) AS w FROM counts),
-        share AS (SELECT source, sqrt(n) / w * (len - k) AS x, len - k AS spare FROM counts, size),
-        placed AS (SELECT source, x, spare - sum(floor(x)) OVER () AS rest, row_number() OVER (ORDER BY x - floor(x) DESC, source) AS place FROM share),
-        quotas AS (SELECT source, CAST(1 + floor(x) + CASE WHEN place <= rest THEN 1 ELSE 0 END AS BIGINT) AS q FROM placed),
+        quotas AS (SELECT source, greatest(1, CAST(floor(100 * sqrt(n::DOUBLE / max(n) OVER ())) AS BIGINT)) AS q FROM counts),
         lists AS (SELECT list(source ORDER BY source) AS names, list(q ORDER BY source) AS qs, CAST(sum(q) AS BIGINT) AS len FROM quotas),
         run(t, had, pick) AS (
             SELECT CAST(-1 AS BIGINT), list_transform(qs, lambda q: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM lists

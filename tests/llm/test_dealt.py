@@ -10,6 +10,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -313,20 +314,54 @@ def test_salvage_of_cut_and_empty_files():
 def test_mix_stays_within_one_block(spark):
     rows = [(i, None, None, None if i % 50 == 0 else f"s{min(i % 7, 3)}", None) for i in range(3000)] + [(1, None, None, "s1", None), (None, None, None, "s1", None)]
     docs = spark.createDataFrame(rows, DOCS)
-    weights = {"s0": 0.5, "s1": 0.2, "s2": 0.2, "s3": 0.1}
-    plan = mixing.mix_plan(docs, weights, block_docs=4, period=100).collect()
+    weights = {"": 0.01, "s0": 0.5, "s1": 0.2, "s2": 0.19, "s3": 0.1}
+    plan = mixing.mix_plan(docs, weights, block_docs=4).collect()
     assert len(plan) == len(rows)
     blocks = {(r["source"], r["block"]): (r["slot"], r["release"], r["due"]) for r in plan}
     assert all(release <= slot < due for slot, release, due in blocks.values())
     assert len({s for s, _, _ in blocks.values()}) == len(blocks)
     assert max(collections.Counter((r["source"], r["block"]) for r in plan).values()) == 4
-    quota = {r["source"]: r["quota"] for r in mixing.source_quotas(spark.createDataFrame([(s, 1) for s in {r["source"] for r in plan}], "source string, n long"), weights, 100).collect()}
-    assert sum(quota.values()) == 100
+
+
+HALVES = {"a": 0.5, **{f"s{i}": 0.5 / 49 for i in range(49)}}
+NINE_TENTHS = {"a": 0.9, **{f"s{i}": 0.1 / 399 for i in range(399)}}
+
+
+@pytest.mark.parametrize("weights", [HALVES, NINE_TENTHS, {"a": Fraction(1, 7), "b": Fraction(2, 11), "c": Fraction(52, 77)}, {"a": 3, "b": 0, "c": 1}, {"a": 0.12345, "b": 0.87655}, {"one": 0.2}, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}])
+def test_schedule_keeps_the_given_weights(spark, weights):
+    """Exact ratios, two periods: within one block of the weights as given after every slot, and inside every block's window."""
+    counts = spark.createDataFrame([(s, 1) for s in [*weights, "unnamed"]], "source string, n long")
+    rows = sorted(mixing.schedule(mixing.source_quotas(counts, weights)).collect(), key=lambda r: r["slot0"])
+    given = {s: Fraction(w).limit_denominator(10**6) for s, w in weights.items()}
+    target = {s: w / sum(given.values()) for s, w in given.items()}
+    length = len(rows)
+    assert [r["slot0"] for r in rows] == list(range(length)) and all(r["length"] == length and r["quota"] == target[r["source"]] * length for r in rows)
     took = collections.Counter()
-    for t, (_, source) in enumerate(sorted((slot, s) for (s, _), (slot, _, _) in blocks.items()), 1):
-        took[source] += 1
-        if t <= 100:
-            assert all(abs(took[s] - t * q / 100) < 1 for s, q in quota.items())
+    for t, r in enumerate(rows + rows):
+        j = took[r["source"]] = took[r["source"]] + 1
+        w = target[r["source"]]
+        assert math.floor((j - 1) / w) <= t < math.ceil(j / w)
+        if t % 97 == 0 or len(weights) < 9:
+            assert all(abs(took[s] - (t + 1) * w) < 1 for s, w in target.items())
+
+
+def test_weights_without_a_small_common_denominator(spark):
+    rng = random.Random(1)
+    weights = {f"s{i}": rng.random() for i in range(30)} | {"tiny": 1e-12}
+    whole = mixing.whole_weights(weights, 5000)
+    total = sum(weights.values())
+    assert sum(whole.values()) in (5000, 5001) and all(abs(whole[s] - 5000 * w / total) <= 1 for s, w in weights.items())
+    assert mixing.whole_weights({}) == {} and mixing.whole_weights({"a": 0.0}) == {}
+
+
+def test_rows_of_weight_zero_and_of_one_id_are_placed(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, None, None, "abc"[i % 3], None) for i in range(300)], DOCS)
+    plan = mixing.mix_plan(docs, {"a": 1, "b": 2}, block_docs=4).collect()
+    assert len(plan) == 300 and {r["source"] for r in plan if r["slot"] is None} == {"c"}
+    assert len({(r["source"], r["block"], r["pos"]) for r in plan}) == 300
+    out = [r["source"] for r in mixing.mixed(docs, {"a": 1, "b": 2}).collect()]
+    assert len(out) == 300 and set(out[200:]) == {"c"}
+    assert mixing.mix_plan(docs, {}).where("slot is null").count() == 300
 
 
 def test_mixed_keeps_rows_and_columns(spark):
