@@ -2,8 +2,9 @@
 
 Every record is its own gzip member, so a member that fails its checks costs that member alone. The reader then looks for
 the next member (or, in plain files and inside members, the next version line), goes on there and
-reports the bytes in between as a quarantined gap. A member with many records, as other writers make them, is read up to its damage. The reader
-holds one record, or one member of ``HELD_BYTES`` at most, whatever the size of a file.
+reports the bytes in between as a quarantined gap. A member with many records, as other writers make them, is read up to its damage. Whatever the size of a
+file, a member, a gap or a record, the reader holds one record of ``WHOLE_BYTES`` or one member of ``HELD_BYTES`` at most; longer records are
+read in pieces, and their size and digest are given without their payload. Records of other versions than 0.17, 0.18, 1.0 and 1.1 are gaps.
 """
 
 from __future__ import annotations
@@ -15,22 +16,23 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_dir, open_fs, shuffle_partitions
+from .common import new_dir, open_fs, shuffle_partitions, written
 
 REVISIT_BYTES = 1000
 ROLL_BYTES = 256 << 20
 WINDOW = 1 << 20
 HELD_BYTES = 16 << 20
-LONGEST_RECORD = 1 << 30
+WHOLE_BYTES = 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 MEMBER = b"\x1f\x8b\x08"
-VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+VERSION = re.compile(rb"WARC/(?:0\.1[78]|1\.[01])\r\n")
 MANIFEST = "file string, n_records long, n_bytes long"
 READ = "file string, offset long, length long, kind string, record_type string, record_id string, uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 
@@ -111,7 +113,7 @@ def write_warc(pages: DataFrame, out: str, *, date: str = "2000-01-01T00:00:00Z"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.sha2(F.encode(html, "UTF-8"), 256).alias("same"), F.octet_length(html).alias("size"))
     light = rows.where(F.col("size") >= revisit_bytes).select("page_id", "same")
     groups = light.groupBy("same").agg(F.max("page_id").alias("first"), F.min(F.coalesce("page_id", F.lit(-(1 << 63)))).alias("_least"))
-    groups = groups.where("first > _least").drop("_least")
+    groups = written(groups.where("first > _least").drop("_least"), "payloads")  # a join with the aggregation's own shuffle could not split a hot payload
     later = light.join(groups, "same").where("not (page_id <=> first)").select(F.col("page_id").alias("_id"), F.col("same").alias("_same"), "first").distinct()
     made = rows.join(later, rows["page_id"].eqNullSafe(later["_id"]) & (rows["same"] == later["_same"]), "left").select("page_id", "url", "html", "digest", "first")
     made.mapInArrow(lambda it: _write(it, out, date), MANIFEST).write.parquet(f"{out}/manifest")
@@ -121,15 +123,12 @@ def write_warc(pages: DataFrame, out: str, *, date: str = "2000-01-01T00:00:00Z"
 # reading
 
 
-def _find(read_at: Callable[[int, int], bytes], pos: int, size: int | None, mark: bytes) -> int:
-    """Where ``mark`` next begins at or after ``pos``, else the end: ``size``, or where nothing more can be read."""
-    while size is None or pos < size:
-        data = read_at(pos, WINDOW + len(mark))
-        at = data.find(mark)
+def _find(read_at: Callable[[int, int], bytes], pos: int, size: int, mark: bytes) -> int:
+    """Where ``mark`` next begins at or after ``pos``, else the end, ``size``."""
+    while pos < size:
+        at = read_at(pos, WINDOW + len(mark)).find(mark)
         if at >= 0:
             return pos + at
-        if len(data) < WINDOW:
-            return pos + len(data)
         pos += WINDOW
     return size
 
@@ -168,15 +167,20 @@ class Inflated:
                     break
 
     def read(self, pos: int, n: int) -> bytes:
+        """``n`` bytes at ``pos``. What lies before is given up; the rare read that goes back to it unpacks the member again."""
+        if pos < self.start:
+            self.__init__(self.read_at, self.pos)
         while not self.done and self.start + len(self.buffer) < pos + n:
+            self._forget(pos)
             self._more()
-        return bytes(self.buffer[pos - self.start : pos - self.start + n])
+        self._forget(pos)
+        return bytes(self.buffer[max(0, pos - self.start) : max(0, pos - self.start) + n])
 
-    def forget(self, pos: int) -> None:
-        """Bytes before ``pos`` are not read again."""
+    def _forget(self, pos: int) -> None:
         if pos - self.start > WINDOW:
-            del self.buffer[: pos - self.start]
-            self.start = pos
+            old = min(pos - self.start, len(self.buffer))
+            del self.buffer[:old]
+            self.start += old
 
     def to_end(self, most: int) -> bool:
         """Unpacks the rest; whether all of it, ``most`` bytes at most, is held."""
@@ -189,12 +193,38 @@ class Inflated:
         return whole
 
 
-def one_record(read_at: Callable[[int, int], bytes], pos: int, size: int | None) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record at ``pos``; raises ``Damaged``. ``size`` of the file, if known."""
+class Long(NamedTuple):
+    """What is known of a block that is too long to be held: of its payload the size and SHA-1."""
+
+    payload_bytes: int
+    payload_sha1: str
+
+
+def _long_block(read_at: Callable[[int, int], bytes], pos: int, length: int) -> tuple[Long, str]:
+    """The block at ``pos`` in pieces, and its own SHA-1; raises ``Damaged`` if it is cut off."""
+    whole, payload, size, tail = hashlib.sha1(), None, 0, b""
+    for at in range(0, length, WINDOW):
+        data = read_at(pos + at, min(WINDOW, length - at))
+        if len(data) < min(WINDOW, length - at):
+            raise Damaged("record ends early")
+        whole.update(data)
+        if payload is None:
+            head, mark, rest = (tail + data).partition(b"\r\n\r\n")
+            tail = head[-3:]
+            if not mark:
+                continue
+            payload, data = hashlib.sha1(), rest
+        payload.update(data)
+        size += len(data)
+    return Long(size, (payload or hashlib.sha1()).hexdigest()), whole.hexdigest()
+
+
+def one_record(read_at: Callable[[int, int], bytes], pos: int, size: int) -> tuple[dict[str, str], bytes | Long, int]:
+    """Headers, block and length of the record at ``pos`` of ``size`` bytes; raises ``Damaged``."""
     head, n = b"", 1 << 12
     while (end := head.find(b"\r\n\r\n")) < 0:
         head = read_at(pos, n)
-        if not VERSION.match(head[:10]) or (len(head) < n and b"\r\n\r\n" not in head) or n > WINDOW << 4:
+        if not VERSION.match(head[:11]) or (len(head) < n and b"\r\n\r\n" not in head) or n > WINDOW << 4:
             raise Damaged("no header")
         n *= 4
     fields = {}
@@ -203,20 +233,23 @@ def one_record(read_at: Callable[[int, int], bytes], pos: int, size: int | None)
         if not colon:
             raise Damaged("header line without a name")
         fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not re.fullmatch(r"\d{1,15}", fields.get("content-length", "")):
+    if not re.fullmatch(r"\d{1,18}", fields.get("content-length", "")):
         raise Damaged("no length")
-    length = int(fields["content-length"])
-    total = end + 4 + length + 4
-    if (pos + total > size) if size is not None else (length > LONGEST_RECORD):
+    length, start = int(fields["content-length"]), pos + end + 4
+    if start + length + 4 > size:
         raise Damaged("record ends early")
-    block = read_at(pos + end + 4, length + 4)
-    if len(block) < length + 4 or block[length:] != b"\r\n\r\n":
+    if length > WHOLE_BYTES:
+        block, digest = _long_block(read_at, start, length)
+        mark = read_at(start + length, 4)
+    else:
+        block = read_at(start, length + 4)
+        block, mark, digest = block[:length], block[length:], None
+    if mark != b"\r\n\r\n":
         raise Damaged("no end mark")
-    block = block[:length]
     wanted = hex_digest(fields.get("warc-block-digest"))
-    if wanted and hashlib.sha1(block).hexdigest() != wanted:
+    if wanted and (digest or hashlib.sha1(block).hexdigest()) != wanted:
         raise Damaged("digest")
-    return fields, block, total
+    return fields, block, end + 4 + length + 4
 
 
 def hex_digest(value: str | None) -> str | None:
@@ -232,13 +265,13 @@ def hex_digest(value: str | None) -> str | None:
         return None
 
 
-Item = tuple[int, int, dict[str, str] | None, bytes]
+Item = tuple[int, int, dict[str, str] | None, bytes | Long]
 
 
-def _records(read_at: Callable[[int, int], bytes], size: int | None) -> Iterator[Item]:
+def _records(read_at: Callable[[int, int], bytes], size: int) -> Iterator[Item]:
     """Records one after the other; where one fails, the bytes up to the next version line with a whole record are a gap."""
     pos, bad = 0, None
-    while read_at(pos, 1):
+    while pos < size:
         try:
             fields, block, used = one_record(read_at, pos, size)
         except Damaged:
@@ -260,17 +293,10 @@ def _member(read_at: Callable[[int, int], bytes], pos: int) -> tuple[int, bool,
     if first.to_end(HELD_BYTES):
         data = bytes(first.buffer)
         return first.used, first.failed, _records(lambda p, n: data[p : p + n], len(data))
-
-    def again() -> Iterator[Item]:
-        stream = Inflated(read_at, pos)
-        for item in _records(stream.read, None):
-            yield item
-            stream.forget(item[0] + item[1])
-
-    return first.used, first.failed, again()
+    return first.used, first.failed, _records(Inflated(read_at, pos).read, first.start + len(first.buffer))
 
 
-def salvage(read_at: Callable[[int, int], bytes], size: int) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+def salvage(read_at: Callable[[int, int], bytes], size: int) -> Iterator[Item]:
     """``offset``, ``length``, headers and block of all records of one archive; no headers: a quarantined gap.
 
     Offsets and lengths are those of the file. In a gzip file they are those of the member, also where damage is inside a member that could be
@@ -327,11 +353,13 @@ def _read(batches: Iterator[pa.RecordBatch], out: str, with_payload: bool) -> It
                         if row["record_type"] == "revisit":
                             size = fields.get("x-payload-bytes", "")  # of this writer; other archives do not say
                             row |= {"payload_bytes": int(size) if re.fullmatch(r"\d{1,18}", size) else None, "payload_digest": hex_digest(fields.get("warc-payload-digest"))}
+                        elif isinstance(block, Long):
+                            row |= {"payload_bytes": block.payload_bytes, "payload_digest": block.payload_sha1}
                         else:
                             payload = http_payload(block)
                             row |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest(), "payload": payload if with_payload else None}
                     rows.append(row)
-                    held += len(block)
+                    held += len(row.get("payload") or b"")
                     if held > 8 << 20 or len(rows) >= 1024:
                         yield pa.RecordBatch.from_pylist(rows, kinds)
                         rows, held = [], 0

@@ -308,6 +308,52 @@ def test_salvage_of_cut_and_empty_files():
     assert [x[:2] for x in warc.salvage(reader(b"nothing here"), 12)] == [(0, 12)]
 
 
+def test_records_longer_than_is_held(monkeypatch):
+    monkeypatch.setattr(warc, "WHOLE_BYTES", 3000)
+    monkeypatch.setattr(warc, "HELD_BYTES", 10_000)
+    monkeypatch.setattr(warc, "WINDOW", 512)
+    bodies = [random.Random(i).randbytes(n) for i, n in enumerate((10, 5_000, 40_000, 2_900, 20))]
+    records = [warc.make_record(i, "u", b, hashlib.sha1(b).hexdigest(), None, date="d") for i, b in enumerate(bodies)]
+    for data in (b"".join(records), warc.gzip_member(b"".join(records)), b"".join(map(warc.gzip_member, records))):
+        got = list(warc.salvage(reader(data), len(data)))
+        assert [f["warc-record-id"] for _, _, f, _ in got] == [warc.record_id(i) for i in range(5)]
+        assert [(b.payload_bytes, b.payload_sha1) if isinstance(b, warc.Long) else (len(warc.http_payload(b)), hashlib.sha1(warc.http_payload(b)).hexdigest()) for *_, b in got] == [(len(b), hashlib.sha1(b).hexdigest()) for b in bodies]
+        assert isinstance(got[2][3], warc.Long)
+    # damage inside the long one, and a length that is too large: the others are read, the rest are gaps
+    spoiled = records[2].replace(bodies[2][-50:], b"#" * 50)
+    endless = records[1].replace(b"Content-Length: 50", b"Content-Length: 99")
+    data = warc.gzip_member(b"".join([records[0], spoiled, b"lost " * 3000, endless, *records[3:]]))
+    got = list(warc.salvage(reader(data), len(data)))
+    assert [f and f["warc-record-id"] for _, _, f, _ in got] == [warc.record_id(0), None, *map(warc.record_id, (3, 4))]
+
+
+def test_long_gaps_are_not_held(monkeypatch):
+    monkeypatch.setattr(warc, "WINDOW", 1 << 12)
+    monkeypatch.setattr(warc, "HELD_BYTES", 1 << 15)
+    first, last = (warc.make_record(i, "u", b"p", "d", None, date="d") for i in (1, 2))
+    data = warc.gzip_member(first + random.Random(1).randbytes(3 << 20) + last)
+    stream = warc.Inflated(reader(data), 0)
+    most = 0
+
+    def read_at(pos, n):
+        nonlocal most
+        out = stream.read(pos, n)
+        most = max(most, len(stream.buffer))
+        return out
+
+    got = list(warc._records(read_at, len(first) + (3 << 20) + len(last)))
+    assert [f and f["warc-record-id"] for _, _, f, _ in got] == [warc.record_id(1), None, warc.record_id(2)] and got[1][1] == 3 << 20
+    assert most < 1 << 18
+    assert stream.read(0, 8) == first[:8]
+
+
+def test_payload_that_most_pages_share(spark):
+    rows = [(i, None, "x" * 2000 if i % 3 else f"page {i} " * 300) for i in range(400)]
+    got = warc.page_records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(400))
+    assert all(r["refers_to"] == (398 if r["page_id"] % 3 and r["page_id"] != 398 else None) for r in got)
+
+
 # 6
 
 
