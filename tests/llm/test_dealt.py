@@ -421,28 +421,19 @@ def test_mixed_keeps_rows_and_columns(spark):
 # 7
 
 
-def near_brute(docs):
-    idf = near_dup.document_frequencies(docs)
+def near_brute(docs, common=0.01):
+    """Class of each row of any ids, by plain pairs of row numbers."""
     rows = docs.select("doc_id", "text").collect()
-    sets = {i: (h, c) for i, h, c in near_dup.weighted_sets(pa.array([r["text"] or "" for r in rows]))}
-    parent = list(range(len(rows)))
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i, j in itertools.combinations(sets, 2):
-        if near_dup.weighted_jaccard(sets[i], sets[j], idf) >= 0.8:
-            parent[max(root(i), root(j))] = min(root(i), root(j))
+    classes = near_plain([(i, r["text"]) for i, r in enumerate(rows)], common)
+    words = [bool(re.search(r"[0-9a-z\x80-\U0010ffff]", (r["text"] or "").lower())) for r in rows]
     least: dict = {}
     for i, r in enumerate(rows):
         if r["doc_id"] is not None:
-            least[root(i)] = min(least.get(root(i), 1 << 60), r["doc_id"])
-    return collections.Counter((r["doc_id"], least.get(root(i)) if i in sets else r["doc_id"]) for i, r in enumerate(rows))
+            least[classes[i]] = min(least.get(classes[i], 1 << 60), r["doc_id"])
+    return collections.Counter((r["doc_id"], least.get(classes[i]) if words[i] else r["doc_id"]) for i, r in enumerate(rows))
 
 
-def near_plain(rows):
+def near_plain(rows, common=0.01):
     """Smallest id of the class of each row (``doc_id``, ``text``) by pairs of plain dictionaries: nothing of the operator is used. Ids are not null."""
     sets = {}
     for i, text in rows:
@@ -450,7 +441,8 @@ def near_plain(rows):
         grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)] * bool(words)
         sets[i] = collections.Counter(grams)
     df = collections.Counter(g for c in sets.values() for g in c)
-    idf = {g: 1 + math.log(min(len(rows) / n, 100)) / math.log(100) for g, n in df.items()}
+    most = 1 / common if common else max(2, len(rows))
+    idf = {g: 1 + math.log(min(len(rows) / n, most)) / math.log(most) for g, n in df.items()}
     total = {i: sum(n * idf[g] for g, n in c.items()) for i, c in sets.items()}
     at = collections.defaultdict(list)
     least = {i: i for i in sets}
@@ -494,6 +486,22 @@ def test_near_classes_against_brute_force(spark):
     assert got == near_brute(docs)
 
 
+def test_near_classes_by_all_frequencies(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").unionByName(odd_rows(spark).select("doc_id", "text", "lang", "source", "n_chars"))
+    got = collections.Counter((r["doc_id"], r["class_id"]) for r in near_dup.near_classes(docs, common=None).collect())
+    assert got == near_brute(docs, None)
+    assert near_dup.near_classes(empty(spark), common=None).count() == 0
+
+
+def test_weights_by_all_frequencies(spark):
+    texts = ["a b c d e", "a b c d e", "a b c d e f", "v w x y z v w x y z", "q"]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, _row long").withColumn("_row", F.col("_row").cast("decimal(38,0)"))
+    sets = near_dup.exact_weights(docs, near_dup.signatures(docs, None)).collect()
+    keyed = {k: w for r in sets for k, w in zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["weights"], np.float32).tolist(), strict=True)}
+    first = near_dup.shingles(pa.array(["a b c d e"]))[0][0]
+    assert len(sets) == 4 and math.isclose(keyed.pop(int(first)), 1 + math.log(5 / 3) / math.log(5), rel_tol=1e-6) and {round(w, 6) for w in keyed.values()} == {2.0}
+
+
 def test_blockwise_links_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 8)
     test_near_classes_against_brute_force(spark)
