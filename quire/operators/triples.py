@@ -1,7 +1,7 @@
 """A triple store as a DataFrame, and graph patterns as joins.
 
-``triples`` has ``s, p, o, o_kind`` (``uri`` or ``literal``), ``o_lang`` and optionally ``graph_id``. It is a set:
-builders end in ``distinct``. Patterns are built with the functions below instead of parsed
+``triples`` has ``s, p, o, o_kind`` (``uri``, ``blank`` or ``literal``), ``o_lang`` and optionally ``o_datatype`` (an IRI; null for plain
+text and for ``xsd:string``, which is the same) and ``graph_id``. Blank nodes are named ``_:`` and a label. It is a set: builders end in ``distinct``. Patterns are built with the functions below instead of parsed
 from text; Catalyst orders and pushes down what they declare.
 """
 
@@ -23,12 +23,12 @@ def melt(rows: DataFrame, subject: Column, properties: dict[str, Column], links:
 
 
 def merge(*graphs: DataFrame) -> DataFrame:
-    """Union of graphs as a set."""
-    return reduce(lambda a, b: a.unionByName(b), graphs).distinct()
+    """Union of graphs as a set. Blank nodes are told apart by label: those of different sources need labels of their own, as readers give them."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), graphs).distinct()
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Triples that only one of two graphs has, with the side."""
+    """Triples that only one of two graphs has, with the side. Graphs with blank nodes are compared by ``blank_nodes.difference``."""
     left = a.subtract(b).withColumn("side", F.lit("left"))
     return left.unionByName(b.subtract(a).withColumn("side", F.lit("right")))
 
@@ -107,7 +107,7 @@ def path_plus(triples: DataFrame, p: str) -> DataFrame:
     """Pairs connected by one or more steps of a property. Each round joins only the pairs that are new, until there are none."""
     from quire.sources.shared import written
 
-    step = written(triples.where((F.col("p") == p) & (F.col("o_kind") == "uri")).select("s", "o").distinct(), "path")
+    step = written(triples.where((F.col("p") == p) & (F.col("o_kind") != "literal")).select("s", "o").distinct(), "path")
     known = new = step
     rounds = 0
     while not new.isEmpty():
@@ -139,10 +139,16 @@ def order_violations(triples: DataFrame, first: str, second: str) -> DataFrame:
     return both(a, b).where("a > b")
 
 
+XSD = "http://www.w3.org/2001/XMLSchema#"
+
+#: Lexical forms of datatypes, by their names in the XML Schema namespace.
+DATATYPES = {"integer": r"^[+-]?\d+$", "decimal": r"^[+-]?(\d+(\.\d*)?|\.\d+)$", "double": r"^([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|INF|-INF|NaN)$", "boolean": "^(true|false|1|0)$", "date": r"^-?\d{4,}-\d{2}-\d{2}(Z|[+-]\d{2}:\d{2})?$", "gYear": r"^-?\d{4,}(Z|[+-]\d{2}:\d{2})?$", "year": r"^-?\d{4}$"}
+
+
 @dataclass(frozen=True)
 class Shape:
-    """What the subjects of a type must have at a path. ``kind``: ``min_count``, ``max_count``, ``pattern``, ``datatype`` (a pattern that the text
-    of a literal has, by name), ``in``, ``class``, ``node_kind`` (``uri`` or ``literal``), ``min_value``, ``max_value``, ``less_than`` (a path)."""
+    """What the subjects of a type must have at a path. ``kind``: ``min_count``, ``max_count``, ``pattern``, ``datatype`` (a name in
+    ``DATATYPES`` or an IRI), ``in``, ``class``, ``node_kind`` (``uri``, ``blank`` or ``literal``), ``min_value``, ``max_value``, ``less_than`` (a path)."""
 
     of_type: str
     path: str
@@ -150,60 +156,123 @@ class Shape:
     value: object
 
 
-DATATYPES = {"integer": r"^[+-]?\d+$", "decimal": r"^[+-]?\d+(\.\d+)?$", "boolean": "^(true|false)$", "date": r"^-?\d{4}-\d{2}-\d{2}$", "year": r"^-?\d{4}$"}
+def _has_datatype(name: Column, typed: bool) -> Column:
+    """Whether the object is a literal of a datatype: of that type where types are known, and in its form where the form is."""
+    local = F.when(F.startswith(name, F.lit(XSD)), F.substring(name, F.lit(len(XSD) + 1), F.length(name))).otherwise(name)
+    forms = F.create_map(*(F.lit(x) for kv in DATATYPES.items() for x in kv))
+    form = F.coalesce(F.try_element_at(forms, local), F.lit(""))
+    iri = F.when(F.contains(name, F.lit(":")), name).otherwise(F.concat(F.lit(XSD), name))
+    of_type = F.coalesce(F.col("o_datatype"), F.when(F.col("o_lang").isNull(), F.lit(f"{XSD}string")).otherwise(F.lit(""))) == iri if typed else F.lit(True)
+    return (F.col("o_kind") == "literal") & of_type & F.rlike("o", form)
 
 
 def violations(triples: DataFrame, shapes: list[Shape]) -> DataFrame:
     """``s, path, kind, value`` of what breaks a shape; ``value`` is the object, null for a number of them. An object of a datatype that should be a number and is none
-    breaks bounds of values too."""
-    found = []
-    for x in shapes:
-        targets = triples.where((F.col("p") == "type") & (F.col("o") == x.of_type)).select("s").distinct()
-        objects = triples.where(F.col("p") == x.path).join(targets, "s", "left_semi").select("s", "o", "o_kind").distinct()
-        number, none = F.col("o").try_cast("double"), F.lit(None).cast("string")
-        if x.kind in ("min_count", "max_count"):
-            n = targets.join(objects.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "s", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-            bad = n.where(F.col("n") < x.value if x.kind == "min_count" else F.col("n") > x.value).select("s", none.alias("o"))
-        elif x.kind == "class":
-            good = triples.where((F.col("p") == "type") & (F.col("o") == x.value)).select(F.col("s").alias("o")).distinct()
-            bad = objects.join(good, "o", "left_anti")
-        elif x.kind == "less_than":
-            other = triples.where(F.col("p") == x.value).select("s", F.col("o").try_cast("double").alias("_b")).groupBy("s").agg(F.min("_b").alias("_b"))
-            bad = objects.join(other, "s").where(~F.coalesce(number < F.col("_b"), F.lit(False)))
-        else:
-            ok = {
-                "pattern": lambda v: F.col("o").rlike(v),
-                "datatype": lambda v: (F.col("o_kind") == "literal") & F.col("o").rlike(DATATYPES[v]),
-                "in": lambda v: F.col("o").isin(*v),
-                "node_kind": lambda v: F.col("o_kind") == v,
-                "min_value": lambda v: F.coalesce(number >= v, F.lit(False)),
-                "max_value": lambda v: F.coalesce(number <= v, F.lit(False)),
-            }[x.kind](x.value)
-            bad = objects.where(~ok)
-        found.append(bad.select("s", F.lit(x.path).alias("path"), F.lit(x.kind).alias("kind"), F.col("o").alias("value")))
-    return reduce(lambda a, b: a.unionByName(b), found)
+    breaks bounds of values too. Where the graph has ``o_datatype``, a datatype is that of the literal and not only the form of its text.
+
+    The shapes are a table that the graph is joined with once; all kinds are decided on the joined rows.
+    """
+    typed = "o_datatype" in triples.columns
+    number = lambda v: float(v) if isinstance(v, (int, float)) else None
+    rows = [(i, x.of_type, x.path, x.kind, None if isinstance(x.value, (list, tuple)) else str(x.value), [str(v) for v in x.value] if isinstance(x.value, (list, tuple)) else None, number(x.value)) for i, x in enumerate(shapes)]
+    table = triples.sparkSession.createDataFrame(rows, "shape int, of_type string, path string, kind string, value string, several array<string>, bound double")
+    types = triples.where("p = 'type'").select("s", F.col("o").alias("of_type")).distinct()
+    targets = types.join(table, "of_type")
+    said = [c for c in ("o_kind", "o_lang", "o_datatype") if c in triples.columns]
+    objects = triples.select("s", F.col("p").alias("path"), "o", *said).distinct()
+    met = targets.join(objects, ["s", "path"], "left")
+
+    counted = met.where("kind in ('min_count', 'max_count')").groupBy("s", "path", "kind", "shape", "bound").agg(F.count_distinct("o").alias("n"))
+    counts = counted.where(F.when(F.col("kind") == "min_count", F.col("n") < F.col("bound")).otherwise(F.col("n") > F.col("bound")))
+
+    each = met.where("kind not in ('min_count', 'max_count') and o is not null")
+    of_class = types.select(F.col("s").alias("o"), F.col("of_type").alias("value"), F.lit(True).alias("of_class"))
+    least = triples.join(table.where("kind = 'less_than'").select(F.col("value").alias("p")).distinct(), "p").select("s", F.col("p").alias("value"), F.col("o").try_cast("double").alias("other")).groupBy("s", "value").agg(F.min("other").alias("other"), F.lit(True).alias("has_other"))
+    each = each.join(of_class, ["o", "value"], "left").join(least, ["s", "value"], "left")
+    amount = F.col("o").try_cast("double")
+    fits = (
+        F.when(F.col("kind") == "pattern", F.rlike("o", F.col("value")))
+        .when(F.col("kind") == "datatype", _has_datatype(F.col("value"), typed))
+        .when(F.col("kind") == "in", F.array_contains("several", F.col("o")))
+        .when(F.col("kind") == "node_kind", F.col("o_kind") == F.col("value"))
+        .when(F.col("kind") == "min_value", amount >= F.col("bound"))
+        .when(F.col("kind") == "max_value", amount <= F.col("bound"))
+        .when(F.col("kind") == "class", F.col("of_class"))
+        .when(F.col("kind") == "less_than", F.col("has_other").isNull() | (amount < F.col("other")))
+    )
+    broken = each.where(~F.coalesce(fits, F.lit(False))).select("shape", "s", "path", "kind", F.col("o").alias("value")).distinct()
+    return counts.select("s", "path", "kind", F.lit(None).cast("string").alias("value")).unionByName(broken.drop("shape"))
+
+
+# N-Triples
+
+#: What a backslash and one letter stand for.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
+
+def escaped(text: Column) -> Column:
+    """Text of a literal between quotes."""
+    for char, mark in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(char), F.lit(mark))
+    return text
+
+
+def term(value: Column, kind: Column, lang: Column | None = None, datatype: Column | None = None) -> Column:
+    """A subject or object as N-Triples and Turtle write it."""
+    after = F.concat(F.lit("@"), lang) if lang is not None else F.lit(None)
+    typed = F.concat(F.lit("^^<"), datatype, F.lit(">")) if datatype is not None else F.lit(None)
+    said = F.concat(F.lit('"'), escaped(value), F.lit('"'), F.coalesce(after, typed, F.lit("")))
+    return F.when(kind == "uri", F.concat(F.lit("<"), value, F.lit(">"))).when(kind == "blank", value).otherwise(said)
+
+
+def subject_kind(s: Column) -> Column:
+    return F.when(F.startswith(s, F.lit("_:")), "blank").otherwise("uri")
+
+
+def object_term(triples: DataFrame) -> Column:
+    return term(F.col("o"), F.col("o_kind"), F.col("o_lang"), F.col("o_datatype") if "o_datatype" in triples.columns else None)
 
 
 def to_ntriples(triples: DataFrame) -> DataFrame:
     """One N-Triples line (``value``) for each triple."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
-    literal = F.concat(F.lit('"'), text, F.lit('"'), F.coalesce(F.concat(F.lit("@"), "o_lang"), F.lit("")))
-    value = F.when(F.col("o_kind") == "uri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(literal)
-    return triples.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), value, F.lit(" .")).alias("value"))
+    return triples.select(F.concat(term(F.col("s"), subject_kind(F.col("s"))), F.lit(" <"), F.col("p"), F.lit("> "), object_term(triples), F.lit(" .")).alias("value"))
 
 
 def unescaped(said: Column) -> Column:
     """Text of a quoted literal: each backslash with what follows it stands for one character."""
-    for mark, char in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r")):
-        said = F.regexp_replace(said, rf"(?<!\\)((?:\\\\)*){mark}", f"$1{char}")
-    return F.regexp_replace(said, r"\\\\", r"\\")
-
-
-def from_ntriples(lines: DataFrame) -> DataFrame:
-    """Triples of N-Triples lines (``value``); lines that are none are left out."""
-    shape = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z-]+)|\^\^<([^>]*)>)?)\s*\.\s*$'
-    part = lambda i: F.regexp_extract("value", shape, i)
-    literal = unescaped(part(4))
-    uri = part(3) != ""
-    rows = lines.where(F.col("value").rlike(shape))
-    return rows.select(part(1).alias("s"), part(2).alias("p"), F.when(uri, part(3)).otherwise(literal).alias("o"), F.when(uri, "uri").otherwise("literal").alias("o_kind"), F.nullif(part(5), F.lit("")).alias("o_lang")).distinct()
+    plain = F.create_map(*(F.lit(x) for kv in ESCAPES.items() for x in kv))
+    code = lambda part: F.conv(F.substring(part, F.lit(3), F.length(part)), 16, 10).cast("int")
+    utf16 = lambda n: F.when(n < 0x10000, F.lpad(F.hex(n), 4, "0")).otherwise(F.concat(F.hex(0xD800 + F.floor((n - 0x10000) / 1024)), F.hex(0xDC00 + (n - 0x10000) % 1024)))
+    char = lambda part: F.when(part.rlike(r"^\\[uU]"), F.decode(F.unhex(utf16(code(part))), "UTF-16BE")).when(F.startswith(part, F.lit("\\")), F.try_element_at(plain, F.substring(part, 2, 1))).otherwise(part)
+    parts = F.regexp_extract_all(said, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"), F.lit(0))
+    return F.when(F.contains(said, F.lit("\\")), F.array_join(F.transform(parts, char), "")).otherwise(said)
+
+
+_IRI, _BLANK, _STRING = r"<([^<>\s]*)>", r"(_:[^\s<>\"]+)", r'"((?:[^"\\]|\\.)*)"'
+LINE = rf"^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*(?:{_IRI}|{_BLANK}|{_STRING}(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^{_IRI})?)\s*\.\s*(?:#.*)?$"
+
+
+def scoped(label: Column, scope: Column | None) -> Column:
+    """A blank node's name within its source: equal labels of two sources are two nodes."""
+    return label if scope is None else F.concat(F.lit("_:f"), F.substring(F.sha1(scope.cast("binary")), 1, 16), F.lit("."), F.substring(label, F.lit(3), F.length(label)))
+
+
+def parsed_ntriples(lines: DataFrame, scope: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Triples of N-Triples lines (``value``), and the lines that do not parse; empty lines and comments are neither. Labels of blank nodes hold
+    within one ``scope`` (a column of ``lines``, such as the file)."""
+    part = lambda i: F.nullif(F.regexp_extract("value", LINE, i), F.lit(""))
+    is_triple = F.col("value").rlike(LINE)
+    iri = lambda i: unescaped(F.regexp_extract("value", LINE, i))
+    s = F.coalesce(scoped(part(2), scope), iri(1))
+    blank = scoped(part(5), scope)
+    is_literal = F.col("value").rlike(rf"^\s*\S+\s*{_IRI}\s*\"")
+    kind = F.when(is_literal, "literal").when(blank.isNotNull(), "blank").otherwise("uri")
+    value = F.when(is_literal, unescaped(F.regexp_extract("value", LINE, 6))).otherwise(F.coalesce(blank, iri(4)))
+    datatype = F.when(is_literal, F.nullif(part(8), F.lit(f"{XSD}string")))
+    good = lines.where(is_triple).select(s.alias("s"), iri(3).alias("p"), value.alias("o"), kind.alias("o_kind"), part(7).alias("o_lang"), datatype.alias("o_datatype")).distinct()
+    return good, lines.where(~is_triple & ~F.col("value").rlike(r"^\s*(#.*)?$")).select("value")
+
+
+def from_ntriples(lines: DataFrame, scope: Column | None = None) -> DataFrame:
+    """Triples of N-Triples lines; ``parsed_ntriples`` also returns those that do not parse."""
+    return parsed_ntriples(lines, scope)[0]

@@ -121,8 +121,8 @@ def shacl_kinds(t: Tables) -> DataFrame:
     return triples.violations(_graph(t), SHAPES).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT 'n' || n_nationkey AS s, 'label' AS p, n_name AS o, 'literal' AS o_kind, 'en' AS o_lang FROM nation UNION ALL SELECT 'n' || n_nationkey, 'said', 'a "b" \\ c' || chr(10) || n_name, 'literal', NULL FROM nation
-          UNION ALL SELECT 'n' || n_nationkey, 'in', 'r' || n_regionkey, 'uri', NULL FROM nation""")
+@query("""SELECT 'n' || n_nationkey AS s, 'label' AS p, n_name AS o, 'literal' AS o_kind, 'en' AS o_lang, CAST(NULL AS VARCHAR) AS o_datatype FROM nation UNION ALL SELECT 'n' || n_nationkey, 'said', 'a "b" \\ c' || chr(10) || n_name, 'literal', NULL, NULL FROM nation
+          UNION ALL SELECT 'n' || n_nationkey, 'in', 'r' || n_regionkey, 'uri', NULL, NULL FROM nation""")
 def turtle_round_trip(t: Tables) -> DataFrame:
     """Triples written as Turtle and read back."""
     s = F.concat(F.lit("n"), "n_nationkey")

@@ -155,10 +155,13 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
     return whole.drop("_bad") if whole.where("_bad is not null").first() is None else read_jsonl(spark, path, fields)[0]
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    from quire.operators.triples import from_ntriples
+def read_ntriples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Triples of the files at ``path``, and the lines (``value``) that do not parse. Blank nodes of two documents (files, or folders of part files) are never one node."""
+    from quire.operators.triples import parsed_ntriples
 
-    return from_ntriples(spark.read.text(path))
+    from .shared import document_of
+
+    return parsed_ntriples(spark.read.text(path).select("value", document_of(F.col("_metadata.file_path")).alias("file")), F.col("file"))
 
 
 def _fields(body: Column, directory: Column) -> Column:

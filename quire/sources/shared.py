@@ -6,25 +6,36 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
-    It is the session's ``spark.checkpoint.dir``. Only a session without that
+    It is the session's ``spark.checkpoint.dir``. Only an application without that
     setting on one machine (a test) gets a temporary folder of its own; on a cluster it raises ``ValueError``.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        base = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        if context.applicationId not in _own:  # the setting itself is fixed once Spark runs
+            _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quire-")
+            context.setCheckpointDir(_own[context.applicationId])
+        base = _own[context.applicationId]
     return base.rstrip("/")
 
 
+def document_of(file: Column) -> Column:
+    """The document that a file belongs to: the file, or the folder whose part files are one document, as Spark writes it."""
+    return F.regexp_replace(file, r"/part-[^/]*$", "")
+
+
 def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/quire-{tag}-{uuid.uuid4().hex}"
 

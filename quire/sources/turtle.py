@@ -1,7 +1,8 @@
 """Turtle files as triples, statement by statement.
 
-Files are split where serializers end a statement: a full stop at the end of a line. Prefixes are gathered first (a bounded
-list, as a file declares few). Statements that do not parse are returned with their text instead of being guessed: nested blank nodes, and texts
+Files are split where serializers end a statement: a full stop at the end of a line; a part may hold several statements. Prefixes are gathered first (a bounded
+list, as a file declares few). Blank nodes in brackets, nested ones too, are named by the part's text and their place in it, labels hold within
+their document (a file, or the part files of a folder). Parts that do not parse are returned with their text instead of being guessed: collections in round brackets, texts in triple quotes, and texts
 that hold a full stop at the end of a line.
 """
 
@@ -11,74 +12,132 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.let import let
-from quire.operators.triples import unescaped
+from quire.operators.triples import XSD, object_term, scoped, subject_kind, term, unescaped
+
+from .shared import document_of, written
 
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 MOST_PREFIXES = 10_000
+MOST_OBJECTS = 10_000
 
-LITERAL = r'"(?:[^"\\]|\\.)*"(?:@[A-Za-z-]+|\^\^(?:<[^>]*>|[^\s;,]+))?'
-TERMS = rf'<[^>]*>|{LITERAL}|[;,]|[^\s;,<>"]+'
+LITERAL = r'"(?:[^"\\\n]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^(?:<[^>]*>|[^\s;,<>"\[\]()]*[^\s;,<>"\[\]().]))?'
+TERMS = rf'<[^>]*>|{LITERAL}|[;,\[\]]|[^\s;,<>"\[\]()]*[^\s;,<>"\[\]().]|\.'
 PREFIX = r"(?i)^\s*@?prefix\s+([^\s:]*):\s*<([^>]*)>\s*\.?\s*$"
+_TRIPLE = "struct<s:string,p:string,o:string,o_kind:string,o_lang:string,o_datatype:string>"
 
 
 def statements(spark: SparkSession, path: str) -> DataFrame:
-    """One row (``value``) for each statement or prefix, without comment lines and full stops."""
-    raw = spark.read.option("lineSep", ".\n").text(path)
+    """One row (``value``, ``file``: its document) for each statement or prefix, without comment lines and full stops."""
+    raw = spark.read.option("lineSep", ".\n").text(path).select("value", document_of(F.col("_metadata.file_path")).alias("file"))
     plain = F.regexp_replace(F.regexp_replace("value", r"(?m)^\s*#[^\n]*$", ""), r"^\s+|\s*\.?\s*$", "")
-    return raw.select(plain.alias("value")).where(F.regexp_replace("value", r"\s+", "") != "")
+    return raw.select(plain.alias("value"), "file").where(F.regexp_replace("value", r"\s+", "") != "")
+
 
+def _iri(t: Column, names: Column) -> Column:
+    """IRI of a term in angle brackets or with a prefix; null if it is neither."""
+    prefix, rest = F.regexp_extract(t, r"^([^:]*):", 1), F.regexp_extract(t, r"^[^:]*:(.*)$", 1)
+    plain = F.regexp_replace(rest, r"\\([_~.!$&'()*+,;=/?#@%-])", "$1")
+    return F.when(F.startswith(t, F.lit("<")), unescaped(F.substring(t, F.lit(2), F.length(t) - 2))).when(F.contains(t, F.lit(":")), F.concat(F.try_element_at(names, prefix), plain))
 
-def _literal(t: Column) -> Column:
-    """Text of a quoted term."""
-    return unescaped(F.regexp_extract(t, r'(?s)^"((?:[^"\\]|\\.)*)"', 1))
 
+def _term(t: Column, names: Column, file: Column) -> Column:
+    """``value, kind, lang, datatype`` of a term; a null value for one that is none."""
+    none = F.lit(None).cast("string")
 
-def _term(t: Column, names: Column) -> Column:
-    """``value, kind, lang`` of a term; a null value for one that is none."""
-    prefix, rest = F.regexp_extract(t, r"^([^:]*):", 1), F.regexp_extract(t, r"^[^:]*:(.*)$", 1)
-    made = lambda value, kind, lang=None: F.struct(value.alias("value"), F.lit(kind).alias("kind"), (lang if lang is not None else F.lit(None)).cast("string").alias("lang"))
+    def made(value: Column, kind: str, lang: Column = none, datatype: Column = none) -> Column:
+        return F.struct(value.alias("value"), F.lit(kind).alias("kind"), lang.alias("lang"), datatype.alias("datatype"))
+
+    lang = F.nullif(F.regexp_extract(t, r'(?s)^"(?:[^"\\]|\\.)*"@(.*)$', 1), F.lit(""))
+    of_type = F.nullif(F.regexp_extract(t, r'(?s)^"(?:[^"\\]|\\.)*"\^\^(.*)$', 1), F.lit(""))
+    datatype = _iri(of_type, names)
+    text = F.when(of_type.isNull() | datatype.isNotNull(), unescaped(F.regexp_extract(t, r'(?s)^"((?:[^"\\]|\\.)*)"', 1)))
+    number = F.when(t.rlike(r"^[+-]?\d+$"), "integer").when(t.rlike(r"^[+-]?\d*\.\d+$"), "decimal").when(t.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)[eE][+-]?\d+$"), "double").when(t.isin("true", "false"), "boolean")
     return (
-        F.when(F.startswith(t, F.lit("<")), made(F.substring(t, F.lit(2), F.length(t) - 2), "uri"))
-        .when(F.startswith(t, F.lit('"')), made(_literal(t), "literal", F.nullif(F.regexp_extract(t, r'"@([A-Za-z-]+)$', 1), F.lit(""))))
-        .when(F.startswith(t, F.lit("_:")), made(t, "uri"))
+        F.when(F.startswith(t, F.lit('"')), made(text, "literal", lang, F.nullif(datatype, F.lit(f"{XSD}string"))))
+        .when(F.startswith(t, F.lit("_:")), made(scoped(t, file), "blank"))
         .when(t == "a", made(F.lit(TYPE), "uri"))
-        .when(t.rlike(r"^(?:[+-]?\d[\d.eE+-]*|true|false)$"), made(t, "literal"))
-        .otherwise(made(F.when(F.contains(t, F.lit(":")), F.concat(F.try_element_at(names, prefix), rest)), "uri"))
+        .when(number.isNotNull(), made(t, "literal", none, F.concat(F.lit(XSD), number)))
+        .otherwise(made(_iri(t, names), "uri"))
     )
 
 
-def _triples(value: Column, names: Column) -> Column:
-    """Triples of one statement: after its subject a verb and its objects (between commas), and so on after each semicolon. Null if it does not parse."""
+def _triples(value: Column, names: Column, file: Column) -> Column:
+    """Triples of one part. A stack of subjects and verbs follows the brackets: after a subject a verb and its objects (between commas), and so on after each
+    semicolon; a bracket opens a blank node, whose place in the text names it, and goes on with what holds it. Null if the part does not parse."""
     terms = F.regexp_extract_all(value, F.lit(TERMS), F.lit(0))
-    start = F.struct(F.lit("subject").alias("next"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("string").alias("p"), F.expr("cast(array() as array<struct<s:string,p:string,o:string,o_kind:string,o_lang:string>>)").alias("out"), F.lit(True).alias("ok"))
+    level = "struct<s:string,p:string,next:string,bracket:boolean>"
+    start = F.struct(
+        F.expr("array(named_struct('s', cast(null as string), 'p', cast(null as string), 'next', 'subject', 'bracket', false))").cast(f"array<{level}>").alias("stack"),
+        F.expr(f"cast(array() as array<{_TRIPLE}>)").alias("out"),
+        F.lit(True).alias("ok"),
+        F.lit(0).alias("n"),
+    )
+    seed = F.substring(F.sha1(F.concat_ws("\n", file, value).cast("binary")), 1, 20)
+
+    def lvl(s: Column, p: Column, next_: Column | str, bracket: Column | bool) -> Column:
+        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.struct(s.cast("string").alias("s"), p.cast("string").alias("p"), lit(next_).alias("next"), lit(bracket).alias("bracket"))
 
     def step(state: Column, t: Column) -> Column:
+        n = state["n"] + 1
+        bracket_node = F.concat(F.lit("_:b"), seed, F.lit("n"), n.cast("string"))
+        opens = F.struct(bracket_node.alias("value"), F.lit("blank").alias("kind"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("datatype"))
+        x_of = F.when(t == "[", opens).otherwise(_term(t, names, file))
+
         def moved(x: Column) -> Column:
-            at, mark = state["next"], t.isin(";", ",")
-            known = x["value"].isNotNull()
-            triple = F.struct(state["s"].alias("s"), state["p"].alias("p"), x["value"].alias("o"), x["kind"].alias("o_kind"), x["lang"].alias("o_lang"))
+            stack, top = state["stack"], F.element_at(state["stack"], -1)
+            rest = F.slice(stack, 1, F.size(stack) - 1)
+            at = top["next"]
+            mark = t.isin(";", ",", ".", "]")
             is_object = ~mark & (at == "object")
-            after = F.when(t == ";", "verb").when(t == ",", "object").when(at == "subject", "verb").when(at == "verb", "object").otherwise("mark")
-            fits = F.when(t == ";", at.isin("mark", "verb")).when(t == ",", at == "mark").otherwise(at.isin("subject", "verb", "object") & known)
+            triple = F.struct(top["s"].alias("s"), top["p"].alias("p"), x["value"].alias("o"), x["kind"].alias("o_kind"), x["lang"].alias("o_lang"), x["datatype"].alias("o_datatype"))
+            here = (
+                F.when(t == ";", lvl(top["s"], top["p"], "verb", top["bracket"]))
+                .when(t == ",", lvl(top["s"], top["p"], "object", top["bracket"]))
+                .when(t == ".", lvl(F.lit(None), F.lit(None), "subject", False))
+                .when(at == "subject", lvl(x["value"], F.lit(None), F.when(t == "[", "mark").otherwise("verb"), False))
+                .when(at == "verb", lvl(top["s"], x["value"], "object", top["bracket"]))
+                .otherwise(lvl(top["s"], top["p"], "mark", top["bracket"]))
+            )
+            # a subject in brackets may end the statement or have verbs: both marks and verbs may follow it
+            after_node = F.when(at == "mark", F.when(~mark & (top["p"].isNull()), lvl(top["s"], x["value"], "object", top["bracket"])))
+            below = F.concat(rest, F.array(F.coalesce(after_node, here)))
+            pushed = F.concat(below, F.array(lvl(x["value"], F.lit(None), "verb", True)))
+            new_stack = F.when(t == "]", rest).when((t == "[") & at.isin("subject", "object"), pushed).otherwise(below)
+            is_verb = (at == "verb") | ((at == "mark") & top["p"].isNull())
+            fits = (
+                F.when(t == ";", at.isin("mark", "verb"))
+                .when(t == ",", (at == "mark") & top["p"].isNotNull())
+                .when(t == ".", (at.isin("mark", "verb")) & (F.size(stack) == 1))
+                .when(t == "]", at.isin("mark", "verb") & top["bracket"])
+                .when(t == "[", at.isin("subject", "object"))
+                .when(is_verb, x["value"].isNotNull() & (x["kind"] == "uri"))
+                .when(at == "subject", x["value"].isNotNull() & (x["kind"] != "literal"))
+                .otherwise((at == "object") & x["value"].isNotNull())
+            )
             return F.struct(
-                after.alias("next"),
-                F.when(~mark & (at == "subject"), x["value"]).otherwise(state["s"]).alias("s"),
-                F.when(~mark & (at == "verb"), x["value"]).otherwise(state["p"]).alias("p"),
+                new_stack.alias("stack"),
                 F.when(is_object, F.array_append(state["out"], triple)).otherwise(state["out"]).alias("out"),
                 (state["ok"] & F.coalesce(fits, F.lit(False))).alias("ok"),
+                n.alias("n"),
             )
 
-        return let(_term(t, names), moved)
+        # once something does not fit nothing more is read
+        return F.when(state["ok"], let(x_of, moved)).otherwise(state)
 
     nothing_left = F.regexp_replace(value, rf"{TERMS}|\s+", "") == ""
     found = F.aggregate(terms, start, step)
-    return let(found, lambda f: F.when(f["ok"] & f["next"].isin("mark", "verb") & (F.size(f["out"]) > 0) & nothing_left, f["out"]))
 
+    def whole(f: Column) -> Column:
+        last = F.element_at(f["stack"], -1)
+        ended = (F.size(f["stack"]) == 1) & last["next"].isin("mark", "verb", "subject")
+        return F.when(f["ok"] & ended & (F.size(f["out"]) > 0) & nothing_left, f["out"])
+
+    return let(found, whole)
 
-def read_turtle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Triples (``s, p, o, o_kind, o_lang``, a set) of the files at ``path``, and the statements (``value``) that do not parse."""
-    from .shared import written
 
+def read_turtle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Triples (``s, p, o, o_kind, o_lang, o_datatype``, a set) of the files at ``path``, and the parts (``value``) that do not parse."""
     rows = written(statements(spark, path), "statements")
     is_prefix = F.col("value").rlike(PREFIX)
     declared = rows.where(is_prefix).select(F.regexp_extract("value", PREFIX, 1).alias("prefix"), F.regexp_extract("value", PREFIX, 2).alias("uri")).distinct().limit(MOST_PREFIXES + 1).collect()
@@ -86,14 +145,16 @@ def read_turtle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         raise ValueError("too many prefixes, or one with two meanings")
     pairs = [F.lit(x) for r in declared for x in (r["prefix"], r["uri"])]
     names = F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")
-    parsed = rows.where(~is_prefix).select("value", _triples(F.col("value"), names).alias("t"))
+    parsed = written(rows.where(~is_prefix).select("value", _triples(F.col("value"), names, F.col("file")).alias("t")), "parsed")
     return parsed.select(F.explode("t").alias("t")).select("t.*").distinct(), parsed.where("t is null").select("value")
 
 
-def to_turtle(triples: DataFrame) -> DataFrame:
-    """One Turtle statement (``value``) for each subject: its verbs and objects in order."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
-    said = F.when(F.col("o_kind") == "uri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(F.concat(F.lit('"'), text, F.lit('"'), F.coalesce(F.concat(F.lit("@"), "o_lang"), F.lit(""))))
-    verbs = triples.groupBy("s", "p").agg(F.array_join(F.array_sort(F.collect_set(said)), ", ").alias("objects"))
+def to_turtle(triples: DataFrame, *, most: int = MOST_OBJECTS) -> DataFrame:
+    """Turtle statements (``value``): the verbs and objects of a subject in order. A subject with more than ``most`` objects is written in several
+    statements of about that size, so that none is gathered whole."""
+    said = triples.select("s", "p", object_term(triples).alias("o")).distinct()
+    sizes = said.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    split = said.join(sizes, "s", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("p", "o"), F.ceil(F.col("n") / most)), F.lit(0)))
+    verbs = split.groupBy("s", "part", "p").agg(F.array_join(F.array_sort(F.collect_list("o")), ", ").alias("objects"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("p", "objects"))), lambda x: F.concat(F.lit("<"), x["p"], F.lit("> "), x["objects"]))
-    return verbs.groupBy("s").agg(F.concat(F.lit("<"), F.col("s"), F.lit("> "), F.array_join(lines, " ;\n    "), F.lit(" .")).alias("value")).select("value")
+    return verbs.groupBy("s", "part").agg(F.concat(term(F.col("s"), subject_kind(F.col("s"))), F.lit(" "), F.array_join(lines, " ;\n    "), F.lit(" .")).alias("value")).select("value")

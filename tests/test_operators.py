@@ -1,9 +1,15 @@
 from __future__ import annotations
 
+import os
+import random
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import analytics, components, curation, events, filters, graphs, matching, paging, resolve, triples
+from quire.operators import analytics, blank_nodes, components, curation, events, filters, graphs, matching, paging, resolve, triples
 from quire.sources import readers, writers
 
 
@@ -75,7 +81,7 @@ def test_ntriples_round_trip(spark):
     rows = [("a", "p", 'x "y"\n\\z', "literal", "he"), ("a", "q", "b", "uri", None), ("a", "p", "", "literal", None)]
     t = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_lang string")
     lines = triples.to_ntriples(t).union(spark.createDataFrame([("no triple",)], "value string"))
-    assert sorted(map(tuple, triples.from_ntriples(lines).collect()), key=str) == sorted(rows, key=str)
+    assert sorted(map(tuple, triples.from_ntriples(lines).drop("o_datatype").collect()), key=str) == sorted(rows, key=str)
 
 
 def test_path_ends_in_cycles(spark):
@@ -283,15 +289,121 @@ x:d unknown:p x:e .
 """
     )
     good, bad = turtle.read_turtle(spark, str(tmp_path / "a.ttl"))
-    got = {(r["s"], r["p"], r["o"], r["o_kind"], r["o_lang"]) for r in good.collect()}
+    rows = good.collect()
+    got = {(r["s"], r["p"], r["o"], r["o_kind"], r["o_datatype"]) for r in rows if r["s"] == "http://d/b"}
     assert got == {
-        ("http://d/b", "http://x/n", "12", "literal", None),
-        ("http://d/b", "http://x/n", "true", "literal", None),
+        ("http://d/b", "http://x/n", "12", "literal", triples.XSD + "integer"),
+        ("http://d/b", "http://x/n", "true", "literal", triples.XSD + "boolean"),
         ("http://d/b", "http://x/see", "http://y#z", "uri", None),
         ("http://d/b", "http://x/see", "http://x/a", "uri", None),
-        ("http://d/b", "http://x/see", "7", "literal", None),
+        ("http://d/b", "http://x/see", "7", "literal", "http://x/int"),
     }
-    assert len(bad.collect()) == 3
+    nested = {r["p"]: r for r in rows if r["s"].startswith("_:")}
+    assert len(rows) == 7 and nested["http://x/p"]["o"] == nested["http://x/q"]["s"] and nested["http://x/p"]["o_kind"] == "blank"
+    assert len(bad.collect()) == 2
+
+
+TURTLE = """@prefix x: <http://x/> .
+x:a x:p "1" , 1 , "1"^^x:own , 1.5 , 2e3 , "de"@de-1996 , "\\u05D0\\U0001F600\\t" . x:b x:p x:c.x:one , x:d .
+[] x:p x:lonely .
+[ x:p [ x:q _:n , [ x:r "deep" ] ] ; x:s 1 ] x:after x:e .
+_:n x:self _:n .
+x:list x:p (1 2) .
+x:w x:p 'single' .
+[ x:p ] .
+x:y x:p x:z ] .
+"""
+
+
+def test_turtle_of_nested_nodes_and_datatypes(spark, tmp_path):
+    from quire.sources import turtle
+
+    (tmp_path / "a.ttl").write_text(TURTLE)
+    good, bad = turtle.read_turtle(spark, str(tmp_path))
+    rows = good.collect()
+    assert {(r["o"], r["o_datatype"], r["o_lang"]) for r in rows if r["s"] == "http://x/a"} == {("1", None, None), ("1", triples.XSD + "integer", None), ("1", "http://x/own", None), ("1.5", triples.XSD + "decimal", None), ("2e3", triples.XSD + "double", None), ("de", None, "de-1996"), ("\u05d0\U0001f600\t", None, None)}
+    assert {r["o"] for r in rows if r["s"] == "http://x/b"} == {"http://x/c.x:one", "http://x/d"}
+    by = {(r["s"], r["p"].removeprefix("http://x/")): r["o"] for r in rows}
+    top = next(s for s, p in by if p == "after")
+    inner = by[top, "p"]
+    deep = [r["o"] for r in rows if r["s"] == inner]
+    assert by[top, "s"] == "1" and len(deep) == 2 and sorted(p for s, p in by if s in deep) == ["r", "self"]
+    assert len(bad.collect()) == 4
+    graph = good.select("s", "p", "o", "o_kind", "o_lang", "o_datatype")
+    turtle.to_turtle(graph, most=2).write.text(str(tmp_path / "again"))
+    again, unread = turtle.read_turtle(spark, str(tmp_path / "again"))
+    assert unread.isEmpty() and again.count() == graph.count() and blank_nodes.difference(graph, again).isEmpty()
+
+
+def test_files_keep_their_own_blank_nodes(spark, tmp_path):
+    from quire.sources import readers, turtle
+
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.ttl").write_text(f'_:b1 <http://p> "{name}" .\n')
+        (tmp_path / f"{name}.nt").write_text(f'_:b1 <http://p> "{name}"^^<http://t> .\n_:b1 <http://q> _:b2 . # why\n\n# no\nwrong\n<http://s> <http://p> "\\u05D0\\n"@he-x1 .\n')
+    good, _ = turtle.read_turtle(spark, str(tmp_path / "*.ttl"))
+    assert good.select("s").distinct().count() == 2
+    good, bad = readers.read_ntriples(spark, str(tmp_path / "*.nt"))
+    assert good.where("o_kind = 'blank'").select("s").distinct().count() == 2 and good.count() == 5 and [r["value"] for r in bad.collect()] == ["wrong", "wrong"]
+    assert {r["o"] for r in good.where("o_lang = 'he-x1'").collect()} == {"\u05d0\n"} and {r["o_datatype"] for r in good.where("o in ('a', 'b')").collect()} == {"http://t"}
+    again = triples.from_ntriples(triples.to_ntriples(good))
+    assert again.exceptAll(good).isEmpty() and again.count() == good.count()
+
+
+GRAPH = "s string, p string, o string, o_kind string, o_lang string, o_datatype string"
+
+
+def _renamed(rows, rng):
+    names = sorted({x for r in rows for x in (r[0], r[2]) if x.startswith("_:")})
+    new = dict(zip(names, (f"_:n{k}" for k in rng.sample(range(1000), len(names))), strict=True))
+    out = [(new.get(s, s), p, new.get(o, o), k, lang, t) for s, p, o, k, lang, t in rows]
+    rng.shuffle(out)
+    return out
+
+
+def _random_graph(rng, shape):
+    link = lambda a, b, p="p": (f"_:{a}", p, f"_:{b}", "blank", None, None)
+    ring = lambda n, base=0: [link(base + i, base + (i + 1) % n) for i in range(n)]
+    if shape == "rings":  # six in one ring, and twice three
+        return ring(6) + ring(3, 10) + ring(3, 20)
+    if shape == "twins":
+        return [link("hub", i) for i in range(40)] + [(f"_:{i}", "v", "1", "literal", None, None) for i in range(40)]
+    if shape == "copies":
+        return [x for b in range(0, 60, 3) for x in (link(b, b + 1), link(b + 1, b + 2), (f"_:{b}", "v", str(b % 2), "literal", None, None))]
+    return [link(rng.randrange(12), rng.randrange(12), rng.choice("pq")) for _ in range(25)] + [(f"_:{i}", "v", str(i % 3), "literal", None, "t" if i % 2 else None) for i in range(12)]
+
+
+@pytest.mark.parametrize("shape", ["rings", "twins", "copies", "random"])
+def test_equal_graphs_have_no_difference(spark, shape):
+    rng = random.Random(shape)
+    rows = sorted(set(_random_graph(rng, shape)))
+    changed = [*rows[:-1], (*rows[-1][:1], "changed", *rows[-1][2:])]
+    a, b, other = ({tuple(r) for r in blank_nodes.canonical(spark.createDataFrame(_renamed(x, rng), GRAPH)).collect()} for x in (rows, rows, changed))
+    nodes = lambda g: {x for r in g for x in (r[0], r[2]) if x.startswith("_:")}
+    assert a == b != other and len(a) == len(rows) and len(nodes(a)) == len(nodes(rows))
+
+
+def test_rings_of_another_size_differ(spark):
+    link = lambda a, b: (f"_:{a}", "p", f"_:{b}", "blank", None, None)
+    six, threes = [link(i, (i + 1) % 6) for i in range(6)], [link(b + i, b + (i + 1) % 3) for b in (0, 3) for i in range(3)]
+    a, b = spark.createDataFrame(six, GRAPH), spark.createDataFrame(threes, GRAPH)
+    assert blank_nodes.difference(a, b).count() == 12
+    assert blank_nodes.union(b, b).count() == 12
+    assert blank_nodes.difference(a.where("false"), a.where("false")).isEmpty()
+
+
+def test_shapes_by_real_datatypes(spark):
+    rows = [("a", "type", "T", "uri", None, None), ("a", "n", "5", "literal", None, None), ("a", "n", "6", "literal", None, triples.XSD + "integer"), ("a", "n", "x", "literal", None, triples.XSD + "integer"), ("a", "n", "7", "literal", "en", None), ("a", "m", "_:b", "blank", None, None), ("a", "lo", "3", "literal", None, None), ("a", "hi", "2", "literal", None, None)]
+    graph = spark.createDataFrame(rows, GRAPH)
+    shapes = [triples.Shape("T", "n", "datatype", "integer"), triples.Shape("T", "n", "datatype", triples.XSD + "string"), triples.Shape("T", "m", "node_kind", "uri"), triples.Shape("T", "lo", "less_than", "hi"), triples.Shape("T", "none", "min_count", 1), triples.Shape("T", "n", "max_count", 3)]
+    got = sorted((r["path"], r["kind"], r["value"] or "") for r in triples.violations(graph, shapes).collect())
+    assert got == [("lo", "less_than", "3"), ("m", "node_kind", "_:b"), ("n", "datatype", "5"), ("n", "datatype", "6"), ("n", "datatype", "7"), ("n", "datatype", "7"), ("n", "datatype", "x"), ("n", "datatype", "x"), ("n", "max_count", ""), ("none", "min_count", "")]
+
+
+def test_shared_folder_without_a_setting():
+    code = "from pyspark.sql import SparkSession\nfrom quire.sources.shared import shared_dir, written\ns = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\nassert written(s.range(3), 't').count() == 3 and shared_dir(s) == shared_dir(s.newSession())\n"
+    env = {k: v for k, v in os.environ.items() if k not in ("SPARK_CONF_DIR", "PYSPARK_SUBMIT_ARGS")} | {"PYTHONPATH": str(Path(__file__).resolve().parent.parent), "SPARK_CONF_DIR": "/nonexistent"}
+    assert subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, timeout=120).returncode == 0
 
 
 def test_turtle_names_and_labels(spark, tmp_path):
