@@ -6,7 +6,7 @@ walks the files of its own ``prefix`` nearest pivots, which adds up the footrule
 distance between the two orders (a pivot that one of them has not posted counts as its next rank), and the nearest by footrule are ranked again by their exact
 inner product.
 
-Rows are dealt into blocks of bounded size, each with inverted files of its own, and every block of queries meets every block of rows. A block passes on
+Rows are dealt into blocks of bounded size, each with inverted files of its own, which are written once and searched by every block of queries. A block passes on
 ``DEPTH`` rows for each neighbour asked for and a fixed share of its rows to the exact ranking. Equal vectors
 share one entry.
 """
@@ -84,30 +84,61 @@ def _orders(column, prefix: int) -> np.ndarray:
 class InvertedFiles:
     """For each pivot the rows that posted it, and the rank that it has there."""
 
-    def __init__(self, orders: np.ndarray, pivots: int):
-        self.n, self.prefix = orders.shape
+    def __init__(self, n: int, prefix: int, starts: np.ndarray, rows: np.ndarray, ranks: np.ndarray):
+        self.n, self.prefix, self.starts, self.rows, self.ranks = n, prefix, starts, rows, ranks
+        self.kind = np.uint16 if prefix < 360 else np.uint32  # holds the sum of all ranks
+        self.open: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def of(cls, orders: np.ndarray, pivots: int) -> InvertedFiles:
+        n, prefix = orders.shape
         by_pivot = np.argsort(orders, axis=None, kind="stable")
-        self.starts = np.searchsorted(orders.ravel()[by_pivot], np.arange(pivots + 1))
-        self.rows = (by_pivot // self.prefix).astype(np.int32)
-        self.ranks = (by_pivot % self.prefix).astype(np.float32)
+        starts = np.searchsorted(orders.ravel()[by_pivot], np.arange(pivots + 1))
+        return cls(n, prefix, starts.astype("<i8"), (by_pivot // prefix).astype("<i4"), (by_pivot % prefix).astype("<u2"))
+
+    def _file(self, pivot: int) -> np.ndarray:
+        """What each row of the block adds to the nearness for this pivot: the places from its rank to the end of the prefix."""
+        if pivot not in self.open:
+            some = slice(self.starts[pivot], self.starts[pivot + 1])
+            self.open[pivot] = np.zeros(self.n, self.kind)
+            self.open[pivot][self.rows[some]] = self.prefix - self.ranks[some]
+        return self.open[pivot]
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
         """Distance of each row's order to one order. Without a shared pivot it is ``prefix * (prefix + 1)``; a pivot shared at ranks a and b
-        takes ``2 * (prefix - max(a, b))`` off that."""
-        out = np.full(self.n, self.prefix * (self.prefix + 1), np.float32)
-        for rank, pivot in enumerate(order):
-            some = slice(self.starts[pivot], self.starts[pivot + 1])
-            out[self.rows[some]] -= 2 * (self.prefix - np.maximum(self.ranks[some], np.float32(rank)))
-        return out
+        takes ``2 * (prefix - max(a, b))`` off that, which is twice the smaller of what the two add."""
+        near, one = np.zeros(self.n, self.kind), np.empty(self.n, self.kind)
+        for rank, pivot in enumerate(order.tolist()):
+            np.minimum(self._file(pivot), self.kind(self.prefix - rank), out=one)
+            near += one
+        return self.prefix * (self.prefix + 1) - 2 * near.astype(np.int64)
+
+
+_INDEX = "block int, n int, cids binary, vectors binary, starts binary, rows binary, ranks binary"
+
+
+def _index_block(dim: int, pivots: int, prefix: int):
+    """One row for a block of the index: its ids, vectors and inverted files."""
+
+    def run(key, entries):
+        files = InvertedFiles.of(_orders(entries["posted"], prefix), pivots)
+        vectors = _matrix(entries["v"], dim).astype("<f8")
+        parts = [entries["cid"].to_numpy().astype("<i8"), vectors, files.starts, files.rows, files.ranks]
+        names = ["block", "n", "cids", "vectors", "starts", "rows", "ranks"]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([files.n], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=names)
+
+    return run
 
 
-def _search_cell(dim: int, pivots: int, prefix: int, k: int, depth: int, share: float):
-    """Searches one block of rows for one block of queries: the ``k`` best of each query by exact score."""
+def _search_cell(dim: int, prefix: int, k: int, depth: int, share: float):
+    """Searches one block of the index for one block of queries: the ``k`` best of each query by exact score."""
 
-    def run(key, queries: pa.Table, entries: pa.Table) -> pa.Table:
-        if not queries.num_rows or not entries.num_rows:
+    def run(key, queries: pa.Table, index: pa.Table) -> pa.Table:
+        if not queries.num_rows or not index.num_rows:
             return _FOUND.empty_table()
-        ev, files, cids = _matrix(entries["v"], dim), InvertedFiles(_orders(entries["posted"], prefix), pivots), entries["cid"].to_numpy()
+        block = index.to_pylist()[0]
+        cids, ev = np.frombuffer(block["cids"], "<i8"), np.frombuffer(block["vectors"], "<f8").reshape(block["n"], dim)
+        files = InvertedFiles(block["n"], prefix, np.frombuffer(block["starts"], "<i8"), np.frombuffer(block["rows"], "<i4"), np.frombuffer(block["ranks"], "<u2"))
         n = depth + math.ceil(share * len(cids))
         qv, orders, qids = _matrix(queries["qv"], dim), _orders(queries["q_posted"], prefix), queries["qid"].to_numpy()
         out = []
@@ -149,11 +180,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, pivots: int =
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n)).cast("int")
     asks = posted.join(distinct, "cid", "left_semi").select(F.col("cid").alias("qid"), F.col("v").alias("qv"), F.col("posted").alias("q_posted"), part(query_blocks).alias("q_block"), spread(row_blocks).alias("row_block"))
-    rows_dealt = posted.select("cid", "v", "posted", part(row_blocks).alias("r_block"), spread(query_blocks).alias("query_block"))
+    index = written(posted.withColumn("block", part(row_blocks)).groupBy("block").applyInArrow(_index_block(size["dim"], len(sample), prefix), _INDEX), "index")
     cell = lambda r, q: F.col(r) * query_blocks + F.col(q)
     left = asks.select(cell("row_block", "q_block").alias("cell"), "qid", "qv", "q_posted")
-    right = rows_dealt.select(cell("r_block", "query_block").alias("cell"), "cid", "v", "posted")
-    run = _search_cell(size["dim"], len(sample), prefix, k + 1, depth * k, share)
+    right = index.withColumn("query_block", spread(query_blocks)).select(cell("block", "query_block").alias("cell"), *index.columns)
+    run = _search_cell(size["dim"], prefix, k + 1, depth * k, share)
     found = written(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(run, "qid long, cid long, score double"), "found")
 
     # the k + 1 best vectors hold the k + 1 best rows: one of them may be the query's own

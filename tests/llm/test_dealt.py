@@ -94,7 +94,7 @@ def test_footrule_of_inverted_files():
     rng = np.random.default_rng(6)
     pivots, prefix = 30, 9
     orders = np.array([rng.permutation(pivots)[:prefix] for _ in range(40)]).astype("<u2")
-    files = permutation_index.InvertedFiles(orders, pivots)
+    files = permutation_index.InvertedFiles.of(orders, pivots)
     rank = lambda o: {p: r for r, p in enumerate(o)}
     for q in orders[:10]:
         want = [sum(abs(rank(q).get(p, prefix) - rank(o).get(p, prefix)) for p in range(pivots)) for o in orders]
