@@ -151,7 +151,10 @@ def placed(docs: DataFrame, weights: dict[str, float | Decimal | Fraction] | Non
 def mixed(docs: DataFrame, weights: dict[str, float | Decimal | Fraction] | None = None, *, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """All rows of ``docs``, all columns unchanged, in the order of the mix; rows without a slot come last."""
     rows, number = numbered(docs)
-    plan = written(_plan(rows, number, weights, block_docs).select(number, F.struct(F.col("slot").isNull().alias("without"), "slot", "pos", number).alias("_place")), "plan")
-    joined = rows.join(plan, number)
-    ordered = joined.repartitionByRange(shuffle_partitions(docs.sparkSession), plan["_place"]).sortWithinPartitions(plan["_place"])
-    return ordered.select(*(rows[c] for c in docs.columns))
+    n = shuffle_partitions(docs.sparkSession)
+    place = F.struct(F.col("slot").isNull().alias("without"), "slot", "pos", number).alias("_place")
+    # the plan is cut into ranges, not the texts: these are joined and dealt once
+    ranges = _plan(rows, number, weights, block_docs).select(number, place).repartitionByRange(n, "_place")
+    plan = written(ranges.withColumn("_range", F.spark_partition_id()), "plan")
+    dealt = rows.join(plan, number).repartitionById(n, plan["_range"]).sortWithinPartitions(plan["_place"])
+    return dealt.select(*(rows[c] for c in docs.columns))

@@ -410,6 +410,14 @@ def test_rows_of_weight_zero_and_of_one_id_are_placed(spark):
     assert mixing.mix_plan(docs, {}).where("slot is null").count() == 300
 
 
+def test_mixed_is_in_the_order_of_the_plan(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i}", None, "abcd"[i * i % 4], None) for i in range(700)], DOCS)
+    plan = sorted(mixing.mix_plan(docs).collect(), key=lambda r: (r["slot"], r["pos"]))
+    mixing.mixed(docs).write.parquet(str(tmp_path / "m"))
+    parts = sorted((tmp_path / "m").glob("part-*"))
+    assert len(parts) > 1 and [r["doc_id"] for f in parts for r in spark.read.parquet(str(f)).collect()] == [r["doc_id"] for r in plan]
+
+
 def test_mixed_keeps_rows_and_columns(spark):
     docs = odd_rows(spark)
     out = mixing.mixed(docs)
