@@ -64,8 +64,17 @@ def duplicate_status(*surfaces: Column) -> Column:
 
 
 def fair_order(keys: DataFrame, kind: str, key: str) -> DataFrame:
-    """Keys with ``turn`` and ``kind``, to be taken in this order: the first of each kind, then the second of each, so that no kind is always last."""
-    return keys.withColumn("turn", F.row_number().over(Window.partitionBy(kind).orderBy(key)))
+    """Keys with ``turn`` and ``kind``, to be taken in this order: the first of each kind, then the second of each, so that no kind is always last. Turns are
+    places in a sort of all keys less the first of the kind, so a kind of any size is in many tasks."""
+    from quire.sources.shared import written
+
+    from .paging import ordinals
+
+    at = F.struct(F.col(kind).alias("a"), F.col(key).alias("b"))
+    placed = written(ordinals(keys.select(at.alias("_at"), F.struct(*keys.columns).alias("_row")), "_at"), "turns")
+    firsts = placed.groupBy(F.col("_at.a").alias("_kind")).agg(F.min("ordinal").alias("_first"))
+    turned = placed.join(firsts, F.col("_at.a").eqNullSafe(F.col("_kind")))
+    return turned.select("_row.*", (F.col("ordinal") - F.col("_first") + 1).cast("int").alias("turn"))
 
 
 def attribute_hits(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -101,11 +110,12 @@ def single_or_none(values: Column) -> Column:
 
 def in_type(rows: DataFrame, types: DataFrame, subclass: DataFrame, roots: list[str]) -> DataFrame:
     """Rows (``id``) of which a type (``types``: ``id, type``) is one of ``roots`` or below it (``subclass``: ``s, o``)."""
-    from .triples import path_plus
+    from .paths import connected, star, step
 
-    spark = rows.sparkSession
-    up = path_plus(subclass.select("s", F.lit("subclass").alias("p"), "o", F.lit("uri").alias("o_kind")), "subclass").where(F.col("o").isin(*roots)).select(F.col("s").alias("type"))
-    wanted = up.union(spark.createDataFrame([(x,) for x in roots], "type string")).distinct()
+    above = rows.sparkSession.createDataFrame([(x,) for x in roots], "o string")
+    graph = subclass.select("s", F.lit("subclass").alias("p"), "o", F.lit("uri").alias("o_kind"))
+    # from the roots down: what is below none of them is never walked
+    wanted = connected(graph, star(step("subclass")), ends=above).select(F.col("s").alias("type")).distinct()
     return rows.join(types.join(wanted, "type", "left_semi").select("id").distinct(), "id", "left_semi")
 
 
