@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cascades, curation, documents, exports, items, knowledge, records, relational, review, semantics, texts  # noqa: F401  they register their queries
+from . import cascades, curation, documents, exports, items, knowledge, records, relational, review, semantics, sources, texts  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES, Tables
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
