@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import mining, releases
-from quire.sources import indexes, readers
+from quire.sources import documents, imports, indexes, readers
 
 XML = """<collection xmlns="http://www.loc.gov/MARC21/slim">
 <record><controlfield tag="001">1</controlfield><datafield tag="100" ind1="1" ind2=" "><subfield code="a">Maimonides, Moses</subfield><subfield code="d">1138-1204</subfield></datafield>
@@ -86,3 +89,45 @@ def test_release_digests_locate_a_change(spark):
     assert apart == {level: 1 for level in range(releases.LEVELS + 1)}
     none = releases.tree(a.where("false"))
     assert none.count() == 0 and releases.release_digest(none, {}) and releases.changed(a.where("false"), b, none, y).count() == 4000
+
+
+def test_bad_rows_do_not_stop_a_load(spark, tmp_path):
+    fields = [imports.Field("id", "integer"), imports.Field("name", required=True), imports.Field("day", "date"), imports.Field("ok", "boolean"), imports.Field("absent", "number")]
+    rows = [(1, " 1 ", "a", "2020-02-30", "yes"), (2, "x", "", None, "maybe"), (3, "3", "c", "2020-02-29", ""), (4, "3", "d", None, "FALSE"), (5, None, "e", None, None)]
+    good, bad = imports.checked(spark.createDataFrame(rows, "line int, id string, name string, day string, ok string"), fields, ["id"])
+    assert [tuple(r) for r in good.collect()] == [(3, "d", None, False, None)]
+    assert {r["line"]: r["reasons"] for r in bad.collect()} == {1: ["day: no date"], 2: ["id: no integer", "name: missing", "ok: no boolean"], 3: ["repeated"], 5: ["id: missing"]}
+    store = imports.Store(spark, f"file://{tmp_path}/s", "id long, name string, day date, ok boolean, absent double")
+    assert store.version() == 0 and store.read().count() == 0
+    assert store.upsert(good) == {"added": 1, "changed": 0, "same": 0, "version": 1} and store.upsert(good) == {"added": 0, "changed": 0, "same": 1, "version": 1}
+    assert store.upsert(good.withColumn("name", F.lit("new")).unionByName(good.withColumn("id", F.lit(9).cast("long")))) == {"added": 1, "changed": 1, "same": 0, "version": 2}
+    assert {r["id"]: r["name"] for r in store.read().collect()} == {3: "new", 9: "d"} and store.read(1).first()["name"] == "d"
+    (tmp_path / "s" / "half-written").mkdir()
+    assert store.read().count() == 2
+
+
+@pytest.mark.parametrize("n", [0, 1, 300])
+def test_documents_are_valid_and_resume(spark, tmp_path, n):
+    items = spark.createDataFrame([(i, f'say "{i}"', None) for i in range(n)], "id int, text string, nothing int")
+    path = f"file://{tmp_path}/doc"
+    whole = lambda: "".join(Path(f.removeprefix("file:")).read_text() for f, _, _ in documents.offsets(spark, path))
+    write = lambda **more: documents.write_document(items, path, order=["id"], header={"name": "é", "n": n} | more, parts=5)
+    assert write() == [0, 1, 2, 3, 4]
+    first = whole()
+    assert json.loads(first) == {"name": "é", "n": n, "items": [{"id": i, "text": f'say "{i}"', "nothing": None} for i in range(n)]}
+    at = documents.offsets(spark, path)
+    assert [a for _, a, _ in at] == [sum(k for *_, k in at[:i]) for i in range(len(at))] and sum(k for *_, k in at) == len(first.encode())
+    (tmp_path / "doc" / "parts" / "00003" / "_SUCCESS").unlink()
+    assert write() == [3] and whole() == first and write() == []
+    with pytest.raises(ValueError):
+        write(other=1)
+
+
+def test_history_of_one_entity(spark, tmp_path):
+    events = spark.createDataFrame([(1, "a", "x", "create", "2020"), (2, "a", "y", "patch", "2019"), (3, "b", "x", "create", "2018")], "id int, entity_type string, entity_id string, op string, created_at string")
+    path = f"file://{tmp_path}/h"
+    documents.export_history(events, path, project="p", entity_type="a", entity_id="x")
+    text = "".join(Path(f.removeprefix("file:")).read_text() for f, _, _ in documents.offsets(spark, path))
+    assert json.loads(text) == {"project_id": "p", "entity_type": "a", "entity_id": "x", "event_count": 1, "events": [{"id": 1, "entity_type": "a", "entity_id": "x", "op": "create", "created_at": "2020"}]}
+    with pytest.raises(ValueError):
+        documents.export_history(events, path, project="p", entity_type="a")
