@@ -145,7 +145,7 @@ def placed(docs: DataFrame, weights: dict[str, float | Decimal | Fraction] | Non
     """All rows of ``docs`` with their ``slot`` and ``pos`` in the mix, each row its own place. Columns of these names in ``docs`` are left out."""
     rows, number = numbered(docs.drop("slot", "pos"))
     plan = written(_plan(rows, number, weights, block_docs).select(number, "slot", "pos"), "plan")
-    return rows.join(plan, number).drop(number)
+    return written(rows.join(plan, number).drop(number), "placed")  # what follows reads it more than once
 
 
 def mixed(docs: DataFrame, weights: dict[str, float | Decimal | Fraction] | None = None, *, block_docs: int = BLOCK_DOCS) -> DataFrame:
