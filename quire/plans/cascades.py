@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators import cascades
+from quire.operators import cascades, guards
 
 from .registry import Tables, query
 from .relational import _TRI
@@ -91,3 +91,34 @@ def place_cascade(t: Tables) -> DataFrame:
     main = F.when(F.col("p_partkey") % 4 == 0, _key()).otherwise(F.col("p_name"))
     places = t.part.select(F.col("p_partkey").alias("place_id"), qid.alias("qid"), F.array(main).alias("main_keys"))
     return cascades.place(_orders(t).select("query_id", "key"), _names(t).select("key", F.col("id").alias("place_id")), places)
+
+
+_NAMES8 = ["יעקב", "משה בן מימון הספרדי", 'א"א', "M. J.", "Anonymous of Fez", "אונקלוס,", "Levi ben Gershom", "שלמה כהן"]
+_NAME_LIST = "[" + ", ".join("'" + n + "'" for n in _NAMES8) + "]"
+
+
+@query(f"""WITH m AS (SELECT o_orderkey AS id, {_NAME_LIST}[1 + o_orderkey % 8] AS name, ['scribe', 'author', 'Copyist', 'owner'][1 + o_custkey % 4] AS role, CASE WHEN o_custkey % 5 > 0 THEN 1000 + o_custkey % 950 END AS year,
+               CASE WHEN o_orderkey % 3 > 0 THEN 'a' || o_custkey END AS authority_id, CASE WHEN o_orderkey % 4 > 0 THEN 'v' || o_custkey END AS cluster_id, CASE WHEN o_orderkey % 5 = 0 THEN 'Q' || o_custkey END AS item_id,
+               CASE WHEN o_custkey % 3 = 0 THEN 'Jacob son of Isaac' WHEN o_custkey % 3 = 1 THEN 'Jacob' END AS latin, CASE WHEN o_orderkey % 7 > 1 THEN 950 + o_orderkey % 990 END AS born, CASE WHEN o_orderkey % 6 > 1 THEN 1000 + (o_orderkey * 7) % 1000 END AS died,
+               o_orderkey % 9 = 0 AS over_merged, o_orderkey % 10 = 0 AS disagrees, o_orderkey % 4 = 1 AS confirms, o_orderkey % 5 = 0 AS has_item, o_orderkey % 23 = 0 AS conflict FROM orders),
+          f AS (SELECT *, id % 8 IN (2, 3, 4) AS f1, id % 8 = 5 AS f2, coalesce(died < born, false) AS f3, coalesce(born >= 1900, false) AND NOT coalesce(year >= 1900, false) AS f4,
+               coalesce(born > year + 5, false) OR (lower(role) IN ('scribe', 'copyist') AND coalesce(died < year - 80, false)) OR (born IS NULL AND coalesce(died > year + 120, false)) AS f5, id % 8 IN (0, 7) AND coalesce(latin, '') = 'Jacob son of Isaac' AS f6 FROM m),
+          g AS (SELECT *, CASE WHEN f1 THEN ['placeholder_name'] WHEN f2 THEN ['non_person_heading'] ELSE list_filter([CASE WHEN f3 THEN 'biographical_inconsistency' END, CASE WHEN f4 THEN 'modern_person' END, CASE WHEN f5 THEN 'date_conflict' END,
+               CASE WHEN f6 THEN 'short_name_homonym' END, CASE WHEN over_merged THEN 'over_merged' END, CASE WHEN disagrees THEN 'disagrees' END, CASE WHEN confirms THEN 'confirms' END, CASE WHEN has_item THEN 'has_item' END, CASE WHEN conflict THEN 'conflict' END], lambda x: x IS NOT NULL) END AS flags,
+               CASE WHEN f1 THEN 'placeholder_name' WHEN f2 THEN 'non_person_heading' WHEN f5 THEN 'date_conflict' WHEN f4 THEN 'modern_person' WHEN f3 THEN 'biographical_inconsistency' END AS reason FROM f),
+          b AS (SELECT *, (authority_id IS NOT NULL)::INT + (cluster_id IS NOT NULL)::INT + has_item::INT AS n FROM g),
+          c AS (SELECT *, CASE WHEN reason IS NOT NULL OR f6 OR over_merged OR conflict OR n = 0 THEN 'low' WHEN n >= 2 AND latin IS NOT NULL THEN CASE WHEN disagrees THEN 'medium' ELSE 'high' END WHEN disagrees THEN 'low' WHEN confirms THEN 'high' ELSE 'medium' END AS confidence FROM b)
+          SELECT id, array_to_string(flags, ',') AS flags, reason, confidence, confidence = 'high' AS matched, CASE WHEN reason IS NULL THEN authority_id END AS authority_id,
+                 CASE WHEN reason IS NULL AND NOT over_merged THEN cluster_id END AS cluster_id, CASE WHEN reason IS NULL AND NOT over_merged THEN item_id END AS item_id FROM c""")
+def evaluated_matches(t: Tables) -> DataFrame:
+    """Matches of names good and bad, with lives that fit their manuscript and lives that do not, under all guards."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda options, n: F.element_at(F.array(*map(F.lit, options)), (n + 1).cast("int"))
+    rows = t.orders.select(
+        k.alias("id"), pick(_NAMES8, k % 8).alias("name"), pick(["scribe", "author", "Copyist", "owner"], c % 4).alias("role"), F.when(c % 5 > 0, 1000 + c % 950).alias("year"),
+        F.when(k % 3 > 0, F.concat(F.lit("a"), c)).alias("authority_id"), F.when(k % 4 > 0, F.concat(F.lit("v"), c)).alias("cluster_id"), F.when(k % 5 == 0, F.concat(F.lit("Q"), c)).alias("item_id"),
+        F.when(c % 3 == 0, "Jacob son of Isaac").when(c % 3 == 1, "Jacob").alias("latin"), F.when(k % 7 > 1, 950 + k % 990).alias("born"), F.when(k % 6 > 1, 1000 + k * 7 % 1000).alias("died"),
+        (k % 9 == 0).alias("over_merged"), (k % 10 == 0).alias("disagrees"), (k % 4 == 1).alias("confirms"), (k % 5 == 0).alias("has_item"), (k % 23 == 0).alias("conflict"),
+    )
+    found = guards.evaluated(rows)
+    return found.select("id", F.array_join("flags", ",").alias("flags"), "reason", "confidence", "matched", "authority_id", "cluster_id", "item_id")
