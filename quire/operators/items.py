@@ -238,15 +238,28 @@ def merge_fresh(streamed: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return stored.unionByName(kept.select(*stored.columns))
 
 
-def is_judge_failure(overall: Column, failed: Column, status: Column, error: Column, mark: str = "judge_failure") -> Column:
-    """Whether a verdict says that the judge failed, not what it judged."""
-    return F.coalesce(overall == mark, F.lit(False)) | F.coalesce(failed, F.lit(False)) | F.coalesce(status == "provider_error", F.lit(False)) | clean(error).isNotNull()
-
-
-def session_outcome(*, unavailable: Column, uncached: Column, judged: Column, scope: Column, error: Column, exit_code: Column, saw_exit: Column, failures: Column) -> Column:
-    """``complete`` only for a session that judged its whole scope without an error, else ``partial``."""
-    broken = (unavailable & (uncached > 0)) | clean(error).isNotNull() | (F.coalesce(exit_code, F.lit(0)) != 0) | ((uncached > 0) & ~saw_exit) | (failures > 0) | ((scope > 0) & (judged < scope))
-    return F.when(broken, "partial").otherwise("complete")
+def failure_signs(rows: DataFrame, mark: str = "judge_failure") -> Column:
+    """By what signs a verdict (``overall, failed, status, error``) tells that the judge failed, not what it judged; none for a sound one."""
+    signs = {"verdict": F.col("overall") == mark, "flag": F.col("failed"), "provider": F.col("status") == "provider_error", "message": clean(F.col("error")).isNotNull()}
+    return F.array_compact(F.array(*(F.when(F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in signs.items())))
+
+
+#: What leaves a session partial, by name: conditions on its counts and its runner (SQL, null counts as not so).
+PARTIAL_REASONS = {
+    "scope not covered": "scope > 0 and judged < scope",
+    "judge failures": "failures > 0",
+    "runner failed": "exit_code <> 0",
+    "runner never ended": "uncached > 0 and not saw_exit",
+    "no judge": "uncached > 0 and unavailable",
+    "error": "trim(error) <> ''",
+}
+
+
+def session_reasons(sessions: DataFrame) -> DataFrame:
+    """Sessions (``scope, judged, uncached, unavailable, failures, exit_code, saw_exit, error``) with the ``reasons`` that leave them partial, and their ``outcome``."""
+    reasons = F.array_compact(F.array(*(F.when(F.coalesce(F.expr(said), F.lit(False)), F.lit(name)) for name, said in PARTIAL_REASONS.items())))
+    told = sessions.withColumn("reasons", reasons)
+    return told.withColumn("outcome", F.when(F.size("reasons") > 0, "partial").otherwise("complete"))
 
 
 def build_signature(rows: DataFrame, key: str, options: str) -> DataFrame:

@@ -39,12 +39,12 @@ def mapping(spark: SparkSession) -> DataFrame:
 def values_of(records: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """``control_number, property, kind, ord, value``: one row per mapped subfield, without blank ones, in the order of the record.
 
-    The mapping is a table of a row per field kind, so it is joined without a shuffle of the records.
+    The mapping is a table of a row per field kind, which Spark sends to the records if it is small.
     """
     each = records.select("control_number", F.posexplode("occurrences").alias("ord", "x"))
     subs = each.select("control_number", "ord", "x.tag", F.explode_outer("x.subfields").alias("s"), "x.data")
     flat = subs.select("control_number", "ord", "tag", F.coalesce("s.code", F.lit("")).alias("code"), F.trim(F.coalesce("s.value", "data")).alias("value")).where("value <> ''")
-    return flat.join(F.broadcast(table if table is not None else mapping(records.sparkSession)), ["tag", "code"]).select("control_number", "property", "kind", "ord", "value")
+    return flat.join(table if table is not None else mapping(records.sparkSession), ["tag", "code"]).select("control_number", "property", "kind", "ord", "value")
 
 
 def documents_of(values: DataFrame) -> DataFrame:

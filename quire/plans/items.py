@@ -215,15 +215,21 @@ def fresh_verdicts(t: Tables) -> DataFrame:
 
 @query("SELECT count(*) FILTER (s_suppkey % 4 = 0 OR s_nationkey = 3 OR s_suppkey % 7 = 0) AS failures FROM supplier")
 def judge_failures(t: Tables) -> DataFrame:
-    failed = items.is_judge_failure(F.when(F.col("s_suppkey") % 4 == 0, "judge_failure").otherwise("full"), F.lit(None).cast("boolean"), F.when(F.col("s_nationkey") == 3, "provider_error"), F.when(F.col("s_suppkey") % 7 == 0, "timeout").otherwise(" "))
-    return t.supplier.agg(F.count_if(failed).alias("failures"))
+    k = F.col("s_suppkey")
+    verdicts = t.supplier.select(F.when(k % 4 == 0, "judge_failure").otherwise("full").alias("overall"), F.lit(None).cast("boolean").alias("failed"), F.when(F.col("s_nationkey") == 3, "provider_error").alias("status"), F.when(k % 7 == 0, "timeout").otherwise(" ").alias("error"))
+    return verdicts.agg(F.count_if(F.size(items.failure_signs(verdicts)) > 0).alias("failures"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 3 = 1 OR s_nationkey > 20 THEN 'partial' ELSE 'complete' END AS outcome FROM supplier")
+@query("""WITH s AS (SELECT s_suppkey, list_filter([CASE WHEN s_nationkey > 20 THEN 'scope not covered' END, CASE WHEN s_suppkey % 11 = 0 THEN 'judge failures' END, CASE WHEN s_suppkey % 3 = 1 THEN 'runner failed' END,
+                 CASE WHEN s_suppkey % 13 = 0 THEN 'runner never ended' END, CASE WHEN s_suppkey % 17 = 0 THEN 'no judge' END, CASE WHEN s_suppkey % 5 = 0 THEN 'error' END], lambda x: x IS NOT NULL) AS r FROM supplier)
+          SELECT s_suppkey, CASE WHEN len(r) > 0 THEN 'partial' ELSE 'complete' END AS outcome, array_to_string(r, '; ') AS reasons FROM s""")
 def session_outcome(t: Tables) -> DataFrame:
-    k, none = F.col("s_suppkey"), F.lit(None)
-    outcome = items.session_outcome(unavailable=F.lit(False), uncached=F.lit(2), judged=F.when(F.col("s_nationkey") > 20, 9).otherwise(10), scope=F.lit(10), error=F.when(k % 5 == 0, "lost").cast("string"), exit_code=F.when(k % 3 == 1, 2).otherwise(none), saw_exit=F.lit(True), failures=F.lit(0))
-    return t.supplier.select("s_suppkey", outcome.alias("outcome"))
+    k = F.col("s_suppkey")
+    sessions = t.supplier.select(
+        "s_suppkey", F.lit(10).alias("scope"), F.when(F.col("s_nationkey") > 20, 9).otherwise(10).alias("judged"), F.lit(2).alias("uncached"), (k % 17 == 0).alias("unavailable"), F.when(k % 11 == 0, 3).otherwise(0).alias("failures"),
+        F.when(k % 3 == 1, 2).alias("exit_code"), (k % 13 != 0).alias("saw_exit"), F.when(k % 5 == 0, "lost").when(k % 5 == 1, " ").alias("error"),
+    )
+    return items.session_reasons(sessions).select("s_suppkey", "outcome", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("SELECT left(sha256(count(*) || '|' || min(o_orderkey) || '|' || max(o_orderkey) || '|plain'), 16) AS signature FROM orders")

@@ -224,9 +224,17 @@ def flat_columns(records: DataFrame) -> DataFrame:
         return F.when(F.size(subs) == 0, F.array(cell(x["tag"], F.coalesce(x["data"], F.lit(""))))).otherwise(F.transform(codes, lambda c: cell(F.concat(x["tag"], F.lit("$"), c), of(c))))
 
     flat = records.where("occurrences is not null").select("control_number", F.flatten(F.transform("occurrences", cells)).alias("cells"))
-    keys = F.array_distinct(F.transform("cells", lambda c: c["key"]))
-    mine = lambda k: F.array_sort(F.transform(F.filter("cells", lambda c: c["key"] == k), lambda c, i: F.struct(c["occurrence"].alias("occurrence"), i.alias("i"), c["v"].alias("v"))))
-    return flat.where(F.size("cells") > 0).select("control_number", F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_join(F.transform(mine(k), lambda c: c["v"]), "|"))).alias("columns"))
+    # sorted once, so that the cells of a key stand together; each is then put to the text before it or begins one
+    order = F.array_sort(F.transform("cells", lambda c, i: F.struct(c["key"].alias("key"), c["occurrence"].alias("occurrence"), i.alias("i"), c["v"].alias("v"))))
+
+    def fold(done: Column, c: Column) -> Column:
+        last = F.element_at(done, -1)
+        grown = F.struct(c["key"].alias("key"), F.concat(last["text"], F.lit("|"), c["v"]).alias("text"))
+        begun = F.struct(c["key"].alias("key"), c["v"].alias("text"))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["key"] == c["key"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.array_append(done, begun))
+
+    texts = F.aggregate(order, F.expr("cast(array() as array<struct<key:string,text:string>>)"), fold)
+    return flat.where(F.size("cells") > 0).select("control_number", F.map_from_entries(texts).alias("columns"))
 
 
 def occurrence_errors(occurrences: Column) -> Column:
