@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators import cascades, guards
+from quire.operators import cascades, guards, years
 
 from .registry import Tables, query
 from .relational import _TRI
@@ -122,3 +122,33 @@ def evaluated_matches(t: Tables) -> DataFrame:
     )
     found = guards.evaluated(rows)
     return found.select("id", F.array_join("flags", ",").alias("flags"), "reason", "confidence", "matched", "authority_id", "cluster_id", "item_id")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS id, o_orderkey % 6 AS kind, 1300 + o_custkey % 400 AS y, CASE WHEN o_orderkey % 4 > 0 THEN 1300 + (o_custkey * 3) % 500 END AS colophon FROM orders),
+          d AS (SELECT *, CASE kind WHEN 0 THEN y WHEN 4 THEN -200 END AS year, CASE kind WHEN 1 THEN 1401 WHEN 2 THEN 1350 WHEN 3 THEN y END AS s, CASE kind WHEN 1 THEN 1500 WHEN 2 THEN 1450 END AS e, CASE WHEN kind IN (2, 5) AND id % 5 = 0 THEN y END AS written, kind IN (1, 2, 4) AS vague FROM m),
+          w AS (SELECT *, CASE kind WHEN 1 THEN colophon BETWEEN 1401 AND 1500 WHEN 2 THEN colophon BETWEEN 1350 AND 1450 WHEN 4 THEN abs(-200 - colophon) <= 100 END AS fits FROM d)
+          SELECT id, CAST(CASE WHEN vague AND colophon IS NOT NULL AND fits THEN colophon WHEN kind = 0 THEN y WHEN kind = 3 THEN y WHEN kind = 4 THEN -200 WHEN kind = 2 AND written BETWEEN 1350 AND 1450 THEN written WHEN kind = 5 AND written IS NOT NULL THEN written ELSE colophon END AS INTEGER) AS year FROM w""")
+def production_years(t: Tables) -> DataFrame:
+    """Exact years, centuries, wide ranges, years before the common era and texts, with and without a colophon that agrees."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    kind, y = k % 6, (1300 + c % 400).cast("int")
+    none = F.lit(None).cast("int")
+    date = F.struct(
+        F.when(kind == 0, y).when(kind == 4, -200).alias("year"), F.when(kind == 1, 1401).when(kind == 2, 1350).when(kind == 3, y).otherwise(none).alias("start"), F.when(kind == 1, 1500).when(kind == 2, 1450).otherwise(none).alias("end"),
+        F.when(kind == 1, "Century").when(kind == 4, "Century").otherwise("Range").alias("form"), F.when(kind.isin(2, 5) & (k % 5 == 0), F.concat(F.lit("before ("), y, F.lit(")"))).when(kind == 1, "15th century").alias("text"), (kind == 4).alias("bce"),
+    )
+    colophon = F.when(k % 4 > 0, 1300 + (c * 3) % 500).cast("int")
+    return t.orders.select(k.alias("id"), years.production_year(date, colophon).cast("int").alias("year"))
+
+
+_SPANS = [
+    ("בשנת 1648.", "", 1648), ("משנת [=1826]", "", 1826), ('קל"ז', 'note בשנת קל""ז [=1377] more', 1377), ("7[5]16", "צנזור 7[5]16", 1500), ("7[5]16", "", None), ("ב'קל\"ז", "", None), ('תפ"ט', "", 1729), ("", "x", None), ("no year", "", None),
+]
+
+
+@query("SELECT o_orderkey AS id, CAST(CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN {'NULL' if y is None else 'o_custkey % 50 + 1500' if s.startswith('7') else y}" for i, (s, _, y) in enumerate(_SPANS)) + " END AS INTEGER) AS year FROM orders")
+def span_years(t: Tables) -> DataFrame:
+    """Years of dates in texts, of each form that gives one and each that does not."""
+    n = (F.col("o_orderkey") % 9 + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*(F.lit(s[i]) for s in _SPANS)), n)
+    return t.orders.select(F.col("o_orderkey").alias("id"), years.year_of_span(pick(0), pick(1), (F.col("o_custkey") % 50 + 1500).cast("int")).cast("int").alias("year"))
