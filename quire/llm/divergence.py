@@ -21,7 +21,7 @@ PRIOR = 5
 SCALE = 1_000_000_000
 TOP_TERMS = 50
 #: A task hands on its counts once it holds so many terms.
-HELD_TERMS = 200_000
+HELD_TERMS = 500_000
 
 # A-Z in lower case, other letters and all bytes above 0x7F as they are, anything else a space
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
