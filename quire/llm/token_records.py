@@ -30,9 +30,9 @@ MAGIC = b"QREC1"
 INDEX = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u4")])
 FRAME = struct.Struct("<QI")
 HEAD = struct.Struct("<Bq")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 READ_BYTES = 8 << 20
-SEGMENT = 1 << 21
+SEGMENT = 1 << 22
 INDEX_ROWS = 1 << 16
 
 
@@ -71,13 +71,32 @@ def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
     yield text[at:]
 
 
+class Recent:
+    """A cache of bounded size: two halves, of which the older goes when the newer is full. What is used often is always in the newer one."""
+
+    def __init__(self, size: int):
+        self.half, self.new, self.old = max(1, size // 2), {}, {}
+
+    def turn(self) -> None:
+        if len(self.new) > self.half:
+            self.old, self.new = self.new, {}
+
+    def get(self, key: str) -> bytes | None:
+        got = self.new.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.new[key] = got
+        return got
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer file, each distinct space-delimited word once.
 
     Only for tokenizers whose pre-tokenizer never joins text across a space or line feed. Words go to the library as they are, so its special
     tokens are found as in whole texts. Where the file's steps are composition, lower case, a split pattern and bytes, a
     plain word (printable, no letter beyond Latin, nothing to compose) is split by that pattern here, and the library's model encodes each distinct part once.
-    ``cache_words`` bounds each of the two caches; a full one is emptied, which costs time only. Texts are
+    ``cache_words`` bounds each of the two caches; words that are rare leave them, which costs time only. Texts are
     taken in segments, so no list holds all words of a long one.
     """
 
@@ -92,9 +111,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.cache: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.cache, self.parts = Recent(cache_words), Recent(cache_words)
         spec = json.loads(self.tokenizer.to_str())
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.pattern = self._split_pattern(spec)
@@ -138,22 +155,23 @@ class WordEncoder:
         return [bytes(data[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        for cache in (self.cache, self.parts):
-            if len(cache) > self.cache_words:
-                cache.clear()
-        odd = []
+        self.cache.turn()
+        self.parts.turn()
+        known, odd = self.cache.new, []
         for word in words:
-            if word not in self.cache:
-                ids = self._plain(word)
+            if word not in known:
+                ids = self.cache.old.get(word)
+                if ids is None:
+                    ids = self._plain(word)
                 if ids is None:
                     odd.append(word)
                 else:
-                    self.cache[word] = ids
+                    known[word] = ids
         for i in range(0, len(odd), 1024):
             part = odd[i : i + 1024]
             for word, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(enc.ids, self.dtype).tobytes()
-        return list(map(self.cache.__getitem__, words))
+                known[word] = np.array(enc.ids, self.dtype).tobytes()
+        return list(map(known.__getitem__, words))
 
     def _plain(self, word: str) -> bytes | None:
         """Ids of a plain word, None for others."""
@@ -172,7 +190,7 @@ class WordEncoder:
         got = self.parts.get(part)
         if got is None:
             text = part if part.isascii() else self.bytes_as_text.pre_tokenize_str(part)[0][0]
-            got = self.parts[part] = struct.pack(f"<{len(tokens := self.tokenizer.model.tokenize(text))}{self.code}", *(t.id for t in tokens))
+            got = self.parts.new[part] = struct.pack(f"<{len(tokens := self.tokenizer.model.tokenize(text))}{self.code}", *(t.id for t in tokens))
         return got
 
 
