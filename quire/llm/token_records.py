@@ -32,7 +32,7 @@ FRAME = struct.Struct("<QI")
 HEAD = struct.Struct("<Bq")
 CACHE_WORDS = 600_000
 READ_BYTES = 8 << 20
-SEGMENT = 1 << 22
+SEGMENT = 1 << 23
 INDEX_ROWS = 1 << 16
 
 
