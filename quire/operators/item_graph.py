@@ -17,12 +17,10 @@ PROPERTY, ITEM = r"^P[1-9]\d*$", r"^Q[1-9]\d*$"
 ENTITY = "http://www.wikidata.org/entity/"
 SNAKS = "array<struct<property:string,value:string>>"
 
-_NONE = F.lit(None).cast("string")
-
-
-def _triple(s: Column, p: Column, o: Column, kind: Column | str, lang: Column = _NONE, datatype: Column = _NONE) -> Column:
+def _triple(s: Column, p: Column, o: Column, kind: Column | str, datatype: Column | None = None) -> Column:
     kind = kind if isinstance(kind, Column) else F.lit(kind)
-    return F.struct(s.alias("s"), p.alias("p"), o.alias("o"), kind.alias("o_kind"), lang.cast("string").alias("o_lang"), datatype.cast("string").alias("o_datatype"))
+    typed = datatype if datatype is not None else F.lit(None)
+    return F.struct(s.alias("s"), p.alias("p"), o.alias("o"), kind.alias("o_kind"), F.lit(None).cast("string").alias("o_lang"), typed.cast("string").alias("o_datatype"))
 
 
 def _said(s: Column, p: Column, value: Column) -> Column:
@@ -53,7 +51,7 @@ def item_graph(items: DataFrame, statements: DataFrame, *, base: str = ENTITY) -
     subject = F.when(F.startswith("id", F.lit("http")), F.col("id")).otherwise(F.concat(F.lit(base), "id"))
     named = items.where("id <> ''").select(subject.alias("s"), "labels", "descriptions")
     told = [named.select("s", F.lit(p).alias("p"), F.explode(c).alias("lang", "text")).where("text <> ''") for c, p in (("labels", "rdfs:label"), ("descriptions", "schema:description"))]
-    words = told[0].unionByName(told[1]).select("s", "p", F.col("text").alias("o"), F.lit("literal").alias("o_kind"), F.col("lang").alias("o_lang"), _NONE.alias("o_datatype"))
+    words = told[0].unionByName(told[1]).select("s", "p", F.col("text").alias("o"), F.lit("literal").alias("o_kind"), F.col("lang").alias("o_lang"), F.lit(None).cast("string").alias("o_datatype"))
 
     checked = statements.where("id <> '' and (value <> '' or number is not null)").withColumn("reasons", refusals(statements))
     good = checked.where(F.size("reasons") == 0).withColumn("rank", F.coalesce("rank", F.lit("normal"))).withColumn("s", subject)
