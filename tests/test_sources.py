@@ -38,8 +38,8 @@ def test_authority_index_is_read_without_a_shuffle(spark, tmp_path):
         physical = queries.select("key").distinct().join(index, "key")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    scan = physical[physical.rindex("FileScan") - 400 :]
-    assert "Join" in plan and "Bucketed: true" in scan and "Exchange" not in scan[scan.rindex("Exchange") + 8 :] and physical.count("Exchange hashpartitioning(key") == 1
+    # one exchange in all, that of what is asked: the index is read bucket by bucket
+    assert "Join" in plan and "Bucketed: true" in physical and physical.count("Exchange ") == physical.count("Exchange hashpartitioning(key") == 1
     spark.sql("DROP TABLE names_of_test")
     again = indexes.open_index(spark, "names_again", path, "key string, id string, kind string, script string, tag string, dates string", buckets=4)
     assert again.count() == 4
