@@ -12,10 +12,13 @@ FUZZY = 0.45
 
 
 def exact_candidates(queries: DataFrame, index: DataFrame, *, limit: int = 8) -> DataFrame:
-    """Authorities whose key equals a query's key, main tag 100 before 400 before others, dated first, then by id; ``limit`` at most."""
+    """Authorities whose key equals a query's key, main tag 100 before 400 before others, dated first, then by id; ``limit`` at most.
+
+    Their order does not depend on the query, so the first of each key are found before the queries are joined.
+    """
     rank = F.when(F.col("tag") == "100", 0).when(F.col("tag") == "400", 1).otherwise(2)
-    order = Window.partitionBy("query_id").orderBy(rank, F.col("dates").isNull(), "id")
-    return queries.join(index, "key").withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    order = Window.partitionBy("key").orderBy(rank, F.col("dates").isNull(), "id")
+    return queries.join(index.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit), "key")
 
 
 def trigram_pairs(left: DataFrame, right: DataFrame, *, threshold: float = FUZZY) -> DataFrame:

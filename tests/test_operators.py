@@ -413,3 +413,19 @@ def test_turtle_names_and_labels(spark, tmp_path):
     good, bad = turtle.read_turtle(spark, str(tmp_path / "a.ttl"))
     assert {(r["s"], r["p"], r["o"], r["o_lang"]) for r in good.collect()} == {("http://x/a", turtle.TYPE, "http://x/Thing", None), ("http://x/a", "http://x/name", 'One "two" \\n', "en")}
     assert bad.isEmpty()
+
+
+def test_equal_names_are_cut_before_queries_meet_them(spark):
+    from quire.operators import cascades
+
+    names = spark.range(300).selectExpr("'jacob of fez' AS key", "id", "CASE WHEN id % 2 = 0 THEN '100' ELSE '400' END AS tag", "'990-1000' AS dates")
+    asked = spark.createDataFrame([(i, "jacob of fez" if i % 2 else "jacob of fex", "996-1000" if i % 3 else None, None, "author") for i in range(40)], "query_id long, key string, record_dates string, year int, role string")
+    exact = matching.exact_candidates(asked, names)
+    assert exact.where("query_id = 1").count() == 8
+    plan = exact._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")  # the window is below the join: its input grows with the names, not with queries times names
+    got = {r["query_id"]: (r["outcome"], r["id"]) for r in cascades.person(asked, names).collect()}
+    assert len(got) == 40 and all(got[i] == (("matched", 0) if i % 2 else ("similar", 0)) for i in range(40) if i % 3)
+    places = spark.range(300).selectExpr("id AS place_id", "'Q' || id AS qid", "array(CASE WHEN id = 7 THEN 'jacob of fex' ELSE 'x' END) AS main_keys")
+    found = cascades.place(asked.select("query_id", "key"), names.select("key", F.col("id").alias("place_id")), places).where("query_id % 2 = 0")
+    assert {(r["outcome"], r["id"]) for r in found.collect()} == {("similar", "Q7")}
