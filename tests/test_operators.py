@@ -437,3 +437,13 @@ def test_probe_keeps_every_candidate(spark):
     got = curation.probe(anchors, facts).collect()
     assert {r["id"] for r in got} == set(range(200, 250)) and not any(r["truncated"] for r in got)
     assert [r["truncated"] for r in curation.probe(anchors, facts, limit=220).collect()] == [True] * 20
+
+
+def test_labels_leave_only_themselves_in_the_shared_folder(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    chain = [(f"_:n{i}", "next", f"_:n{i + 1}", "blank", None) for i in range(4)] + [("_:n0", "name", "x", "literal", None)]
+    rows = spark.createDataFrame(chain, "s string, p string, o string, o_kind string, o_lang string")
+    before = {p.name for p in folder.iterdir()}
+    found = blank_nodes.labels(rows)
+    new = {p.name for p in folder.iterdir()} - before
+    assert len(new) == 1 and found.count() == 5 and found.select("label").distinct().count() == 5
