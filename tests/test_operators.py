@@ -447,3 +447,12 @@ def test_labels_leave_only_themselves_in_the_shared_folder(spark):
     found = blank_nodes.labels(rows)
     new = {p.name for p in folder.iterdir()} - before
     assert len(new) == 1 and found.count() == 5 and found.select("label").distinct().count() == 5
+
+
+def test_what_orders_find_in_an_index_is_not_gathered(spark):
+    from quire.plans import catalogue
+
+    from .conftest import SMALL
+
+    plan = catalogue.QUERIES["authority_index"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")  # before: one aggregate over every pair of an order and a record
