@@ -56,7 +56,10 @@ def item_graph(items: DataFrame, statements: DataFrame, *, base: str = ENTITY) -
     checked = statements.where("id <> '' and (value <> '' or number is not null)").withColumn("reasons", refusals(statements))
     good = checked.where(F.size("reasons") == 0).withColumn("rank", F.coalesce("rank", F.lit("normal"))).withColumn("s", subject)
     none = F.expr(f"cast(array() as {SNAKS})")
-    good = good.withColumn("qualifiers", F.coalesce("qualifiers", none)).withColumn("references", F.filter(F.coalesce("references", F.expr(f"cast(array() as array<{SNAKS}>)")), lambda b: F.size(b) > 0))
+    plain = good.withColumn("qualifiers", F.coalesce("qualifiers", none)).withColumn("references", F.filter(F.coalesce("references", F.expr(f"cast(array() as array<{SNAKS}>)")), lambda b: F.size(b) > 0))
+    # equal statements are one before they are spelled out: a node's own triples need no shuffle then. A number goes through it as text, so that -0.0 stays what it is
+    said = plain.select("s", "property", "value", F.col("number").cast("string").alias("number"), "rank", "qualifiers", "references").distinct()
+    good = said.withColumn("number", F.col("number").cast("double"))
     content = F.to_json(F.struct("property", "value", "number", "rank", "qualifiers", "references"))
     good = good.withColumn("node", F.concat(F.lit("s:"), F.sha1(F.concat_ws("\n", "s", content).cast("binary"))))
     rank_of = F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv))
@@ -69,10 +72,13 @@ def item_graph(items: DataFrame, statements: DataFrame, *, base: str = ENTITY) -
     node = F.col("node")
     own = F.array(_triple(F.col("s"), at("p:"), node, "uri"), main(node, at("ps:")), _triple(node, F.lit("wikibase:rank"), F.concat(F.lit("wikibase:"), F.try_element_at(rank_of, F.col("rank"))), "uri"))
     derived = F.transform("references", lambda b: _triple(node, F.lit("prov:wasDerivedFrom"), block_node(b), "uri"))
-    sourced = F.flatten(F.transform("references", lambda b: snaks(block_node(b), "pr:", b)))
-    full = good.select(F.explode(F.concat(own, snaks(node, "pq:", F.col("qualifiers")), derived, sourced)).alias("t")).select("t.*")
+    full = good.select(F.explode(F.concat(own, F.array_distinct(F.concat(snaks(node, "pq:", F.col("qualifiers")), derived)))).alias("t")).select("t.*")
+    blocks = plain.select(F.explode("references").alias("b"))
+    sourced = blocks.select(F.explode(snaks(block_node(F.col("b")), "pr:", F.col("b"))).alias("t")).select("t.*").distinct()
 
     level = F.when(F.col("rank") == "preferred", 2).when(F.col("rank") == "normal", 1).otherwise(0)
-    best = good.groupBy("s", "property").agg(F.max(level).alias("best")).where("best > 0")
-    direct = good.withColumn("level", level).join(best, ["s", "property"]).where("level = best").select(main(F.col("s"), at("wdt:")).alias("t")).select("t.*")
-    return words.unionByName(full).unionByName(direct).distinct(), checked.where(F.size("reasons") > 0)
+    spoken = F.when(F.col("number").isNull(), F.col("value")).alias("value")  # what the triple says: a number hides the value
+    ranked = plain.select("s", "property", spoken, "number", level.alias("level")).where("level > 0").groupBy("s", "property", "value", "number").agg(F.max("level").alias("level"))
+    best = ranked.groupBy("s", "property").agg(F.max("level").alias("best"))
+    direct = ranked.join(best, ["s", "property"]).where("level = best").select(main(F.col("s"), at("wdt:")).alias("t")).select("t.*")
+    return words.distinct().unionByName(full).unionByName(sourced).unionByName(direct), checked.where(F.size("reasons") > 0)
