@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import dates, text, values
@@ -221,10 +221,9 @@ def _records(t: Tables) -> DataFrame:
     """Orders as field instances: the number, the owner as 100$a, each part as 700$a with its line as $e."""
     field = lambda tag, n, subs, data: F.struct(F.lit(tag).alias("tag"), n.cast("int").alias("occurrence"), F.array(F.lit(" "), F.lit(" ")).alias("indicators"), subs.alias("subfields"), data.alias("data"))
     sub = lambda code, v: F.struct(F.lit(code).alias("code"), v.cast("string").alias("value"))
-    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    lines = t.lineitem.withColumn("n", nth).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("n", "l_partkey", "l_linenumber"))).alias("l"))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"))
     none = F.lit(None).cast("array<struct<code string, value string>>")
-    more = F.transform("l", lambda x: field("700", x["n"], F.array(sub("a", x["l_partkey"]), sub("e", x["l_linenumber"])), F.lit(None).cast("string")))
+    more = F.transform("l", lambda x, i: field("700", i + 1, F.array(sub("a", x["l_partkey"]), sub("e", x["l_linenumber"])), F.lit(None).cast("string")))
     own = F.array(field("001", F.lit(1), none, F.col("o_orderkey").cast("string")), field("100", F.lit(1), F.array(sub("a", F.col("o_custkey"))), F.lit(None).cast("string")))
     return t.orders.join(lines, "o_orderkey").select(F.lit("").alias("leader"), F.col("o_orderkey").cast("string").alias("control_number"), F.concat(own, more).cast(readers.OCCURRENCE).alias("occurrences"), F.lit(None).cast("string").alias("error"))
 
