@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task of ``co_occurrence`` holds about, memberships or pairs.
+ROWS_OF_A_TASK = 500_000
+#: Parts that boxes are dealt in, for each task: several, so that tasks are of like size.
+PARTS_OF_A_TASK = 32
+
 
-def co_occurrence(members: DataFrame, *, box: str, item: str, top: int = 1000) -> DataFrame:
+def co_occurrence(members: DataFrame, *, box: str, item: str, top: int = 1000, rows_of_a_task: int = ROWS_OF_A_TASK) -> DataFrame:
     """Unordered pairs of items in the same box with the number of boxes, the ``top`` most frequent, ties by items.
 
-    The result is a top list. Memberships count once. Boxes are joined with themselves on their key, so the work grows with the squares of the boxes' sizes,
-    which are those of one manuscript's works.
+    The result is a top list. Memberships count once. A box is one row of its items, which are one manuscript's works, and its pairs are spelled out from
+    there, so the work grows with the squares of the boxes' sizes. Boxes and pairs are dealt to as many tasks as their numbers ask for, so a task's memory
+    does not grow with the tables; a pair of very many boxes is summed within tasks first.
     """
-    m = members.select(F.col(box).alias("b"), F.col(item).alias("i")).dropna().distinct()
-    pairs = m.select("b", F.col("i").alias("a")).join(m.withColumnRenamed("i", "c"), "b").where("a < c")
-    return pairs.groupBy(F.col("a").alias("item_a"), F.col("c").alias("item_b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "item_a", "item_b").limit(top)
+    m = members.select(F.col(box).alias("b"), F.col(item).alias("i")).dropna()
+
+    def boxes(tasks: int) -> DataFrame:
+        part = F.pmod(F.hash("b"), F.lit(PARTS_OF_A_TASK * tasks))
+        return m.withColumn("part", part).repartition(tasks, "part").groupBy("part", "b").agg(F.collect_set("i").alias("items"))
+
+    tasks = _tasks(m, m.count(), rows_of_a_task)
+    size = F.size("items").cast("double")
+    n_pairs = boxes(tasks).agg(F.sum(size * (size - 1) / 2)).first()[0] or 0
+    tasks = max(tasks, _tasks(m, n_pairs, rows_of_a_task))
+    ordered = boxes(tasks).select("part", F.array_sort("items").alias("items"))
+    firsts = ordered.select("part", "items", F.posexplode("items").alias("at", "a"))
+    pairs = firsts.select("part", F.col("a").alias("item_a"), F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("item_b"))
+    within = pairs.groupBy("part", "item_a", "item_b").agg(F.count(F.lit(1)).alias("n"))
+    dealt = within.select("item_a", "item_b", "n").repartition(tasks, "item_a", "item_b")
+    return dealt.groupBy("item_a", "item_b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "item_a", "item_b").limit(top)
+
+
+def _tasks(df: DataFrame, rows: float, rows_of_a_task: int) -> int:
+    """Tasks that ``rows`` are dealt to: those of the session's shuffles, fewer for few rows, and more where these would hold too many."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(rows / rows_of_a_task), min(usual, math.ceil(10 * rows / rows_of_a_task)))
 
 
 def edge_degrees(edges: DataFrame, a: str, b: str) -> DataFrame:

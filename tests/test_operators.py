@@ -456,3 +456,29 @@ def test_what_orders_find_in_an_index_is_not_gathered(spark):
 
     plan = catalogue.QUERIES["authority_index"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union")  # before: one aggregate over every pair of an order and a record
+
+
+def test_pairs_are_dealt_to_as_many_tasks_as_they_ask_for(spark):
+    rng = random.Random(7)
+    rows = [(b, rng.randrange(30)) for b in range(300) for _ in range(rng.randrange(6))] + [(-1, i) for i in range(60)] + [(b, i) for b in range(400, 600) for i in (1, 2)]
+    rows += [(None, 1), (None, 2), (5, None), (700, 1)] + rows[:50]
+    boxes = {}
+    for b, i in rows:
+        if b is not None and i is not None:
+            boxes.setdefault(b, set()).add(i)
+    counts = {}
+    for items in boxes.values():
+        for x in items:
+            for y in items:
+                if x < y:
+                    counts[x, y] = counts.get((x, y), 0) + 1
+    want = sorted(((x, y, n) for (x, y), n in counts.items()), key=lambda r: (-r[2], r[0], r[1]))
+    members = spark.createDataFrame(rows, "box long, item long")
+    found = analytics.co_occurrence(members, box="box", item="item", rows_of_a_task=100)
+    assert [tuple(r) for r in found.collect()] == want[:1000] and max(counts.values()) > 200
+    asked = -(-sum(counts.values()) // 100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert asked > 20 and f"{asked}), REPARTITION_BY_NUM" in plan and "Join" not in plan  # not the 4 partitions of the session
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 2
+    assert [tuple(r) for r in analytics.co_occurrence(members, box="box", item="item", top=7).collect()] == want[:7]
+    assert analytics.co_occurrence(members.limit(0), box="box", item="item").count() == 0
